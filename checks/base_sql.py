@@ -10,7 +10,7 @@ QUALIFY, GAP, RECENT, FRESH = 43200, 21600, 21600, 43200
 
 def seconds(start: str, end: str) -> str:
     """Whole non-negative seconds at millisecond precision."""
-    return f"greatest(0, (epoch_ms({end}) - epoch_ms({start})) // 1000)"
+    return f"greatest(0, ((epoch_us({end}) // 1000) - (epoch_us({start}) // 1000)) // 1000)"
 
 
 BASE = f"""
@@ -261,7 +261,7 @@ dossier_hits AS (
   SELECT *, coalesce(ended_at, started_at) AS window_end FROM life_hits
   WHERE occurred_at <= coalesce(ended_at, started_at)),
 aged AS (
-  SELECT *, CAST(floor((epoch_ms(window_end) - epoch_ms(occurred_at)) / 1000.0 + 0.5) AS BIGINT) AS age
+  SELECT *, CAST(floor(((epoch_us(window_end) // 1000) - (epoch_us(occurred_at) // 1000)) / 1000.0 + 0.5) AS BIGINT) AS age
   FROM dossier_hits),
 evid AS (
   SELECT life_id, count(*) AS recent_hits,
@@ -273,7 +273,7 @@ down_ev AS (
   SELECT l.id AS life_id, count(*) AS recent_knockouts
   FROM downs d JOIN lives l ON l.server_id = d.server_id AND l.player_id = d.player_id
    AND d.occurred_at >= l.started_at AND d.occurred_at <= coalesce(l.ended_at, l.started_at)
-  WHERE floor((epoch_ms(coalesce(l.ended_at, l.started_at)) - epoch_ms(d.occurred_at)) / 1000.0 + 0.5) <= {RECENT}
+  WHERE floor(((epoch_us(coalesce(l.ended_at, l.started_at)) // 1000) - (epoch_us(d.occurred_at) // 1000)) / 1000.0 + 0.5) <= {RECENT}
   GROUP BY l.id),
 cat AS (
   SELECT *, CASE WHEN lower(coalesce(attacker_label, '')) LIKE '%fire%' THEN 'fire'
@@ -281,7 +281,7 @@ cat AS (
                  WHEN attacker_type = 'player' THEN 'pvp' END AS ordeal
   FROM dossier_hits),
 runs0 AS (
-  SELECT *, CASE WHEN epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) > {GAP} * 1000000
+  SELECT *, CASE WHEN epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) > {GAP} * CAST(1000000 AS BIGINT)
                    OR lag(occurred_at) OVER w IS NULL THEN 1 ELSE 0 END AS opens
   FROM cat WHERE ordeal IS NOT NULL
   WINDOW w AS (PARTITION BY life_id, ordeal ORDER BY occurred_at, event_id)),
@@ -309,7 +309,7 @@ verdict0 AS (
          WHEN bleeding AND recent_hits > 0 THEN 'bled_out'
          ELSE 'unknown' END AS verdict_cause,
     array_to_string(list_filter([CASE WHEN starving THEN 'starving' END, CASE WHEN parched THEN 'dehydrated' END,
-      CASE WHEN hunted THEN 'hunted' END], x -> x IS NOT NULL), ',') AS base
+      CASE WHEN hunted THEN 'hunted' END], lambda x: x IS NOT NULL), ',') AS base
   FROM facts),
 verdicts AS (
   SELECT *,
@@ -332,7 +332,7 @@ enc0 AS (
     CASE WHEN attacker_type = 'player' THEN lower(attacker_gamertag) ELSE '' END AS attacker
   FROM life_hits),
 enc1 AS (
-  SELECT *, CASE WHEN epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) > {GAP} * 1000000
+  SELECT *, CASE WHEN epoch_us(occurred_at) - epoch_us(lag(occurred_at) OVER w) > {GAP} * CAST(1000000 AS BIGINT)
                    OR lag(occurred_at) OVER w IS NULL THEN 1 ELSE 0 END AS opens
   FROM enc0 WINDOW w AS (PARTITION BY life_id, category, attacker ORDER BY occurred_at, event_id)),
 enc2 AS (
@@ -344,10 +344,10 @@ enc3 AS (
   FROM enc2 GROUP BY life_id, category, attacker, n),
 encounters AS (
   SELECT life_id, category, CASE WHEN category = 'player' THEN first_attacker END AS attacker_gamertag, started_at,
-         CAST(floor((epoch_ms(last_at) - epoch_ms(started_at)) / 1000.0 + 0.5) AS BIGINT) AS duration_seconds,
+         CAST(floor(((epoch_us(last_at) // 1000) - (epoch_us(started_at) // 1000)) / 1000.0 + 0.5) AS BIGINT) AS duration_seconds,
          hits, hp_low
   FROM enc3
-  WHERE ended_at IS NULL OR NOT (epoch_ms(ended_at) - epoch_ms(last_at)) / 1000.0 <= {RECENT})
+  WHERE ended_at IS NULL OR NOT ((epoch_us(ended_at) // 1000) - (epoch_us(last_at) // 1000)) / 1000.0 <= {RECENT})
 """
 
 

@@ -152,10 +152,10 @@ add("asof_fix",
         .select("server_id", F.col("killer_player_id").alias("player_id"), "victim_life_id", "occurred_at"),
         w.projections.positions, "occurred_at", FRESH).select("victim_life_id", "x", "y", "sample_at", "sample_age_seconds"),
     f"""SELECT k.victim_life_id, f.x, f.y, f.recorded_at AS sample_at,
-          CAST(floor((epoch_ms(k.occurred_at) - epoch_ms(f.recorded_at)) / 1000.0 + 0.5) AS BIGINT) AS sample_age_seconds
+          CAST(floor(((epoch_us(k.occurred_at) // 1000) - (epoch_us(f.recorded_at) // 1000)) / 1000.0 + 0.5) AS BIGINT) AS sample_age_seconds
         FROM kills k ASOF JOIN fixes f ON f.server_id = k.server_id AND f.player_id = k.killer_player_id
           AND k.occurred_at >= f.recorded_at
-        WHERE floor((epoch_ms(k.occurred_at) - epoch_ms(f.recorded_at)) / 1000.0 + 0.5) <= {FRESH}""")
+        WHERE floor(((epoch_us(k.occurred_at) // 1000) - (epoch_us(f.recorded_at) // 1000)) / 1000.0 + 0.5) <= {FRESH}""")
 add("unbanned_lives", lambda w: J.unbanned_lives(w.projections.lives, w.projections.players, w.bans).select("id"),
     """SELECT id FROM named n WHERE ended_at IS NOT NULL AND NOT EXISTS (SELECT 1 FROM bans b
          WHERE b.server_id = n.server_id AND b.gamertag = n.gamertag AND b.life_started_at = n.started_at)""")
@@ -273,15 +273,14 @@ add("qualified_by", lambda w: w.dataset.life_status.where("qualified").select(
          ELSE 'playtime' END AS qualified_by FROM status WHERE qualified""")
 add("life_encounters", lambda w: lives.encounters_of(w.dataset), "SELECT * FROM encounters")
 add("session_groups", lambda w: W.session_groups(w.projections.sessions, w.dataset.life_kills, now()),
-    """, g AS (SELECT *, sum(CASE WHEN scored THEN 1 ELSE 0 END) OVER (PARTITION BY life_id ORDER BY o) AS island
-               FROM so WHERE o >= 2)
-       SELECT life_id, CASE WHEN max(o) > min(o) THEN 'session-group' ELSE 'session' END AS kind,
-         min(o) AS first, max(o) AS last, arg_min(connected_at, o) AS tm FROM g GROUP BY life_id, island, scored""".replace(
-        ", g AS", "SELECT life_id, kind, first, last, tm AS "at" FROM (WITH g AS", 1) + ")",
+    """SELECT life_id, CASE WHEN max(o) > min(o) THEN 'session-group' ELSE 'session' END AS kind,
+         min(o) AS first, max(o) AS last, arg_min(connected_at, o) AS "at" FROM g GROUP BY life_id, island, scored""",
     extra=f"""so AS (SELECT s.life_id, s.connected_at,
         row_number() OVER (PARTITION BY s.life_id ORDER BY s.connected_at, s.id) AS o,
         EXISTS (SELECT 1 FROM life_kills k WHERE k.life_id = s.life_id AND k.occurred_at >= s.connected_at
-                AND k.occurred_at <= coalesce(s.disconnected_at, {NOW})) AS scored FROM sessions s)""")
+                AND k.occurred_at <= coalesce(s.disconnected_at, {NOW})) AS scored FROM sessions s),
+      g AS (SELECT *, sum(CASE WHEN scored THEN 1 ELSE 0 END) OVER (PARTITION BY life_id ORDER BY o) AS island
+            FROM so WHERE o >= 2)""")
 add("played_seconds_at",
     lambda w: W.played_seconds_at(
         w.dataset.life_kills.select("life_id", "victim_life_id", F.col("occurred_at").alias("at")),
@@ -334,12 +333,13 @@ add("append_new",
          AND a.l_linenumber = l.l_linenumber) GROUP BY ALL""", base=False)
 add("events_after_cursor", lambda w: S.events_after(w.events.select("event_id", "server_id"), 1234, 500),
     "SELECT event_id, server_id FROM ev WHERE event_id > 1234 ORDER BY event_id LIMIT 500")
-add("label_collisions", lambda w: S.label_collisions(w.claims, w.claims),
+add("label_collisions",
+    lambda w: S.label_collisions(*[w.claims.withColumn("gamertag", F.substring("gamertag", 1, 17))] * 2),
     """SELECT * FROM (
-         SELECT 'players' AS source, CAST(NULL AS VARCHAR) AS user_id, lower(gamertag) AS label, count(*) AS copies
+         SELECT 'players' AS source, CAST(NULL AS VARCHAR) AS user_id, lower(substr(gamertag, 1, 17)) AS label, count(*) AS copies
          FROM claims GROUP BY ALL UNION ALL
-         SELECT 'verified links', NULL, lower(gamertag), count(*) FROM claims WHERE status = 'verified' GROUP BY ALL
-         UNION ALL SELECT 'links of one user', user_id, lower(gamertag), count(*) FROM claims GROUP BY ALL)
+         SELECT 'verified links', NULL, lower(substr(gamertag, 1, 17)), count(*) FROM claims WHERE status = 'verified' GROUP BY ALL
+         UNION ALL SELECT 'links of one user', user_id, lower(substr(gamertag, 1, 17)), count(*) FROM claims GROUP BY ALL)
        WHERE copies > 1""")
 add("canonicalize_labels", lambda w: S.canonicalize_labels(w.links, w.projections.players),
     """SELECT l.id, l.user_id, l.gamertag, p.gamertag AS canonical FROM links l
@@ -385,7 +385,7 @@ add("labels_and_dates",
          CASE WHEN energy_at_death IS NULL THEN NULL ELSE 'Energy ' || CAST(energy_at_death AS INTEGER) || ' · Water '
            || CAST(water_at_death AS INTEGER) || CASE WHEN bleed_sources_at_death > 0
               THEN ' · bleeding ×' || bleed_sources_at_death ELSE '' END END AS vitals
-       FROM (SELECT *, (epoch_ms({NOW}) - epoch_ms(ended_at)) // 86400000 AS d FROM named WHERE ended_at IS NOT NULL)""")
+       FROM (SELECT *, ((epoch_us({NOW}) // 1000) - (epoch_us(ended_at) // 1000)) // 86400000 AS d FROM named WHERE ended_at IS NOT NULL)""")
 add("map_points",
     lambda w: w.projections.positions.select(
         "event_id", X.grid_ref(F.col("x"), F.col("y")).alias("cell"),
@@ -419,7 +419,7 @@ add("first_sentences",
 add("rosters",
     lambda w: w.projections.kills.select("victim_life_id", F.array_join(X.dedupe_roster(
         F.array(F.col("killer_gamertag"), F.lower("killer_gamertag"), F.lit(" "), F.col("victim_gamertag")), 3), ",").alias("names")),
-    """SELECT victim_life_id, array_to_string(list_filter([killer_gamertag, victim_gamertag], x -> length(x) >= 3), ',')
+    """SELECT victim_life_id, array_to_string(list_filter([killer_gamertag, victim_gamertag], lambda x: length(x) >= 3), ',')
          AS names FROM kills""")
 add("ban_names", lambda w: w.bans.select("id", F.array_join(X.ban_names(F.col("dayz_id"), F.col("gamertag")), ",").alias("names")),
     "SELECT id, dayz_id || ',' || gamertag AS names FROM bans")
@@ -491,8 +491,8 @@ add("global_board_most_kills",
        FROM kills k JOIN live v ON v.id = k.server_id GROUP BY ALL ORDER BY value DESC, gamertag, slug LIMIT 12""")
 add("kill_feed", lambda w: boards.feed(w.projections.kills, 30, 10).select("event_id", "killer_gamertag", "occurred_at"),
     "SELECT event_id, killer_gamertag, occurred_at FROM kills ORDER BY occurred_at DESC, event_id DESC LIMIT 30 OFFSET 10")
-add("build_feed", lambda w: boards.feed(w.projections.build_events, 20, 0, "P7").select("event_id", "object", "occurred_at"),
-    "SELECT event_id, object, occurred_at FROM builds WHERE gamertag = 'P7' ORDER BY occurred_at DESC, event_id DESC LIMIT 20")
+add("build_feed", lambda w: boards.feed(w.projections.build_events, 20, 0, "P3").select("event_id", "object", "occurred_at"),
+    "SELECT event_id, object, occurred_at FROM builds WHERE gamertag = 'P3' ORDER BY occurred_at DESC, event_id DESC LIMIT 20")
 ROSTER_SQL = f"""SELECT n.server_id, n.gamertag, n.player_id,
       CAST({seconds('o.connected_at', 'n.last_seen_at')} AS BIGINT) AS session_seconds,
       CAST(n.playtime_seconds + {seconds('o.connected_at', 'n.last_seen_at')} AS BIGINT) AS life_seconds
@@ -653,17 +653,17 @@ add("life_track_points",
     extra=LIFE_FIX + """, nums AS (SELECT *, row_number() OVER (PARTITION BY life_id ORDER BY recorded_at, event_id) AS rn,
         count(*) OVER (PARTITION BY life_id) AS n FROM lfix),
       per AS (SELECT life_id, list(struct_pack(e := event_id, x := x, y := y) ORDER BY rn) AS pts FROM nums GROUP BY life_id),
-      folded AS (SELECT life_id, list_reduce(list_transform(pts, p -> struct_pack(ids := [p.e], x := p.x, y := p.y)),
-        (acc, p) -> CASE WHEN sqrt((p.x - acc.x) * (p.x - acc.x) + (p.y - acc.y) * (p.y - acc.y)) >= 15
+      folded AS (SELECT life_id, list_reduce(list_transform(pts, lambda p: struct_pack(ids := [p.e], x := p.x, y := p.y)),
+        lambda acc, p: CASE WHEN sqrt((p.x - acc.x) * (p.x - acc.x) + (p.y - acc.y) * (p.y - acc.y)) >= 15
            THEN struct_pack(ids := list_concat(acc.ids, p.ids), x := p.x, y := p.y) ELSE acc END) AS k FROM per),
       thin AS (SELECT u.* FROM nums u JOIN folded f ON f.life_id = u.life_id
                WHERE list_contains(f.k.ids, u.event_id) OR u.rn = u.n)""")
 add("life_track_markers",
     lambda w: lives.life_track(w.dataset)["markers"].select("life_id", "kind", "at", "x", "y", "sample_age_seconds", "label"),
     f"""SELECT m.life_id, m.kind, m.tm AS "at", f.x, f.y,
-          CAST(floor((epoch_ms(m.tm) - epoch_ms(f.recorded_at)) / 1000.0 + 0.5) AS BIGINT) AS sample_age_seconds, m.label
+          CAST(floor(((epoch_us(m.tm) // 1000) - (epoch_us(f.recorded_at) // 1000)) / 1000.0 + 0.5) AS BIGINT) AS sample_age_seconds, m.label
         FROM mk m ASOF JOIN lfix f ON f.life_id = m.life_id AND m.tm >= f.recorded_at
-        WHERE floor((epoch_ms(m.tm) - epoch_ms(f.recorded_at)) / 1000.0 + 0.5) <= {FRESH}""",
+        WHERE floor(((epoch_us(m.tm) // 1000) - (epoch_us(f.recorded_at) // 1000)) / 1000.0 + 0.5) <= {FRESH}""",
     extra=LIFE_FIX + """, mk AS (
       SELECT k.life_id, 'kill' AS kind, k.occurred_at AS tm, k.victim_gamertag AS label FROM life_kills k
         JOIN named n ON n.id = k.life_id WHERE k.occurred_at <= coalesce(n.ended_at, n.last_seen_at, n.started_at)
@@ -762,10 +762,11 @@ add("inbox", lambda w: accounts.inbox(w.notifications, 2).select("user_id", "id"
        FROM notifications QUALIFY rank > 20 AND rank <= 40""")
 add("links_with_challenge",
     lambda w: accounts.links_with_challenge(w.rival_links, w.challenges, NOW_VALUE).select(
-        "id", "user_id", "status", F.array_join("steps", ",").alias("steps"), "expired"),
+        "id", "user_id", "status", F.array_join("steps", ",").alias("steps"),
+        F.coalesce("expired", F.lit(False)).alias("expired")),
     """SELECT u * 3 + i AS id, u || '-' || i AS user_id, CASE WHEN i = 2 THEN 'verified' ELSE 'pending' END AS status,
          CASE i WHEN 0 THEN 'E' || (u % 5) || ',E' || ((u + 1) % 5) || ',E' || ((u + 2) % 5)
-                WHEN 1 THEN 'E' || ((u + 1) % 5) || ',E' || (u % 5) END AS steps, CASE WHEN i < 2 THEN true END AS expired
+                WHEN 1 THEN 'E' || ((u + 1) % 5) || ',E' || (u % 5) END AS steps, i < 2 AS expired
        FROM (SELECT DISTINCT user_id AS u FROM e) CROSS JOIN (VALUES (0), (1), (2)) z(i) WHERE i < 2 OR u % 7 = 0""")
 
 # --- plans ----------------------------------------------------------------------------------
@@ -888,7 +889,7 @@ add("verify_challenges",
          CASE WHEN len(m) = len(seq) THEN (SELECT tm FROM em x WHERE x.event_id = list_max(m)) END AS completed_at,
          CASE WHEN winner = challenge_id THEN 'verified' WHEN winner IS NOT NULL THEN 'cancelled'
               WHEN owned AND len(m) = len(seq) THEN 'cancelled' ELSE 'pending' END AS status
-       FROM (SELECT f.*, w.winner, list_filter([e1, e2, e3], x -> x IS NOT NULL AND (w.won IS NULL OR x <= w.won)) AS m
+       FROM (SELECT f.*, w.winner, list_filter([e1, e2, e3], lambda x: x IS NOT NULL AND (w.won IS NULL OR x <= w.won)) AS m
              FROM fin f LEFT JOIN win w USING (label))""",
     extra="""em AS (SELECT event_id, 'p' || user_id AS label, 'E' || (k % 5) AS token, tm FROM e WHERE event_type = 'click'
         AND tm > TIMESTAMP '2024-01-05' AND tm < TIMESTAMP '2024-01-25'),

@@ -278,12 +278,12 @@ def first_sentence(text: Column, limit: int = 120) -> Column:
 
 def ban_names(dayz_id: Column, gamertag: Column) -> Column:
     names = F.filter(F.array(dayz_id, gamertag), lambda n: n.isNotNull() & (F.trim(n) != ""))
-    return F.transform(names, F.trim)
+    return F.transform(names, lambda n: F.trim(n))
 
 
 def dedupe_roster(names: Column, min_length: int = 0) -> Column:
     """Trimmed non-blank names, first of each case-insensitive spelling, order kept."""
-    kept = F.filter(F.transform(names, F.trim), lambda n: n.isNotNull() & (n != ""))
+    kept = F.filter(F.transform(names, lambda n: F.trim(n)), lambda n: n.isNotNull() & (n != ""))
     keys = F.transform(kept, F.lower)
     first = F.filter(
         F.transform(
@@ -308,7 +308,7 @@ def compose_tags(map_code: Column, category: Column, flavours: Column) -> Column
     base = F.array(F.lit("Obituaries"), map_label(map_code), cause_category_tag(category))
     taken = F.transform(base, F.lower)
     free = F.filter(
-        F.transform(flavours, F.trim), lambda t: (t != "") & ~F.array_contains(taken, F.lower(t))
+        F.transform(flavours, lambda t: F.trim(t)), lambda t: (t != "") & ~F.array_contains(taken, F.lower(t))
     )
     return F.concat(base, F.slice(free, 1, 1))
 
