@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dedupe_roster, first_sentence
@@ -51,6 +51,7 @@ def find_mentions(
 
     Longest names first, case ignored, text consumed left to right; a match touching a word
     character on either side is dropped (and its text stays consumed).  ``start`` is 0-based.
+    ``key`` identifies one text, so the window over it is bounded by the length of that text.
     """
     names = F.array_sort(
         dedupe_roster(F.col(roster)),
@@ -64,39 +65,25 @@ def find_mentions(
         F.expr("regexp_extract_all(__t, __p, 0)").alias("__m"),
         F.expr("split(__t, __p, -1)").alias("__g"),
     ).where(F.size("__m") > 0)
-    # Walk gaps and matches once: start of each match and the characters around it.
-    zero = F.struct(
-        F.lit(0).alias("at"), F.lit("").alias("left"),
-        F.array().cast("array<struct<start:int,name:string,left:string>>").alias("out"),
-    )
-
-    def step(acc: Column, pair: Column) -> Column:
-        gap, name = pair["gap"], pair["name"]
-        start = acc["at"] + F.length(gap)
-        left = F.when(F.length(gap) > 0, F.right(gap, F.lit(1))).otherwise(acc["left"])
-        return F.struct(
-            (start + F.length(name)).alias("at"),
-            F.right(name, F.lit(1)).alias("left"),
-            F.array_append(
-                acc["out"], F.struct(start.alias("start"), name.alias("name"), left.alias("left"))
-            ).alias("out"),
-        )
-
-    pairs = F.zip_with(
-        F.slice("__g", F.lit(1), F.size("__m")), F.col("__m"),
-        lambda g, m: F.struct(g.alias("gap"), m.alias("name")),
-    )
-    walked = rows.select(
-        key, "__g", "__m", F.aggregate(pairs, zero, step, lambda acc: acc["out"]).alias("__o")
-    )
-    spots = walked.select(key, "__g", "__m", F.posexplode("__o").alias("__i", "__s"))
-    gap_after = F.element_at("__g", F.col("__i") + 2)
-    after = F.when(F.length(gap_after) > 0, F.left(gap_after, F.lit(1))).otherwise(
-        F.left(F.coalesce(F.try_element_at("__m", F.col("__i") + 2), F.lit("")), F.lit(1))
+    # The characters around match i: the gaps beside it, or the neighbouring match where a gap is
+    # empty.  Starts are running lengths of one text, summed after the explode.
+    spots = rows.select(key, "__g", "__m", F.posexplode("__m").alias("__i", "name")).select(
+        key, "__i", "name",
+        F.element_at("__g", F.col("__i") + 1).alias("__before"),
+        F.element_at("__g", F.col("__i") + 2).alias("__after"),
+        F.when(F.col("__i") > 0, F.element_at("__m", F.greatest(F.col("__i"), F.lit(1)))).alias("__last"),
+        F.try_element_at("__m", F.col("__i") + 2).alias("__next"),
     )
+    left = F.right(F.concat(F.coalesce("__last", F.lit("")), "__before"), F.lit(1))
+    right = F.left(F.concat("__after", F.coalesce("__next", F.lit(""))), F.lit(1))
+    text_order = Window.partitionBy(key).orderBy("__i")
+    start = F.sum(F.length("__before") + F.length("name")).over(text_order) - F.length("name")
     word = r"^[A-Za-z0-9_]$"
-    return spots.where(~F.col("__s.left").rlike(word) & ~after.rlike(word)).select(
-        key, F.col("__s.start").alias("start"), F.col("__s.name").alias("name")
+    return (
+        spots.select(
+            key, start.cast("int").alias("start"), "name", (left.rlike(word) | right.rlike(word)).alias("__glued")
+        )
+        .where(~F.col("__glued")).drop("__glued")
     )
 
 

@@ -139,9 +139,9 @@ def stamped(spark, lines, start="2026-03-01 00:00:00"):
 
 def test_timestamps_header_rollover_fallback(spark, monkeypatch):
     lines = ["AdminLog started on 2026-01-02 at 22:10:00", "22:10:05 | a", "noise", "00:00:01 | b", "13:00:00 | c",
-             "12:59:59 | d", "00:59:58 | e", "AdminLog started on 2026-02-01 at 23:00:00", "01:00:00 | f"]
+             "12:59:59 | d", "00:59:59 | e", "AdminLog started on 2026-02-01 at 23:00:00", "01:00:00 | f"]
     want = [None, datetime(2026, 1, 2, 22, 10, 5), None, datetime(2026, 1, 3, 0, 0, 1), datetime(2026, 1, 3, 13),
-            datetime(2026, 1, 3, 12, 59, 59), datetime(2026, 1, 3, 0, 59, 58), None, datetime(2026, 2, 2, 1)]
+            datetime(2026, 1, 3, 12, 59, 59), datetime(2026, 1, 3, 0, 59, 59), None, datetime(2026, 2, 2, 1)]
     # A drop of exactly 12 h does not roll, one second more does.
     assert stamped(spark, lines) == want
     assert stamped(spark, ["23:00:00 | a", "11:00:00 | b", "23:00:01 | c", "11:00:00 | d"]) == [
