@@ -516,10 +516,9 @@ add("profiles", lambda w: players.profiles(w.dataset), PROFILE_SQL)
 add("player_lives", lambda w: players.player_lives(w.dataset).select("id", "server_id", "player_id", "life_number"),
     "SELECT id, server_id, player_id, life_number FROM status WHERE qualified")
 add("life_detail",
-    lambda w: players.life_detail(w.dataset).select(
-        "id", "gamertag", F.size("sessions").alias("n"), F.col("sessions")[0]["session_id"].alias("first_session")),
-    """SELECT n.id, n.gamertag, CAST((SELECT count(*) FROM sessions s WHERE s.life_id = n.id) AS INTEGER) AS n,
-         n.id AS first_session FROM named n""")
+    lambda w: players.life_detail(w.dataset).select("id", "gamertag", "session_id", "connected_at", "close_reason"),
+    """SELECT n.id, n.gamertag, s.id AS session_id, s.connected_at, s.close_reason
+       FROM named n LEFT JOIN sessions s ON s.life_id = n.id""")
 add("player_aggregate",
     lambda w: players.player_aggregate(w.dataset),
     f"""SELECT p.player_id, CAST(sum(p.lives) AS BIGINT) AS lives, CAST(sum(p.deaths) AS BIGINT) AS deaths,

@@ -40,14 +40,14 @@ def player_lives(d: Dataset) -> DataFrame:
 
 
 def life_detail(d: Dataset) -> DataFrame:
-    """Every life with its sessions as an ordered array of structs."""
-    logs = d["sessions"].groupBy(F.col("life_id").alias("id")).agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("connected_at", F.col("id").alias("session_id"), "disconnected_at",
-                         "duration_seconds", "close_reason")
-            )
-        ).alias("sessions")
+    """Every life with its sessions, one row per session in ``connected_at`` order when sorted.
+
+    Flat on purpose: a life may hold any number of sessions, so they are never gathered into one
+    array.
+    """
+    logs = d["sessions"].select(
+        F.col("life_id").alias("id"), F.col("id").alias("session_id"), "connected_at",
+        "disconnected_at", "duration_seconds", "close_reason",
     )
     return d.lives_of.join(logs, "id", "left")
 
