@@ -8,8 +8,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifelog.operators.ordered import event_slice, ordered_scan, running_sum
 from lifelog.projections import Projections
 from lifelog.queries import Dataset
+from lifelog.sources.extract import assign_timestamps
 from lifelog.sources.payload import typed_events
 from lifelog.staging import stage
 
@@ -122,6 +124,108 @@ class World:
     def projections(self) -> Projections:
         return Projections(self.typed)
 
+    # --- log text --------------------------------------------------------------------------
+
+    @cached_property
+    def log_lines(self) -> DataFrame:
+        """The events written as server log lines, one endless file per server.
+
+        ``file, line_index, text, started_at, server_id, event_id``; line 0 is a boot header.
+        """
+        k, u = F.col("k"), F.col("user_id").cast("string")
+        two = lambda c: F.format_string("%.2f", c)
+        pos = F.concat(F.lit("pos=<"), two(F.col("value") * 30), F.lit(", "), two((k * 150).cast("double")), F.lit(", 1.0>"))
+        who = F.concat(F.lit('Player "P'), u, F.lit('" (id=H'), u, F.lit(" "), pos, F.lit(")"))
+        dead = F.concat(F.lit('Player "P'), u, F.lit('" (DEAD) (id=H'), u, F.lit(" "), pos, F.lit(")"))
+        foe = (F.col("user_id") + 1 + k % 5).cast("string")
+        enemy = F.concat(F.lit('Player "P'), foe, F.lit('" (id=H'), foe, F.lit(" pos=<1.0, 1.0, 1.0>)"))
+        weapon = F.when(k % 3 == 0, "M4A1").when(k % 3 == 1, "Hunting Knife").otherwise("SKS")
+        end = (
+            F.when(k % 2 == 0, F.concat(F.lit(" killed by "), enemy, F.lit(" with "), weapon, F.lit(" from "),
+                                        two(F.col("value")), F.lit(" meters")))
+            .when(k % 10 == 1, " committed suicide").when(k % 10 == 3, " bled out")
+            .when(k % 10 == 5, " killed by Animal_CanisLupus_Grey")
+            .when(k % 10 == 7, F.concat(F.lit(" died. Stats> Water: "), (k % 6).cast("string"), F.lit(" Energy: "),
+                                        (k % 4).cast("string"), F.lit(" Bleed sources: "), (k % 3).cast("string")))
+            .otherwise(" killed by BarbedWire")
+        )
+        source = (
+            F.when(k % 3 == 0, enemy).when(k % 3 == 1, "Infected").when(k % 5 == 0, "FireplaceBase")
+            .when(k % 5 == 2, "FallDamageHealth").otherwise("BarbedWire")
+        )
+        hit = F.concat(who, F.lit("[HP: "), two(F.col("value")), F.lit("] hit by "), source,
+                       F.when(k % 4 != 0, F.lit(" into Torso(3)")).otherwise(""), F.lit(" for 1.5 damage"))
+        kind = F.col("type")
+        body = (
+            F.when(kind == "player.connected", F.concat(who, F.lit(" is connected")))
+            .when(kind == "player.disconnected", F.concat(who, F.lit(" has been disconnected")))
+            .when(kind == "player.died", F.concat(dead, end))
+            .when(kind == "player.hit", hit)
+            .when(kind == "player.unconscious", F.concat(who, F.lit(" is unconscious")))
+            .when(kind == "build.placed", F.concat(who, F.lit("placed Fence"), (k % 7).cast("string")))
+            .otherwise(who)
+        )
+        clock = F.date_format("at", "HH:mm:ss")
+        text = F.when(
+            kind == "server.rebooted",
+            F.concat(F.lit("AdminLog started on "), F.date_format("at", "yyyy-MM-dd"), F.lit(" at "), clock),
+        ).otherwise(F.concat(clock, F.lit(" | "), body))
+        rows = self.source.join(self.events.select("event_id", "type"), "event_id").select(
+            "event_id", "server_id", F.concat(F.lit("server-"), F.col("server_id").cast("string")).alias("file"),
+            text.alias("text"),
+        )
+        numbered = ordered_scan(rows, ["file"], ["event_id"], event_slice(), n=running_sum(F.lit(1).cast("long")))
+        lines = numbered.select("event_id", "server_id", "file", F.col("n").cast("int").alias("line_index"), "text")
+        headers = self.servers.select(
+            F.lit(None).cast("long").alias("event_id"), F.col("id").alias("server_id"),
+            F.concat(F.lit("server-"), F.col("id").cast("string")).alias("file"), F.lit(0).alias("line_index"),
+            F.lit("AdminLog started on 2024-01-01 at 00:00:00").alias("text"),
+        )
+        return stage(
+            lines.unionByName(headers).withColumn("started_at", F.lit(datetime(2024, 1, 1)).cast("timestamp")),
+            "log-lines",
+        )
+
+    @cached_property
+    def stamped_lines(self) -> DataFrame:
+        return stage(assign_timestamps(self.log_lines), "stamped-lines")
+
+    @cached_property
+    def raw_lines(self) -> DataFrame:
+        return self.stamped_lines.where(F.col("event_id").isNotNull()).select(
+            F.col("event_id").alias("raw_line_id"), "server_id", F.col("server_id").cast("long").alias("file_id"),
+            "line_index", "occurred_at", "text",
+        )
+
+    @cached_property
+    def vague_deaths(self) -> DataFrame:
+        """Death events that still carry the bare cause and no vitals."""
+        blank = _payload(victim=F.lit("V"), cause=F.lit("died"), killer=F.lit(None).cast("string"),
+                         weapon=F.lit(None).cast("string"), distance=F.lit(None).cast("double"))
+        return self.events.where(F.col("type") == "player.died").select(
+            "event_id", "server_id", "type", "occurred_at", blank.alias("payload"),
+            F.col("event_id").alias("raw_line_id"),
+        )
+
+    @cached_property
+    def day_files(self) -> DataFrame:
+        """One log file per server and day."""
+        day = F.date_trunc("day", "at")
+        return self.source.groupBy("server_id", day.alias("started_at")).agg(
+            F.max("at").alias("last_at"), F.count("*").cast("int").alias("n")
+        ).select(
+            "server_id", F.concat_ws("-", F.lit("f"), F.col("server_id").cast("string"),
+                                     F.date_format("started_at", "yyyyMMdd")).alias("file"),
+            "started_at", (F.col("last_at") + F.expr("interval 5 hours")).alias("modified_at"), "n",
+        )
+
+    @cached_property
+    def day_cursor(self) -> DataFrame:
+        """The first ten days are loaded."""
+        return self.day_files.where(F.col("started_at") < F.lit(datetime(2024, 1, 11))).select(
+            "file", F.col("n").alias("last_processed_line"), F.lit(True).alias("is_complete")
+        )
+
     # --- side tables ---------------------------------------------------------------------
 
     @cached_property

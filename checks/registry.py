@@ -23,7 +23,12 @@ from lifelog.plans import ledger as PL
 from lifelog.plans import links as PK
 from lifelog.plans import notifications as PN
 from lifelog.queries import accounts, articles, boards, lives, maps, players
+from lifelog.sources import backfill as BF
+from lifelog.sources import extract as EX
+from lifelog.sources import logs as L
 from lifelog.sources import tables as S
+from lifelog.sources.payload import typed_events, validate_events
+from lifelog.streaming import presence_spans, stream_encounters
 
 from .base_sql import FRESH, GAP, NOW, QUALIFY, RECENT, SINCE, seconds, with_base
 from .bindings import NOW as NOW_VALUE
@@ -83,7 +88,7 @@ add("builds", lambda w: w.projections.build_events.select(
 add("positions", lambda w: w.projections.positions, "SELECT * FROM fixes")
 add("knockouts", lambda w: w.projections.unconscious_events.drop("event_id"), "SELECT * FROM downs")
 add("valid_events",
-    lambda w: __import__("lifelog.sources.payload", fromlist=["x"]).validate_events(w.events)[0]
+    lambda w: validate_events(w.events)[0]
     .groupBy("type").agg(F.count("*").alias("n")),
     """SELECT CASE t WHEN 'connect' THEN 'player.connected' WHEN 'leave' THEN 'player.disconnected'
          WHEN 'die' THEN 'player.died' WHEN 'down' THEN 'player.unconscious' WHEN 'build' THEN 'build.placed'
@@ -915,7 +920,15 @@ add("find_mentions",
     lambda w: TX.find_mentions(w.raw("documents").withColumn(
         "roster", F.array(F.lit("The"), F.lit("Of the"), F.concat(F.lit("s"), F.substring("lang", 1, 1)))))
     .groupBy("doc_id").agg(F.count("*").alias("mentions"), F.min("start").alias("first_at")),
-    None)
+    """SELECT doc_id, count(*) AS mentions, min(CAST(at_end - length(m) AS INTEGER)) AS first_at FROM (
+         SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS at_end,
+           right(coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), '') || gap, 1) AS l,
+           left(nxt || coalesce(lead(m) OVER (PARTITION BY doc_id ORDER BY i), ''), 1) AS r
+         FROM (SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, unnest(gaps[2:len(ms) + 1]) AS nxt,
+                 unnest(range(len(ms))) AS i
+               FROM (SELECT doc_id, regexp_extract_all(text, '(?i)of the|the|s' || lang[1]) AS ms,
+                       string_split_regex(text, '(?i)of the|the|s' || lang[1]) AS gaps FROM documents)))
+       WHERE NOT regexp_matches(l, '[A-Za-z0-9_]') AND NOT regexp_matches(r, '[A-Za-z0-9_]') GROUP BY doc_id""", base=False)
 add("dedupe_quotes",
     lambda w: TX.dedupe_quotes(
         w.prose.where(F.col("status") != "published").select(
@@ -924,3 +937,114 @@ add("dedupe_quotes",
     """SELECT id, CASE WHEN NOT used THEN lang END AS quote_text, CASE WHEN NOT used THEN upper(kind) END AS quote_attribution
        FROM (SELECT *, kind IN (SELECT kind FROM prose WHERE status = 'published' AND lang = 'fr') AS used
              FROM prose WHERE status <> 'published')""")
+
+# --- log text -------------------------------------------------------------------------------
+
+LINES = """ln AS (SELECT *, CAST(row_number() OVER (PARTITION BY server_id ORDER BY event_id) AS INTEGER) AS line_index,
+    'server-' || server_id AS file FROM ev),
+  px AS (SELECT *, CAST(printf('%.2f', value * 30) AS DOUBLE) AS x, CAST(k * 150 AS DOUBLE) AS y,
+      value * 30 <= 16360 AND k * 150 <= 16360 AS inside FROM ln),
+  clk0 AS (SELECT server_id, line_index, event_id, t, tm, CAST(epoch(date_trunc('second', tm)) AS BIGINT) % 86400 AS sec,
+      lag(CAST(epoch(date_trunc('second', tm)) AS BIGINT) % 86400, 1, 0) OVER (PARTITION BY server_id ORDER BY line_index) AS before
+    FROM ln),
+  clk1 AS (SELECT *, CASE WHEN t <> 'boot' AND before - sec > 43200 THEN 1 ELSE 0 END AS roll,
+      count(*) FILTER (WHERE t = 'boot') OVER (PARTITION BY server_id ORDER BY line_index) AS seg FROM clk0),
+  clk AS (SELECT *, coalesce(max(CASE WHEN t = 'boot' THEN date_trunc('day', tm) END) OVER (PARTITION BY server_id, seg),
+      TIMESTAMP '2024-01-01') + to_days(CAST(sum(roll) OVER (PARTITION BY server_id, seg ORDER BY line_index) AS INTEGER))
+      + to_seconds(sec) AS stamp FROM clk1)"""
+add("parse_lines",
+    lambda w: EX.parse_lines(w.log_lines.where(F.col("event_id").isNotNull()).select("file", "line_index", "text"))
+    .select("file", "line_index", "sub_index", "type"),
+    """SELECT file, line_index, CAST(row_number() OVER (PARTITION BY file, line_index ORDER BY o) - 1 AS INTEGER) AS sub_index, type
+       FROM (
+         SELECT file, line_index, 0 AS o, CASE t WHEN 'boot' THEN 'server.rebooted' WHEN 'connect' THEN 'player.connected'
+           WHEN 'leave' THEN 'player.disconnected' WHEN 'die' THEN 'player.died' WHEN 'hit' THEN 'player.hit'
+           ELSE 'build.placed' END AS type FROM px WHERE t NOT IN ('fix', 'down')
+         UNION ALL SELECT file, line_index, 1, 'player.position' FROM px WHERE t NOT IN ('boot', 'hit') AND inside
+         UNION ALL SELECT file, line_index, 2, 'player.unconscious' FROM px WHERE t = 'down')""", extra=LINES)
+add("extracted_fields",
+    lambda w: typed_events(EX.parse_lines(w.log_lines.where(F.col("event_id").isNotNull()).select("event_id", "text")))
+    .where(F.col("type").isin("player.died", "player.hit", "player.position", "build.placed")).select(
+        "event_id", "type", F.coalesce("victim", "gamertag").alias("who"), "cause", "killer", "weapon", "distance", "energy",
+        "death_entity", "victim_hp", "attacker_type", "attacker_gamertag", "attacker_label", "body_part", "x", "y", "object"),
+    """SELECT event_id, type, label AS who,
+         CASE WHEN type <> 'player.died' THEN NULL WHEN k % 2 = 0 THEN 'pvp' WHEN k % 10 = 1 THEN 'suicide' WHEN k % 10 = 3 THEN 'bled_out'
+           WHEN k % 10 = 5 THEN 'wolf' WHEN k % 10 = 7 THEN 'died' ELSE 'environment' END AS cause,
+         CASE WHEN type = 'player.died' AND k % 2 = 0 THEN 'P' || (user_id + 1 + k % 5) END AS killer,
+         CASE WHEN type = 'player.died' AND k % 2 = 0 THEN CASE k % 3 WHEN 0 THEN 'M4A1' WHEN 1 THEN 'Hunting Knife' ELSE 'SKS' END END AS weapon,
+         CASE WHEN type = 'player.died' AND k % 2 = 0 THEN CAST(printf('%.2f', value) AS DOUBLE) END AS distance,
+         CASE WHEN type = 'player.died' AND k % 10 = 7 THEN CAST(k % 4 AS DOUBLE) END AS energy,
+         CASE WHEN type = 'player.died' AND k % 10 = 5 THEN 'Animal_CanisLupus_Grey'
+              WHEN type = 'player.died' AND k % 10 = 9 THEN 'BarbedWire' END AS death_entity,
+         CASE WHEN type = 'player.hit' THEN CAST(printf('%.2f', value) AS DOUBLE) END AS victim_hp,
+         CASE WHEN type = 'player.hit' THEN CASE k % 3 WHEN 0 THEN 'player' WHEN 1 THEN 'infected' ELSE 'environment' END END AS attacker_type,
+         CASE WHEN type = 'player.hit' AND k % 3 = 0 THEN 'P' || (user_id + 1 + k % 5) END AS attacker_gamertag,
+         CASE WHEN type = 'player.hit' AND k % 3 = 1 THEN 'Infected' WHEN type = 'player.hit' AND k % 3 = 2 THEN
+           CASE k % 5 WHEN 0 THEN 'FireplaceBase' WHEN 2 THEN 'FallDamageHealth' ELSE 'BarbedWire' END END AS attacker_label,
+         CASE WHEN type = 'player.hit' AND k % 4 <> 0 THEN 'Torso' END AS body_part,
+         CASE WHEN type <> 'player.died' AND inside THEN x END AS x, CASE WHEN type <> 'player.died' AND inside THEN y END AS y,
+         CASE WHEN type = 'build.placed' THEN 'Fence' || (k % 7) END AS object
+       FROM (SELECT *, CASE t WHEN 'die' THEN 'player.died' WHEN 'hit' THEN 'player.hit' ELSE 'build.placed' END AS type FROM px
+               WHERE t IN ('die', 'hit', 'build')
+             UNION ALL SELECT *, 'player.position' FROM px WHERE t NOT IN ('boot', 'hit') AND inside)""", extra=LINES)
+add("line_timestamps", lambda w: w.stamped_lines.where(F.col("event_id").isNotNull()).select("event_id", "occurred_at"),
+    "SELECT event_id, CASE WHEN t <> 'boot' THEN stamp END AS occurred_at FROM clk", extra=LINES)
+add("backfill_unconscious",
+    lambda w: BF.backfill_unconscious(
+        w.raw_lines, w.raw_lines.where(F.col("raw_line_id") % 2 == 0).select(
+            "server_id", "file_id", "line_index", F.lit(1).alias("sub_index")))
+    .select("raw_line_id", "line_index", "occurred_at"),
+    """SELECT event_id AS raw_line_id, line_index, stamp AS occurred_at FROM clk WHERE t = 'down' AND event_id % 2 = 1""",
+    extra=LINES)
+add("rederive_causes",
+    lambda w: BF.rederive_causes(w.vague_deaths, w.raw_lines)[0].select(
+        "event_id", F.get_json_object("payload", "$.cause").alias("cause"),
+        F.get_json_object("payload", "$.deathEntity").alias("entity")),
+    """SELECT event_id, CASE WHEN k % 2 = 0 THEN 'pvp' WHEN k % 10 = 1 THEN 'suicide' WHEN k % 10 = 3 THEN 'bled_out'
+         WHEN k % 10 = 5 THEN 'wolf' ELSE 'died' END AS cause,
+         CASE k % 10 WHEN 5 THEN 'Animal_CanisLupus_Grey' WHEN 9 THEN 'BarbedWire' END AS entity
+       FROM ev WHERE t = 'die' AND k % 10 <> 7""")
+add("unmapped_entities", lambda w: BF.rederive_causes(w.vague_deaths, w.raw_lines)[1],
+    "SELECT 'BarbedWire' AS entity, count(*) AS deaths FROM ev WHERE t = 'die' AND k % 10 = 9 HAVING count(*) > 0")
+add("rederive_vitals",
+    lambda w: BF.rederive_vitals(w.vague_deaths, w.raw_lines).select(
+        "event_id", F.get_json_object("payload", "$.energy").cast("double").alias("energy"),
+        F.get_json_object("payload", "$.bleedSources").cast("int").alias("bleed")),
+    """SELECT event_id, CAST(k % 4 AS DOUBLE) AS energy, k % 3 AS bleed FROM ev WHERE t = 'die' AND k % 10 = 7""")
+FILES = """df AS (SELECT server_id, date_trunc('day', tm) AS started_at, max(tm) + INTERVAL 5 HOUR AS modified_at,
+    'f-' || server_id || '-' || strftime(date_trunc('day', tm), '%Y%m%d') AS file, CAST(count(*) AS INTEGER) AS n FROM e GROUP BY ALL)"""
+add("clock_offsets", lambda w: L.clock_offsets(w.day_files, w.servers),
+    """SELECT server_id, CAST(floor(min((epoch_us(modified_at) // 1000) - (epoch_us(started_at) // 1000)) / 900000.0 + 0.5) * 900000 AS BIGINT)
+         AS clock_offset_ms FROM df GROUP BY server_id""", extra=FILES)
+add("files_to_load", lambda w: L.files_to_load(w.day_files, w.day_cursor, 5),
+    """SELECT server_id, file, started_at, newest AS is_newest,
+         CASE WHEN started_at < TIMESTAMP '2024-01-11' THEN n ELSE 0 END AS last_processed_line FROM (
+         SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY newest, started_at) AS place,
+           count(*) FILTER (WHERE NOT newest) OVER (PARTITION BY server_id) AS closed FROM (
+           SELECT *, started_at = max(started_at) OVER (PARTITION BY server_id) AS newest FROM df)
+         WHERE newest OR started_at >= TIMESTAMP '2024-01-11')
+       WHERE CASE WHEN newest THEN closed <= 5 ELSE place <= 5 END""", extra=FILES)
+add("incremental_lines",
+    lambda w: L.incremental_lines(
+        w.log_lines.where(F.col("event_id").isNotNull()).select("event_id", "file", "line_index"),
+        w.servers.select(F.concat(F.lit("server-"), F.col("id").cast("string")).alias("file"),
+                         (F.col("id") * 100).alias("last_processed_line")).where(F.col("file") != "server-3")),
+    """SELECT event_id, file, line_index FROM ln WHERE line_index >= CASE WHEN server_id < 3 THEN server_id * 100 ELSE 0 END""",
+    extra=LINES)
+
+# --- session windows (the batch side of the streaming operators) ------------------------------
+
+WINDOW_SQL = """SELECT {keys}, min(tm) AS {a}, max(tm) AS {b}{more} FROM (
+    SELECT *, sum(opens) OVER (PARTITION BY {keys} ORDER BY tm, event_id) AS n FROM (
+      SELECT *, CASE WHEN epoch_us(tm) - epoch_us(lag(tm) OVER (PARTITION BY {keys} ORDER BY tm, event_id)) <= {gap} * CAST(1000000 AS BIGINT)
+        THEN 0 ELSE 1 END AS opens FROM {source})) GROUP BY {keys}, n"""
+add("encounter_windows", lambda w: stream_encounters(w.dataset.life_hits, ["life_id", "attacker_type"], GAP),
+    WINDOW_SQL.format(keys="life_id, attacker_type", a="started_at", b="last_at", gap=GAP,
+                      more=", count(*) AS hits, min(victim_hp) AS hp_low",
+                      source="(SELECT *, occurred_at AS tm FROM life_hits)"))
+add("presence_spans",
+    lambda w: presence_spans(w.projections.resolved.where(
+        F.col("type").isin("player.connected", "player.position") & F.col("player_id").isNotNull()), FRESH),
+    WINDOW_SQL.format(keys="server_id, player_id", a="seen_from", b="seen_to", gap=FRESH,
+                      more=f", max(tm) + to_seconds({FRESH}) AS expires_at",
+                      source="(SELECT * FROM r WHERE t IN ('connect', 'fix') AND player_id IS NOT NULL)"))

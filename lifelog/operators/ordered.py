@@ -90,7 +90,8 @@ def ordered_scan(
     for name, scan in scans.items():
         work = work.withColumn(f"__v_{name}", scan.value)
 
-    place = F.struct(*order)
+    # A single ordering column keeps the summary in a hash aggregate; structs need a sorted one.
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     forward = Window.partitionBy(*keys, _SLICE).orderBy(*order)
     backward = Window.partitionBy(*keys, _SLICE).orderBy(*[F.col(c).desc() for c in order])
     earlier = forward.rowsBetween(Window.unboundedPreceding, -1)
