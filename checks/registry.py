@@ -235,7 +235,7 @@ add("referral_counts", lambda w: A.referral_counts(w.referrals, w.claims),
 add("inbox_counts", lambda w: A.inbox_counts(w.notifications),
     """SELECT user_id, count(*) AS total, count(*) FILTER (WHERE read_at IS NULL) AS unread
        FROM notifications GROUP BY user_id""")
-add("usual_cause", lambda w: players.player_priors(w.dataset).select("life_id", "usual_death_cause"),
+add("usual_cause", lambda w: w.dataset.priors.select("life_id", "usual_death_cause"),
     """SELECT n.id AS life_id, (SELECT f.fam FROM (
            SELECT CASE WHEN death_cause IN ('wolf', 'bear', 'animal') THEN 'animal' ELSE death_cause END AS fam,
                   count(*) AS n, min(started_at) AS first_at
@@ -596,7 +596,7 @@ add("player_past_lives",
          WHERE s.qualified AND s.ended_at IS NOT NULL)
        WHERE pos > (pg - 1) * 3 AND pos <= pg * 3""")
 add("player_priors",
-    lambda w: players.player_priors(w.dataset).drop("usual_death_cause"),
+    lambda w: w.dataset.priors.drop("usual_death_cause"),
     """SELECT n.id AS life_id, n.player_id, count(p.id) AS lives_lived, coalesce(max(p.playtime_seconds), 0) AS longest_life_seconds,
          (SELECT count(*) FROM kills k WHERE k.killer_player_id = n.player_id AND k.occurred_at < n.started_at) AS total_kills,
          arg_max(p.death_cause, p.ended_at) FILTER (WHERE p.ended_at IS NOT NULL) AS last_death_cause,

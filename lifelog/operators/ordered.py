@@ -86,9 +86,7 @@ def ordered_scan(
 ) -> DataFrame:
     """Add one column per scan.  ``order`` names columns that order the rows of a key totally."""
     keys, order = list(keys), list(order)
-    work = df.withColumn(_SLICE, slice_by)
-    for name, scan in scans.items():
-        work = work.withColumn(f"__v_{name}", scan.value)
+    work = df.withColumns({_SLICE: slice_by, **{f"__v_{n}": s.value for n, s in scans.items()}})
 
     # A single ordering column keeps the summary in a hash aggregate; structs need a sorted one.
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -134,16 +132,14 @@ def ordered_scan(
             raise ValueError(f"unknown scan kind {scan.kind!r}")
 
     carried = [f"__c_{name}" for name in scans]
+    # Slices without any value keep their summary row: their rows still need what is carried in.
     carry_rows = (
         work.groupBy(*keys, _SLICE)
         .agg(*summaries)
         .select(*keys, _SLICE, *carries)
         .where(reduce(Column.__or__, [F.col(c).isNotNull() for c in carried]))
     )
-    scanned = work
-    for column, expression in local.items():
-        scanned = scanned.withColumn(column, expression)
-    joined = scanned.join(carry_rows, [*keys, _SLICE], "left")
+    joined = work.withColumns(local).join(carry_rows, [*keys, _SLICE], "left")
     return joined.select(*df.columns, *[final[name].alias(name) for name in scans])
 
 

@@ -19,6 +19,7 @@ from ..operators.joins import (
     with_open_session,
     with_players,
 )
+from ..operators.tracks import thin_track
 from ..operators.windows import qualified_at
 from ..staging import stage
 
@@ -141,3 +142,20 @@ class Dataset:
         from .lives import death_verdicts
 
         return stage(death_verdicts(self), "verdicts")
+
+    @cached_property
+    def life_fixes(self) -> DataFrame:
+        from .lives import life_fixes
+
+        return stage(life_fixes(self), "life-fixes")
+
+    @cached_property
+    def thinned_fixes(self) -> DataFrame:
+        points = self.life_fixes.select("life_id", "event_id", "x", "y", "recorded_at")
+        return stage(thin_track(points), "thin-track")
+
+    @cached_property
+    def priors(self) -> DataFrame:
+        from .players import player_priors
+
+        return stage(player_priors(self), "priors")

@@ -21,7 +21,6 @@ from ..functions.verdict import classify_death
 from ..operators.aggregates import life_ordeals
 from ..operators.joins import LIFE_KEYS, asof_fix, in_lives
 from ..operators.ordered import latest_by
-from ..operators.tracks import thin_track
 from ..operators.windows import life_encounters, played_seconds_at, segment_track, session_groups
 from ..staging import stage
 from .dataset import Dataset
@@ -228,8 +227,7 @@ def life_track(d: Dataset) -> dict[str, DataFrame]:
     ``points``: thinned trail split by session; ``markers``: kills, death or current place at the
     last raw fix before them; ``summary``: sample count and whether the trail was cut.
     """
-    raw = stage(life_fixes(d), "life-fixes")
-    thinned = stage(thin_track(raw.select("life_id", "event_id", "x", "y", "recorded_at")), "thin-track")
+    raw, thinned = d.life_fixes, d.thinned_fixes
     caps = d.lives_of.select(
         F.col("id").alias("life_id"),
         F.coalesce("ended_at", "last_seen_at", "started_at").alias("cap_at"),
@@ -276,8 +274,6 @@ def life_track(d: Dataset) -> dict[str, DataFrame]:
 
 def obituary_facts(d: Dataset) -> DataFrame:
     """Facts sheet of every ended life, with the player's reputation before it."""
-    from .players import player_priors
-
     places = d["servers"].select(F.col("id").alias("server_id"), "map", F.col("slug").alias("map_slug"))
     lives = d.life_status.where(F.col("ended_at").isNotNull()).select(
         F.col("id").alias("life_id"), *LIFE_KEYS, "gamertag", "life_number", "ended_at",
@@ -293,7 +289,7 @@ def obituary_facts(d: Dataset) -> DataFrame:
     rows = (
         lives.join(places, "server_id")
         .join(verdicts, "life_id")
-        .join(player_priors(d).drop("player_id"), "life_id")
+        .join(d.priors.drop("player_id"), "life_id")
     )
     named = ~is_unrecorded_cause(F.col("cause")) | ~is_unrecorded_cause(F.col("verdict_cause"))
     category = (
