@@ -8,6 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifelog.functions.scalars import instant
 from lifelog.operators.ordered import event_slice, ordered_scan, running_sum
 from lifelog.projections import Projections
 from lifelog.queries import Dataset
@@ -182,7 +183,7 @@ class World:
             F.lit("AdminLog started on 2024-01-01 at 00:00:00").alias("text"),
         )
         return stage(
-            lines.unionByName(headers).withColumn("started_at", F.lit(datetime(2024, 1, 1)).cast("timestamp")),
+            lines.unionByName(headers).withColumn("started_at", instant(datetime(2024, 1, 1))),
             "log-lines",
         )
 
@@ -222,7 +223,7 @@ class World:
     @cached_property
     def day_cursor(self) -> DataFrame:
         """The first ten days are loaded."""
-        return self.day_files.where(F.col("started_at") < F.lit(datetime(2024, 1, 11))).select(
+        return self.day_files.where(F.col("started_at") < instant(datetime(2024, 1, 11))).select(
             "file", F.col("n").alias("last_processed_line"), F.lit(True).alias("is_complete")
         )
 
@@ -367,7 +368,7 @@ class World:
             F.concat(F.lit("P"), u.cast("string")).alias("gamertag"),
             F.when(i == 2, "verified").otherwise("pending").alias("status"),
             F.lit(None).cast("timestamp").alias("verified_at"),
-            F.lit(SINCE).cast("timestamp").alias("created_at"),
+            instant(SINCE).alias("created_at"),
         )
 
     @cached_property
@@ -379,8 +380,8 @@ class World:
             F.when(i == 0, F.array(token(u), token(u + 1), token(u + 2)))
             .otherwise(F.array(token(u + 1), token(u))).alias("sequence"),
             F.lit(0).alias("progress_index"), F.lit(0).cast("long").alias("last_matched_event_id"),
-            F.lit(datetime(2024, 1, 5)).cast("timestamp").alias("issued_at"),
-            F.lit(datetime(2024, 1, 25)).cast("timestamp").alias("expires_at"),
+            instant(datetime(2024, 1, 5)).alias("issued_at"),
+            instant(datetime(2024, 1, 25)).alias("expires_at"),
             F.lit(None).cast("timestamp").alias("completed_at"),
         )
 

@@ -46,11 +46,11 @@ def add(name: str, build: Callable[[World], DataFrame], sql: str | None, extra:
 
 
 def now():
-    return F.lit(NOW_VALUE).cast("timestamp")
+    return X.instant(NOW_VALUE)
 
 
 def since():
-    return F.lit(SINCE_VALUE).cast("timestamp")
+    return X.instant(SINCE_VALUE)
 
 
 # --- projections ---------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column
@@ -15,6 +16,11 @@ def _lookup(key: Column, values: dict) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def instant(at: datetime) -> Column:
+    """Timestamp literal of a naive datetime in the session time zone, whatever the local one."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp")
+
+
 def round_half_up(value: Column) -> Column:
     """Rounding of halves towards +infinity: floor(x + 0.5)."""
     return F.floor(value + F.lit(0.5))

@@ -28,7 +28,10 @@ _SLICE = "__slice"
 
 
 def event_slice(column: str = "event_id", width: int = SLICE_EVENTS) -> Column:
-    """Slice of an integer ordering column."""
+    """Slice of an integer ordering column.
+
+    Event ids are a dense sequence, so a slice holds at most ``width`` events of any key.
+    """
     return F.expr(f"`{column}` div {width}")
 
 

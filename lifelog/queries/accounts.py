@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import INBOX_PAGE_SIZE, WALLET_ROWS
-from ..functions.scalars import emote_label
+from ..functions.scalars import emote_label, instant
 from ..operators.aggregates import inbox_counts
 from ..operators.ordered import latest_by, top_per_key
 
@@ -31,14 +33,14 @@ def inbox(notifications: DataFrame, page: int = 1, size: int = INBOX_PAGE_SIZE)
     return rows.join(inbox_counts(notifications), "user_id")
 
 
-def links_with_challenge(links: DataFrame, challenges: DataFrame, now) -> DataFrame:
+def links_with_challenge(links: DataFrame, challenges: DataFrame, now: datetime) -> DataFrame:
     """Links of all users; pending ones carry their newest challenge with readable emotes."""
     newest = latest_by(
         challenges, ["gamertag_link_id"], [F.col("issued_at"), F.col("id")]
     ).select(
         F.col("gamertag_link_id").alias("id"),
         F.transform("sequence", lambda t: F.coalesce(emote_label(t), t)).alias("steps"),
-        "progress_index", "expires_at", (F.lit(now) > F.col("expires_at")).alias("expired"),
+        "progress_index", "expires_at", (instant(now) > F.col("expires_at")).alias("expired"),
     )
     pending = newest.join(
         links.where(F.col("status") == "pending").select("id"), "id", "left_semi"

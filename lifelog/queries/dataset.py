@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed import ENCOUNTER_GAP_SECONDS, FRESH_SECONDS, QUALIFY_SECONDS, RECENT_WINDOW_SECONDS
-from ..functions.scalars import live_playtime
+from ..functions.scalars import instant, live_playtime
 from ..operators.filters import is_qualified
 from ..operators.joins import (
     kill_summary,
@@ -53,7 +53,7 @@ class Dataset:
 
     @property
     def now(self) -> Column:
-        return F.lit(self.now_value).cast("timestamp")
+        return instant(self.now_value)
 
     @cached_property
     def last_seen(self) -> DataFrame:

@@ -1,7 +1,8 @@
 """Log line extraction: one columnar pass from raw lines to typed events.
 
 Every ``extract_*`` takes the line Column and returns a struct Column that is null when the line
-is not of that kind.  All matching is JVM-side regular expressions.
+is not of that kind.  All matching is JVM-side regular expressions, each behind a plain substring
+test so that most lines never reach a pattern they cannot match.
 """
 
 from __future__ import annotations
@@ -50,6 +51,11 @@ def _number(text: Column) -> Column:
     return F.regexp_extract(text, r"^\s*(-?(?:\d+\.?\d*|\.\d+))", 1).try_cast("double")
 
 
+def _decimal(text: Column) -> Column:
+    """Number of a text of digits and dots; of several dots only the first counts."""
+    return F.coalesce(text.try_cast("double"), _number(text))
+
+
 def _when(condition: Column, **fields: Column) -> Column:
     return F.when(condition, F.struct(*[v.alias(k) for k, v in fields.items()]))
 
@@ -59,11 +65,11 @@ def extract_boot(c: Column) -> Column:
     local = F.concat(
         F.concat_ws("-", *parts[:3]), F.lit(" "), F.concat_ws(":", *parts[3:])
     )
-    return _when(c.rlike(HEADER), localDateTime=local)
+    return _when(c.contains("AdminLog started on ") & c.rlike(HEADER), localDateTime=local)
 
 
 def extract_roster(c: Column) -> Column:
-    return _when(c.rlike(ROSTER), count=_group(c, ROSTER, 1).cast("int"))
+    return _when(c.contains("PlayerList log:") & c.rlike(ROSTER), count=_group(c, ROSTER, 1).cast("int"))
 
 
 def extract_presence(c: Column, what: str) -> Column:
@@ -73,7 +79,7 @@ def extract_presence(c: Column, what: str) -> Column:
         "disconnected": " has been disconnected",
     }[what]
     pattern = WITH_ID + suffix
-    matched = c.rlike(pattern)
+    matched = c.contains(suffix) & c.rlike(pattern)
     if what == "connected":
         matched = matched & ~c.contains(" is connecting")
     return _when(matched, gamertag=_group(c, pattern, 1), dayzId=_group(c, pattern, 2))
@@ -91,7 +97,7 @@ def entity_cause(entity: Column) -> Column:
 
 def extract_death(c: Column) -> Column:
     """PvP and other deaths.  A bare DEAD marker without a death verb is not a death."""
-    is_pvp = c.rlike(KILLED_BY_PLAYER)
+    is_pvp = c.contains("killed by Player") & c.rlike(KILLED_BY_PLAYER)
     rest = F.regexp_extract(c, KILLED_BY_PLAYER, 5)
     tail = F.regexp_extract(c, DEAD + "(.*)$", 3)
     low = F.lower(tail)
@@ -110,7 +116,7 @@ def extract_death(c: Column) -> Column:
     def pvp(value: Column) -> Column:
         return F.when(is_pvp, value)
 
-    is_death = ~c.contains("hit by") & c.rlike(DEAD) & (is_pvp | low.rlike(DEATH_VERB))
+    is_death = c.contains("(DEAD)") & ~c.contains("hit by") & c.rlike(DEAD) & (is_pvp | low.rlike(DEATH_VERB))
     return _when(
         is_death,
         victim=F.when(is_pvp, _group(c, KILLED_BY_PLAYER, 1)).otherwise(_group(c, DEAD, 1)),
@@ -118,23 +124,26 @@ def extract_death(c: Column) -> Column:
         cause=F.when(is_pvp, F.lit("pvp")).otherwise(cause),
         killer=pvp(_group(c, KILLED_BY_PLAYER, 3)),
         weapon=pvp(F.trim(_group(rest, WEAPON, 1))),
-        distance=pvp(_number(_group(rest, WEAPON, 2))),
-        energy=other(_number(_group(tail, VITALS, 2))),
-        water=other(_number(_group(tail, VITALS, 1))),
+        distance=pvp(_decimal(_group(rest, WEAPON, 2))),
+        energy=other(_decimal(_group(tail, VITALS, 2))),
+        water=other(_decimal(_group(tail, VITALS, 1))),
         bleedSources=other(_group(tail, VITALS, 3).try_cast("int")),
         deathEntity=other(F.when(low.contains("killed by"), entity)),
     )
 
 
-def _xy(c: Column) -> tuple[Column, Column]:
-    x, y = _number(_group(c, POSITION, 1)), _number(_group(c, POSITION, 2))
-    inside = ~c.rlike(OFF_MAP) & x.between(MAP_MIN, MAP_MAX) & y.between(MAP_MIN, MAP_MAX)
-    return F.when(inside, x), F.when(inside, y)
+def coordinates(c: Column) -> Column:
+    """Struct (x, y) of a line, null off the map or without a position.  Bound once."""
+    pair = F.struct(_decimal(_group(c, POSITION, 1)).alias("x"), _decimal(_group(c, POSITION, 2)).alias("y"))
+    inside = F.filter(
+        F.array(pair), lambda p: p["x"].between(MAP_MIN, MAP_MAX) & p["y"].between(MAP_MIN, MAP_MAX)
+    )
+    return F.when(c.contains("pos=<") & ~c.rlike(OFF_MAP), F.get(inside, 0))
 
 
-def extract_hit(c: Column) -> Column:
+def extract_hit(c: Column, xy: Column | None = None) -> Column:
     by_player = r'hit by Player "([^"]+)"'
-    x, y = _xy(c)
+    xy = coordinates(c) if xy is None else xy
     kind = (
         F.when(c.rlike(by_player), "player").when(c.contains("hit by Infected"), "infected")
         .otherwise("environment")
@@ -145,31 +154,32 @@ def extract_hit(c: Column) -> Column:
     return _when(
         c.contains("hit by") & c.rlike(PLAYER),
         victim=_group(c, PLAYER, 1),
-        victimHp=_number(_group(c, r"\[HP:\s*([\d.]+)\]", 1)),
+        victimHp=_decimal(_group(c, r"\[HP:\s*([\d.]+)\]", 1)),
         attackerType=kind,
         attackerGamertag=F.when(kind == "player", _group(c, by_player, 1)),
         attackerLabel=label,
-        damage=_number(_group(c, r"for ([\d.]+) damage", 1)),
+        damage=_decimal(_group(c, r"for ([\d.]+) damage", 1)),
         bodyPart=_group(c, r"into ([A-Za-z]+)(?:\(\d+\))?", 1),
-        x=x, y=y,
+        x=xy["x"], y=xy["y"],
     )
 
 
-def extract_build(c: Column) -> Column:
-    x, y = _xy(c)
+def extract_build(c: Column, xy: Column | None = None) -> Column:
+    xy = coordinates(c) if xy is None else xy
+    verbs = c.contains("placed") | c.contains("Built") | c.contains("Dismantled") | c.contains("packed")
     return _when(
-        c.rlike(BUILD),
+        (verbs | c.contains("repaired")) & c.rlike(BUILD),
         gamertag=_group(c, BUILD, 1), action=F.lower(_group(c, BUILD, 2)),
         object=F.trim(_group(c, BUILD, 3)), className=_group(c, BUILD, 4),
-        tool=F.trim(_group(c, BUILD, 5)), x=x, y=y,
+        tool=F.trim(_group(c, BUILD, 5)), x=xy["x"], y=xy["y"],
     )
 
 
-def extract_emote(c: Column) -> Column:
-    x, y = _xy(c)
+def extract_emote(c: Column, xy: Column | None = None) -> Column:
+    xy = coordinates(c) if xy is None else xy
     return _when(
-        c.rlike(EMOTE), gamertag=_group(c, EMOTE, 1), emote=_group(c, EMOTE, 2),
-        item=F.trim(_group(c, EMOTE, 3)), x=x, y=y,
+        c.contains(" performed Emote") & c.rlike(EMOTE), gamertag=_group(c, EMOTE, 1), emote=_group(c, EMOTE, 2),
+        item=F.trim(_group(c, EMOTE, 3)), x=xy["x"], y=xy["y"],
     )
 
 
@@ -179,41 +189,41 @@ def extract_teleport(c: Column) -> Column:
         return F.transform(F.slice(parts, 1, 3), lambda p: _number(p))
 
     return _when(
-        c.rlike(TELEPORT), **{
+        c.contains(" was teleported from: ") & c.rlike(TELEPORT), **{
             "gamertag": _group(c, TELEPORT, 1), "from": triple(2), "to": triple(3),
             "reason": _group(c, TELEPORT, 4),
         }
     )
 
 
-def extract_position(c: Column) -> Column:
-    x, y = _xy(c)
+def extract_position(c: Column, xy: Column | None = None) -> Column:
+    xy = coordinates(c) if xy is None else xy
     return _when(
-        ~c.contains("hit by") & c.rlike(PLAYER) & x.isNotNull() & y.isNotNull(),
-        gamertag=_group(c, PLAYER, 1), x=x, y=y,
+        xy.isNotNull() & ~c.contains("hit by") & c.rlike(PLAYER),
+        gamertag=_group(c, PLAYER, 1), x=xy["x"], y=xy["y"],
     )
 
 
-def extract_unconscious(c: Column) -> Column:
+def extract_unconscious(c: Column, xy: Column | None = None) -> Column:
     leaving = c.contains("is disconnecting while being unconscious")
-    x, y = _xy(c)
+    xy = coordinates(c) if xy is None else xy
     return _when(
         ~c.contains("(DEAD)") & (leaving | c.contains("is unconscious")) & c.rlike(PLAYER),
-        gamertag=_group(c, PLAYER, 1), disconnecting=leaving, x=x, y=y,
+        gamertag=_group(c, PLAYER, 1), disconnecting=leaving, x=xy["x"], y=xy["y"],
     )
 
 
 # Line kind to event type, in the order a line emits its events.  Knockouts come
 # after positions so that the sub_index of stored position events stays what it was.
 _KINDS = [
-    ("player.connecting", lambda c: extract_presence(c, "connecting")),
-    ("player.connected", lambda c: extract_presence(c, "connected")),
-    ("player.disconnected", lambda c: extract_presence(c, "disconnected")),
-    ("player.died", extract_death),
+    ("player.connecting", lambda c, xy: extract_presence(c, "connecting")),
+    ("player.connected", lambda c, xy: extract_presence(c, "connected")),
+    ("player.disconnected", lambda c, xy: extract_presence(c, "disconnected")),
+    ("player.died", lambda c, xy: extract_death(c)),
     ("emote.performed", extract_emote),
     ("player.hit", extract_hit),
     ("build", extract_build),
-    ("player.teleported", extract_teleport),
+    ("player.teleported", lambda c, xy: extract_teleport(c)),
     ("player.position", extract_position),
     ("player.unconscious", extract_unconscious),
 ]
@@ -233,11 +243,21 @@ def parse_lines(lines: DataFrame, text: str = "text") -> DataFrame:
     Header and roster lines yield exactly their one event.
     """
     c = F.col(text)
-    boot = _event("server.rebooted", extract_boot(c))
-    roster = _event("roster.snapshot", extract_roster(c))
-    many = F.filter(F.array(*[_event(t, f(c)) for t, f in _KINDS]), lambda e: e.isNotNull())
-    events = F.when(boot.isNotNull(), F.array(boot)).when(roster.isNotNull(), F.array(roster)).otherwise(many)
     kept = [k for k in lines.columns if k != text]
+    # Coordinates, then line structs, then events: each projection uses the columns of the one
+    # before several times, so Spark keeps them apart and computes every struct once.
+    lines = lines.withColumn("__xy", coordinates(c))
+    found = {"__boot": extract_boot(c), "__roster": extract_roster(c)}
+    found |= {f"__k{i}": extract(c, F.col("__xy")) for i, (_, extract) in enumerate(_KINDS)}
+    lines = lines.withColumns(found)
+    boot = _event("server.rebooted", F.col("__boot"))
+    roster = _event("roster.snapshot", F.col("__roster"))
+    many = F.array_compact(F.array(*[_event(t, F.col(f"__k{i}")) for i, (t, _) in enumerate(_KINDS)]))
+    events = (
+        F.when(F.col("__boot").isNotNull(), F.array(boot))
+        .when(F.col("__roster").isNotNull(), F.array(roster))
+        .otherwise(many)
+    )
     return lines.select(*kept, F.posexplode(events).alias("sub_index", "__e")).select(
         *kept, "sub_index", "__e.type", "__e.payload"
     )

@@ -45,7 +45,8 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     """Numbered, non-blank lines of every ``.ADM`` file: server_id, file, line_index, text.
 
     Files stay splittable: the index is a running count over (file, block), so one very large
-    file is read by many tasks.  Blank lines are dropped but keep their index.
+    file is read by many tasks.  Row ids are only compared within one block of one file, which
+    one task reads in order.  Blank lines are dropped but keep their index.
     """
     lines = (
         spark.read.option("pathGlobFilter", "*.ADM").option("recursiveFileLookup", "true").text(path)

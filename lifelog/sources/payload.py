@@ -46,23 +46,24 @@ def typed_events(events: DataFrame) -> DataFrame:
 
 
 def _valid() -> Column:
-    body = F.col("__p")
-    rules = F.lit(True)
-    for event_type, fields in REQUIRED.items():
-        present = reduce(Column.__and__, [body[f].isNotNull() for f in fields])
-        rules = F.when(F.col("type") == event_type, present).otherwise(rules)
-    for event_type, fields in PRESENT.items():
-        keys = F.json_object_keys("payload")
-        present = reduce(Column.__and__, [F.array_contains(keys, f) for f in fields])
-        rules = rules & F.when(F.col("type") == event_type, present).otherwise(True)
-    is_object = F.col("payload").rlike(r"^\s*\{") & body.isNotNull()
-    return F.coalesce(is_object & rules, F.lit(False))
+    """Whether type and payload agree.  The parsed payload is bound once and tested many times."""
+    parsed = F.struct(
+        F.from_json("payload", PAYLOAD).alias("body"), F.json_object_keys("payload").alias("keys")
+    )
+
+    def rule(p: Column) -> Column:
+        ok = F.lit(True)
+        for event_type, fields in REQUIRED.items():
+            held = reduce(Column.__and__, [p["body"][f].isNotNull() for f in fields])
+            for field in PRESENT.get(event_type, []):
+                held = held & F.array_contains(p["keys"], field)
+            ok = F.when(F.col("type") == event_type, held).otherwise(ok)
+        return p["keys"].isNotNull() & p["body"].isNotNull() & ok
+
+    return F.coalesce(F.exists(F.array(parsed), rule), F.lit(False))
 
 
 def validate_events(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantine): a bad payload is set aside and never fails the batch."""
-    checked = events.withColumn("__p", F.from_json("payload", PAYLOAD)).withColumn("__ok", _valid())
-    return (
-        checked.where("__ok").drop("__p", "__ok"),
-        checked.where(~F.col("__ok")).drop("__p", "__ok"),
-    )
+    ok = _valid()
+    return events.where(ok), events.where(~ok)

@@ -31,12 +31,10 @@ def append_once(path: str, keys: Sequence[str], partition: Sequence[str] = ()):
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """Stored table, or None before its first row."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # folder without data files
+        # Missing folder, or a folder without data files.
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
