@@ -48,7 +48,7 @@ def main() -> None:
     times["rebuild_projections"] = time.perf_counter() - start
     start = time.perf_counter()
     for fact in ("lives_of", "life_kills", "label_kills", "life_hits", "life_knockouts", "life_status",
-                 "qualified_at", "verdicts"):
+                 "qualified_at", "verdicts", "priors", "thinned_fixes"):
         getattr(w.dataset, fact)
     times["life_facts"] = time.perf_counter() - start
 

@@ -66,16 +66,25 @@ def find_mentions(
         F.expr("split(__t, __p, -1)").alias("__g"),
     ).where(F.size("__m") > 0)
     # The characters around match i: the gaps beside it, or the neighbouring match where a gap is
-    # empty.  Starts are running lengths of one text, summed after the explode.
-    spots = rows.select(key, "__g", "__m", F.posexplode("__m").alias("__i", "name")).select(
-        key, "__i", "name",
-        F.element_at("__g", F.col("__i") + 1).alias("__before"),
-        F.element_at("__g", F.col("__i") + 2).alias("__after"),
-        F.when(F.col("__i") > 0, F.element_at("__m", F.greatest(F.col("__i"), F.lit(1)))).alias("__last"),
-        F.try_element_at("__m", F.col("__i") + 2).alias("__next"),
+    # empty.  All five parts are gathered before the explode, so no row carries whole arrays.
+    matches, gaps, none = F.col("__m"), F.col("__g"), F.lit("")
+    parts = F.transform(
+        matches,
+        lambda m, i: F.struct(
+            m.alias("name"),
+            F.get(gaps, i).alias("before"),
+            F.get(gaps, i + 1).alias("after"),
+            F.coalesce(F.get(matches, i - 1), none).alias("last"),
+            F.coalesce(F.get(matches, i + 1), none).alias("next"),
+        ),
     )
-    left = F.right(F.concat(F.coalesce("__last", F.lit("")), "__before"), F.lit(1))
-    right = F.left(F.concat("__after", F.coalesce("__next", F.lit(""))), F.lit(1))
+    spots = rows.select(key, F.posexplode(parts).alias("__i", "__p")).select(
+        key, "__i", F.col("__p.name").alias("name"), F.col("__p.before").alias("__before"),
+        F.col("__p.after").alias("__after"), F.col("__p.last").alias("__last"),
+        F.col("__p.next").alias("__next"),
+    )
+    left = F.right(F.concat("__last", "__before"), F.lit(1))
+    right = F.left(F.concat("__after", "__next"), F.lit(1))
     text_order = Window.partitionBy(key).orderBy("__i")
     start = F.sum(F.length("__before") + F.length("name")).over(text_order) - F.length("name")
     word = r"^[A-Za-z0-9_]$"
