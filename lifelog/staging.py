@@ -5,12 +5,15 @@ the plan.  ``stage`` writes an intermediate once, in columnar form, and reads it
 starts again from a scan, lost executors only rerun the stage they were in, and later readers
 get column pruning and size statistics.
 
-Tables go to the shared folder named by ``spark.checkpoint.dir``; a private folder is used only
-where that is unset (local tests).
+Tables go to the shared folder named by ``spark.checkpoint.dir``.  Where that is unset, a
+cluster uses a folder under the warehouse, which driver and executors share as well; only a
+session of one machine (tests, local runs) gets a temporary folder, removed when Python ends.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,9 +26,13 @@ def stage_root(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stage"
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="lifelog-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
