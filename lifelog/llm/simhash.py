@@ -261,6 +261,21 @@ def near_duplicates(docs: DataFrame, key: Column, radius: int = RADIUS, shingle:
     return marked.join(named, F.col("fp") == F.col("class_fp")).select("doc_key", "fp", "component")
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group stays, the one of the smallest id.
+
+    Rows with equal ids are told apart by their text.
+    """
+    found = near_duplicates(docs, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    kept = found.where(F.col("doc_key").eqNullSafe(F.col("component"))).select(
+        F.col("doc_key.doc_id").alias("kept_id"), F.col("doc_key.text_hash").alias("kept_hash")).distinct()
+    return (
+        docs.withColumn("_hash", F.xxhash64("text"))
+        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi")
+        .drop("_hash").dropDuplicates(["doc_id", "text"])
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     found = near_duplicates(documents(spark, sf_dir), F.col("doc_id"))
