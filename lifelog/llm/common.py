@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs without space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,11 +36,19 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
-def map_rows(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """Apply ``function`` to Arrow batches of ``df``; nothing is shuffled."""
+#: Rows that a Python function gets at once.
+SLICE_ROWS = 256
+
+
+def map_rows(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str | StructType) -> DataFrame:
+    """Apply ``function`` to slices of Arrow batches of ``df``; nothing is shuffled.
+
+    Results leave slice by slice, so what they take beside the batch stays small.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield function(batch)
+            for at in range(0, len(batch), SLICE_ROWS):
+                yield function(batch.iloc[at:at + SLICE_ROWS].reset_index(drop=True))
 
     return df.mapInPandas(run, schema)

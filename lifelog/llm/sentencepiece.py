@@ -38,7 +38,7 @@ META = "▁"
 #: Model file; a cluster names its own place, or ships the file with the job.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Words whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 32
+REMEMBERED, REMEMBERED_LENGTH = 150_000, 24
 
 
 class Vocabulary:
