@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixture", "simhash", "pii", "sentencepiece", "language", "fertility", "quality")
+MODULES = ("mixture", "simhash", "pii", "sentencepiece", "language", "fertility", "quality", "spotsigs")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -179,7 +179,7 @@ _SIGNATURES = f"""
 """
 _READ = f"""
     SELECT *, list_sort(list_distinct({_SIGNATURES})) AS sigs FROM (
-      SELECT *, list_transform(groups, lambda g, i: CASE WHEN instr(g, chr(1)) > 0 AND i < len(groups) THEN
+      SELECT *, list_transform(groups, lambda g, i: CASE WHEN instr(g, chr(1)) > 0 AND i < len(groups) AND string_split(groups[i + 1], chr(1))[-1] <> '' THEN
                   array_to_string(string_split(g, chr(1))[-2:], ':') || ' ' || string_split(groups[i + 1], chr(1))[-1] END) AS chains
       FROM (SELECT *, list_filter(string_split(array_to_string(list_transform(words, lambda w: w || CASE WHEN w IN
                   ({", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))}) THEN chr(1) ELSE ' ' END), ''), ' '), lambda g: g <> '') AS groups
