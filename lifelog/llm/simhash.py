@@ -164,34 +164,51 @@ def forest_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tupl
     return members, label[members]
 
 
-def shard_links(keyed: DataFrame, radius: int) -> DataFrame:
-    """(fp, other) links of a spanning forest in each shard of (shard, fp), sorted by shard."""
+def near_edges(forest: Forest, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(member, smallest connected member), and each member with its nearest one."""
+    far = np.int64(1) << 62
+    best = np.full(len(forest.fp), far)
 
-    def links(shard: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
+    def seen() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in forest.search(radius):
+            distance = popcount(forest.fp[a] ^ forest.fp[b]).astype(np.int64) << 40
+            np.minimum.at(best, a, distance | b)
+            np.minimum.at(best, b, distance | a)
+            yield a, b
+
+    members, first = forest_links(len(forest.fp), seen())
+    near = np.flatnonzero(best < far)
+    return np.r_[members, near], np.r_[first, best[near] & ((1 << 40) - 1)]
+
+
+def shard_links(keyed: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
+    """(node, other) links in each shard of (shard, fp, node): a spanning forest, and ``nearest`` links too."""
+
+    def links(batch: pd.DataFrame) -> pd.DataFrame:
+        shard, fp, node = (batch[c].to_numpy() for c in ("shard", "fp", "node"))
         forest = Forest(shard, fp.view(np.uint64))
-        a, b = forest_links(len(fp), forest.search(radius))
-        return pd.DataFrame({"fp": fp[a], "other": fp[b]})
+        a, b = near_edges(forest, radius) if nearest else forest_links(len(fp), forest.search(radius))
+        return pd.DataFrame({"node": node[a], "other": node[b]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame] = []
+        kept: list[pd.DataFrame] = []  # the last shard of a batch may go on in the next
         for batch in batches:
-            # The last shard of a batch may go on in the next.
-            last = batch["shard"].iat[-1] if len(batch) else None
             if not len(batch):
                 continue
-            if batch["shard"].iat[0] == last and kept and kept[-1]["shard"].iat[-1] == last:
+            last = batch["shard"].iat[-1]
+            if kept and batch["shard"].iat[0] == last == kept[-1]["shard"].iat[-1]:
                 kept.append(batch)
                 continue
             cut = int(np.searchsorted(batch["shard"].to_numpy(), last, "left"))
-            whole = pd.concat([*kept, batch.iloc[:cut]]) if kept else batch.iloc[:cut]
+            whole = pd.concat([*kept, batch.iloc[:cut]])
             if len(whole):
-                yield links(whole["shard"].to_numpy(), whole["fp"].to_numpy())
+                yield links(whole)
             kept = [batch.iloc[cut:]]
         if kept:
-            whole = pd.concat(kept)
-            yield links(whole["shard"].to_numpy(), whole["fp"].to_numpy())
+            yield links(pd.concat(kept))
 
-    return keyed.repartition("shard").sortWithinPartitions("shard", "fp").mapInPandas(run, "fp long, other long")
+    return (keyed.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "fp", "node")
+            .mapInPandas(run, "node long, other long"))
 
 
 def block_plan(count: int, radius: int) -> tuple[int, int]:
@@ -204,41 +221,39 @@ def block_plan(count: int, radius: int) -> tuple[int, int]:
 
 
 def shard_keys(fps: DataFrame, blocks: int, same: int) -> DataFrame:
-    """(shard, fp): each fingerprint under every choice of ``same`` of ``blocks`` bit ranges."""
+    """(shard, fp, node): each (fp, node) under every choice of ``same`` of ``blocks`` bit ranges."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
     masks = [sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in chosen)
              for chosen in combinations(range(blocks), same)]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    return fps.select(F.explode(keys).alias("shard"), "fp")
+    return fps.select(F.explode(keys).alias("shard"), "fp", "node")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(fp, root): the smallest fingerprint reachable over (fp, other), for linked fingerprints.
+    """(node, root): the smallest node reachable over (node, other), for linked nodes.
 
-    Each round links every vertex to the smallest label beside it and then halves the paths.
+    Each round takes the smallest label beside each node and beside its tree, and halves the paths.
     """
-    edges = links.where("fp <> other").distinct()
-    both = stage(edges.select("fp", "other").union(edges.select("other", "fp")).distinct(), "simhash-edges")
-    labels = stage(both.groupBy("fp").agg(F.least(F.min("other"), F.first("fp")).alias("root")), "simhash-labels")
+    edges = links.where("node <> other").distinct()
+    both = stage(edges.union(edges.select("other", "node")).distinct(), "simhash-edges")
+    labels = stage(both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root")), "simhash-labels")
     while True:
-        near = (
-            both.join(labels.withColumnsRenamed({"fp": "n", "root": "near"}), F.col("other") == F.col("n"))
-            .groupBy("fp").agg(F.min("near").alias("near"))
+        beside = (
+            both.join(labels.withColumnsRenamed({"node": "n", "root": "near"}), F.col("other") == F.col("n"))
+            .groupBy("node").agg(F.min("near").alias("near"))
         )
-        told = labels.join(near, "fp").select("fp", "root", F.least("root", "near").alias("low"))
-        # A vertex also tells its root, so that whole trees join at once.
-        roots = told.groupBy("root").agg(F.min("low").alias("low")).withColumnRenamed("root", "r")
-        joined = (
-            told.withColumnRenamed("low", "own").join(roots, F.col("root") == F.col("r"), "left")
-            .select("fp", "root", F.least("own", "low").alias("low")))
-        table = stage(joined, "simhash-labels")
-        jump = table.select(F.col("fp").alias("v"), F.col("low").alias("far"))
+        told = labels.join(beside, "node").select("node", "root", F.least("root", "near").alias("own"))
+        trees = told.groupBy(F.col("root").alias("r")).agg(F.min("own").alias("low"))
+        joined = stage(
+            told.join(trees, F.col("root") == F.col("r"), "left").select("node", "root", F.least("own", "low").alias("low")),
+            "simhash-labels")
+        jump = joined.select(F.col("node").alias("v"), F.col("low").alias("far"))
         moved = stage(
-            table.join(jump, F.col("low") == F.col("v"), "left")
-            .select("fp", "root", F.least("low", F.coalesce("far", "low")).alias("low")), "simhash-labels")
+            joined.join(jump, F.col("low") == F.col("v"), "left")
+            .select("node", "root", F.least("low", F.coalesce("far", "low")).alias("low")), "simhash-labels")
         changed = moved.where("low <> root").limit(1).count()
-        labels = moved.select("fp", F.col("low").alias("root"))
+        labels = moved.select("node", F.col("low").alias("root"))
         if not changed:
             return labels
 
@@ -253,27 +268,72 @@ def near_duplicates(docs: DataFrame, key: Column, radius: int = RADIUS, shingle:
     marked = stage(fingerprints(docs, key, shingle), "simhash-fingerprints")
     classes = stage(marked.groupBy("fp").agg(F.min("doc_key").alias("least_key")), "simhash-classes")
     blocks, same = block_plan(classes.count(), radius)
-    links = stage(shard_links(shard_keys(classes.select("fp"), blocks, same), radius), "simhash-links")
-    roots = components(links)
+    keyed = shard_keys(classes.select("fp", F.col("fp").alias("node")), blocks, same)
+    roots = components(stage(shard_links(keyed, radius), "simhash-links")).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").select("fp", "least_key", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_key").alias("component"))
     named = rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component")
     return marked.join(named, F.col("fp") == F.col("class_fp")).select("doc_key", "fp", "component")
 
 
-def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group stays, the one of the smallest id.
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The set of hashes of a text's word shingles; a shorter text is one shingle."""
+    found = _WORDS.findall((text or "").translate(_LOWER))
+    data = [" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))]
+    return np.unique(np.array([xxhash.xxh32_intdigest(d.encode("utf-8", "surrogatepass")) for d in data], np.uint32).view(np.int32))
+
 
-    Rows with equal ids are told apart by their text.
+def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 10, blocks: int = 8,
+                same: int = 2) -> DataFrame:
+    """(doc_id, node, n, stays) of every distinct (doc_id, text): one row of each group of near copies stays.
+
+    ``node`` stands for the text.  Two texts are linked if the Jaccard coefficient of their ``words``-word
+    shingles reaches ``similarity``.  Fingerprints of such texts differ in more bits than a complete search
+    can afford, so shards are choices of ``same`` of ``blocks`` bit ranges and trees are searched within
+    ``radius``; each text's nearest neighbour and the first text of its group in each shard are then
+    compared exactly.  ``n`` is the number of equal rows.
     """
-    found = near_duplicates(docs, F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
-    kept = found.where(F.col("doc_key").eqNullSafe(F.col("component"))).select(
-        F.col("doc_key.doc_id").alias("kept_id"), F.col("doc_key.text_hash").alias("kept_hash")).distinct()
-    return (
-        docs.withColumn("_hash", F.xxhash64("text"))
-        .join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("kept_hash")), "left_semi")
-        .drop("_hash").dropDuplicates(["doc_id", "text"])
-    )
+    marked = stage(
+        fingerprints(docs.withColumn("_node", F.xxhash64("text")), F.struct("doc_id", F.col("_node").alias("node")))
+        .select("doc_key.doc_id", "doc_key.node", "fp"), "copies-fingerprints")
+    rows = marked.groupBy("doc_id", "node", "fp").agg(F.count("*").alias("n"))
+    nodes = stage(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")), "copies-nodes")
+    candidates = shard_links(shard_keys(nodes, blocks, same), radius, nearest=True)
+    pairs = stage(candidates.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+                  .where("a <> b").distinct(), "copies-candidates")
+
+    asked = pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node"))
+    asked = asked.select(F.col("node").alias("of"), "least_id")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("node")).join(
+        asked, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"node": batch["node"], "shingles": [shingle_hashes(t, words) for t in batch["text"]]})
+
+    sets = map_rows(texts.select("node", "text"), run, "node long, shingles array<int>")
+    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "copies-shingles")
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = pairs.join(one, "a").join(two, "b").where(
+        common >= (F.size("sa") + F.size("sb") - common) * (similarity - 1e-12)).select(F.col("a").alias("node"), F.col("b").alias("other"))
+    roots = components(stage(links, "copies-links"))
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "node")).alias("first"))
+    stays = first.select("first.least_id", F.col("first.node").alias("first_node"))
+    return rows.join(stays, (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("least_id")), "left").select(
+        "doc_id", "node", "n", F.col("first_node").isNotNull().alias("stays"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of near copies stays, the one of the smallest id."""
+    kept = stage(near_copies(docs).where("stays"), "copies-kept").select(
+        F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node"), F.col("n").alias("_rows"))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(docs["text"]) == F.col("_kept_node")))
+    single = joined.where("_rows = 1").select(*[docs[c] for c in docs.columns])
+    if not kept.where("_rows > 1").limit(1).count():
+        return single
+    repeated = joined.where("_rows > 1").select(*[docs[c] for c in docs.columns], "_kept_node")
+    return single.union(repeated.dropDuplicates(["doc_id", "_kept_node"]).drop("_kept_node"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
