@@ -133,7 +133,7 @@ def shard_runs(targets: DataFrame, bits: int, seed: int, cap: float) -> DataFram
     """Per source: ``runs``, what each shard owns of its stream as (shard, epoch, start, stop) in words."""
     block = F.greatest(F.lit(1), F.least(F.lit(BLOCK_WORDS), F.expr(f"source_size div {MIN_BLOCKS}")))
     blocks = F.ceil(F.col("source_size") / F.col("block"))
-    whole = F.floor(F.col("target") / F.col("source_size"))
+    whole = F.floor(F.try_divide("target", "source_size"))
     rest = F.round((F.col("target") - whole * F.col("source_size")) / F.col("block"))
     planned = (
         targets.withColumn("block", block.cast("long")).withColumn("blocks", blocks)
@@ -185,9 +185,7 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights=WEIGHTS, share:
     table = joined.select(F.col("source").alias("in_source"), F.col("slice").alias("in_slice"), "source_size", "target",
                           "offset", near.alias("runs"))
 
-    here = Window.partitionBy("source", "slice").orderBy("key", "size", F.to_json("row")).rowsBetween(Window.unboundedPreceding, -1)
-    if not narrow:
-        here = Window.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy("source", "slice").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     at = rows.withColumn("within", F.coalesce(F.sum("size").over(here), F.lit(0)))
     at = at.join(table, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("slice") == F.col("in_slice")))
     first = F.col("offset") + F.col("within")
