@@ -11,9 +11,9 @@ A space reads as the meta character, and one is put before the text.  A characte
 no piece spells, and the meta character itself, is spelt as its UTF-8 bytes; a byte counts like an
 unknown piece, ten below the least score.  Decoding gives back every text exactly.
 
-No piece of the usual vocabularies goes on over the start of a word.  If that holds for the loaded
-one, those starts are boundaries for every path, and ids of the short words between them are kept
-in a bounded memory for the next time.
+No piece of the usual vocabularies goes on over the start of a word, or from letters to other
+characters.  Where that holds for the loaded one, those places are boundaries for every path, and ids
+of the short stretches between them are kept in a bounded memory for the next time.
 
 Defined results: a null text has null ids; an empty text has no ids; repeated rows stay; an empty
 table gives no rows; other columns are not read.
@@ -37,8 +37,8 @@ from lifelog.llm.common import documents, map_rows
 META = "▁"
 #: Model file; a cluster names its own place, or ships the file with the job.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
-#: Words whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_LENGTH = 150_000, 24
+#: Stretches whose ids each of a worker's two generations remembers, and the longest of them.
+REMEMBERED, REMEMBERED_LENGTH = 300_000, 24
 
 
 class Vocabulary:
@@ -60,7 +60,21 @@ class Vocabulary:
                          for i, p in enumerate(self.text)]
         for b, i in enumerate(byte_ids):
             self.spelling[i] = bytes((b,))
-        self.words_apart = not any(re.search(f"[^{META}]{META}", p) for p in self.ids)
+        self.cuts = self._cuts()
+
+    def _cuts(self) -> re.Pattern | None:
+        """Stretches of text between boundaries that no piece goes over, if pieces leave such.
+
+        Letters and other characters are kept apart, but for the letters that some piece joins to
+        others; meta characters lead a stretch.
+        """
+        joined = {c for p in self.ids for c in p if len(re.findall(r"[^\W\d_]+|[\W\d_]+", p.strip(META))) > 1}
+        apart = "".join(re.escape(c) for c in sorted(joined) if re.match(r"[^\W\d_]", c))
+        for letter, other in ((rf"[^\W\d_{apart}]+", rf"(?:(?!{META})[\W\d_{apart}])+"), (f"[^{META}]+", f"[^{META}]+")):
+            cuts = re.compile(f"{META}*(?:{letter}|{other})|{META}+")
+            if all(len(cuts.findall(p)) == 1 for p in self.ids):
+                return cuts
+        return None
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -161,13 +175,14 @@ class StreamingEncoder:
 
 #: Stands for a meta character that the text itself has; a noncharacter, itself spelt as bytes.
 LITERAL = "﷐"
-_WORD = re.compile(f"{META}*[^{META}]+|{META}+")
 
 
 class Codec:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
-        self.memory: dict[str, tuple[int, ...]] = {}
+        # Ids of stretches seen lately, in two generations: a full younger one becomes the older.
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     def _segment(self, word: str) -> tuple[int, ...]:
         if len(word) <= self.v.longest and LITERAL not in word:
@@ -218,19 +233,19 @@ class Codec:
 
     def _encode(self, text: str, first: bool) -> list[int]:
         meta = (META if first else "") + text.replace(META, LITERAL).replace(" ", META)
-        if not self.v.words_apart:
+        if self.v.cuts is None:
             return list(self._segment(meta)) if meta else []
         out: list[int] = []
-        memory = self.memory
-        # A path may not cross from a word to the meta character after it, so words stand alone.
-        for word in _WORD.findall(meta):
-            ids = memory.get(word)
+        get = self.young.get
+        for word in self.v.cuts.findall(meta):
+            ids = get(word)
             if ids is None:
-                ids = self._segment(word)
+                ids = self.old.get(word) or self._segment(word)
                 if len(word) <= REMEMBERED_LENGTH:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[word] = ids
+                    if len(self.young) >= REMEMBERED:
+                        self.old, self.young = self.young, {}
+                        get = self.young.get
+                    self.young[word] = ids
             out += ids
         return out
 
