@@ -209,7 +209,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     share = min(1.0, sample / max(usable.count(), 1))
     chosen = keyed.where(unit(F.lit(29), F.col("key")) < share).limit(2 * sample)
     # At most 2 x sample keys of a few bytes.
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).select("key", "quality", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("key")).select("key", "quality", "text")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"key": batch["key"], "quality": batch["quality"],
