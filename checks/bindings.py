@@ -409,6 +409,13 @@ class World:
             F.when(F.col("c_acctbal") > 0, "verified").otherwise("pending").alias("status"),
         )
 
+    @cached_property
+    def case_variants(self) -> DataFrame:
+        """The label links, and every third one again in capitals."""
+        again = self.claims.where("id % 3 = 0").withColumns({
+            "gamertag": F.upper("gamertag"), "status": F.when(F.col("id") % 6 == 0, "verified").otherwise(F.col("status"))})
+        return self.claims.union(again)
+
     @cached_property
     def referrals(self) -> DataFrame:
         c = F.col("c_custkey")
@@ -424,7 +431,7 @@ class World:
         return self.raw("documents").join(marks, "doc_id", "left").select(
             F.col("doc_id").alias("id"), F.col("source").alias("kind"),
             F.when(F.col("quality") == 1, "published").otherwise("failed").alias("status"),
-            F.substring("text", 1, 40).alias("headline"), F.col("text").alias("lede"), "text", "lang",
+            F.col("text").alias("headline"), F.col("text").alias("lede"), "text", "lang",
             F.col("source").alias("pull_quote_attribution"),
             F.timestamp_seconds(1_704_067_200 + F.col("doc_id") * 60).alias("created_at"),
         )

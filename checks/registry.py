@@ -172,22 +172,20 @@ add("unbanned_lives_any_alias",
 add("obituary_targets",
     lambda w: PA.obituary_targets(
         PA.qualified_lives(w.projections.lives, w.dataset.life_kills, QUALIFY), w.projections.players, w.servers,
-        w.articles, w.projections.player_gamertags, since(), limit=40, max_attempts=3)
+        w.articles, w.projections.player_gamertags, since(), max_attempts=3)
     .select("life_id", "gamertag", "map", "ended_at"),
     f"""SELECT n.id AS life_id, n.gamertag, s.map, n.ended_at FROM named n JOIN servers s ON s.id = n.server_id
         WHERE n.ended_at >= {SINCE}
           AND (n.death_cause = 'pvp' OR n.playtime_seconds >= {QUALIFY} OR n.id IN (SELECT life_id FROM life_kills))
           AND NOT EXISTS (SELECT 1 FROM articles a WHERE a.server_id = n.server_id
             AND lower(a.gamertag) = lower(n.gamertag) AND a.life_started_at = n.started_at
-            AND (a.status = 'published' OR a.attempts >= 3))
-        ORDER BY n.ended_at DESC, n.id DESC LIMIT 40""")
+            AND (a.status = 'published' OR a.attempts >= 3))""")
 add("syndication_targets",
-    lambda w: PA.syndication_targets(w.articles, w.syndications, ["chat", "social"], since(), limit=50, max_attempts=3)
+    lambda w: PA.syndication_targets(w.articles, w.syndications, ["chat", "social"], since(), max_attempts=3)
     .select("slug", "channel", "headline"),
     f"""SELECT a.slug, c.channel, a.headline FROM articles a CROSS JOIN (VALUES ('chat'), ('social')) c(channel)
         LEFT JOIN syndications s ON s.slug = a.slug AND s.channel = c.channel
-        WHERE a.status = 'published' AND a.death_at > {SINCE} AND s.posted_at IS NULL AND coalesce(s.attempts, 0) < 3
-        ORDER BY a.death_at, c.channel, a.slug LIMIT 50""")
+        WHERE a.status = 'published' AND a.death_at > {SINCE} AND s.posted_at IS NULL AND coalesce(s.attempts, 0) < 3""")
 add("claimable", lambda w: J.claimable(w.projections.players, w.links),
     """SELECT gamertag FROM players WHERE gamertag NOT IN (SELECT gamertag FROM links WHERE status = 'verified')""")
 add("effective_shares",
@@ -338,25 +336,28 @@ add("append_new",
          AND a.l_linenumber = l.l_linenumber) GROUP BY ALL""", base=False)
 add("events_after_cursor", lambda w: S.events_after(w.events.select("event_id", "server_id"), 1234, 500),
     "SELECT event_id, server_id FROM ev WHERE event_id > 1234 ORDER BY event_id LIMIT 500")
+VARIANTS = """variants AS (SELECT * FROM claims UNION ALL
+    SELECT id, user_id, upper(gamertag), CASE WHEN id % 6 = 0 THEN 'verified' ELSE status END FROM claims WHERE id % 3 = 0)"""
 add("label_collisions",
-    lambda w: S.label_collisions(*[w.claims.withColumn("gamertag", F.substring("gamertag", 1, 17))] * 2),
+    lambda w: S.label_collisions(*[w.case_variants] * 2),
     """SELECT * FROM (
-         SELECT 'players' AS source, CAST(NULL AS VARCHAR) AS user_id, lower(substr(gamertag, 1, 17)) AS label, count(*) AS copies
-         FROM claims GROUP BY ALL UNION ALL
-         SELECT 'verified links', NULL, lower(substr(gamertag, 1, 17)), count(*) FROM claims WHERE status = 'verified' GROUP BY ALL
-         UNION ALL SELECT 'links of one user', user_id, lower(substr(gamertag, 1, 17)), count(*) FROM claims GROUP BY ALL)
-       WHERE copies > 1""")
+         SELECT 'players' AS source, CAST(NULL AS VARCHAR) AS user_id, lower(gamertag) AS label, count(*) AS copies
+         FROM variants GROUP BY ALL UNION ALL
+         SELECT 'verified links', NULL, lower(gamertag), count(*) FROM variants WHERE status = 'verified' GROUP BY ALL
+         UNION ALL SELECT 'links of one user', user_id, lower(gamertag), count(*) FROM variants GROUP BY ALL)
+       WHERE copies > 1""",
+    extra=VARIANTS)
 add("canonicalize_labels", lambda w: S.canonicalize_labels(w.links, w.projections.players),
     """SELECT l.id, l.user_id, l.gamertag, p.gamertag AS canonical FROM links l
        JOIN players p ON lower(p.gamertag) = lower(l.gamertag) WHERE l.gamertag <> p.gamertag""")
 
 # --- scalar functions -----------------------------------------------------------------------
 
-add("slugs", lambda w: w.prose.select("id", X.slug(F.col("headline")).alias("slug"),
-        X.obituary_slug(F.col("headline"), F.col("kind"), F.lit(1), F.lit(2)).alias("address")),
-    """SELECT id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
-         CASE WHEN trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'obituary'
-           ELSE rtrim(substr(trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-')
+add("slugs", lambda w: w.prose.select("id", X.slug(F.col("text")).alias("slug"),
+        X.obituary_slug(F.col("text"), F.col("kind"), F.lit(1), F.lit(2)).alias("address")),
+    """SELECT id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
+         CASE WHEN trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'obituary'
+           ELSE rtrim(substr(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), '-')
          END || '-' || kind || '-1-2' AS address FROM prose""")
 add("durations",
     lambda w: w.projections.sessions.where(F.col("duration_seconds").isNotNull()).select(
@@ -648,20 +649,21 @@ add("timeline_events",
 LIFE_FIX = """lfix AS (SELECT n.id AS life_id, f.* FROM fixes f JOIN named n ON n.server_id = f.server_id
   AND n.player_id = f.player_id AND f.recorded_at >= n.started_at
   AND f.recorded_at <= coalesce(n.ended_at, n.last_seen_at, n.started_at))"""
-add("life_track_points",
-    lambda w: lives.life_track(w.dataset)["points"].select("life_id", "session_id", "event_id", "x", "y"),
-    """SELECT t.life_id, s.id AS session_id, t.event_id, t.x, t.y FROM thin t
-       JOIN sessions s ON s.life_id = t.life_id JOIN named n ON n.id = t.life_id
-        AND t.recorded_at >= s.connected_at AND t.recorded_at <= coalesce(s.disconnected_at,
-          greatest(coalesce(n.ended_at, n.last_seen_at, n.started_at), s.connected_at))""",
-    extra=LIFE_FIX + """, nums AS (SELECT *, row_number() OVER (PARTITION BY life_id ORDER BY recorded_at, event_id) AS rn,
+THIN = """, nums AS (SELECT *, row_number() OVER (PARTITION BY life_id ORDER BY recorded_at, event_id) AS rn,
         count(*) OVER (PARTITION BY life_id) AS n FROM lfix),
       per AS (SELECT life_id, list(struct_pack(e := event_id, x := x, y := y) ORDER BY rn) AS pts FROM nums GROUP BY life_id),
       folded AS (SELECT life_id, list_reduce(list_transform(pts, lambda p: struct_pack(ids := [p.e], x := p.x, y := p.y)),
         lambda acc, p: CASE WHEN sqrt((p.x - acc.x) * (p.x - acc.x) + (p.y - acc.y) * (p.y - acc.y)) >= 15
            THEN struct_pack(ids := list_concat(acc.ids, p.ids), x := p.x, y := p.y) ELSE acc END) AS k FROM per),
       thin AS (SELECT u.* FROM nums u JOIN folded f ON f.life_id = u.life_id
-               WHERE list_contains(f.k.ids, u.event_id) OR u.rn = u.n)""")
+               WHERE list_contains(f.k.ids, u.event_id) OR u.rn = u.n)"""
+add("life_track_points",
+    lambda w: lives.life_track(w.dataset)["points"].select("life_id", "session_id", "event_id", "x", "y"),
+    """SELECT t.life_id, s.id AS session_id, t.event_id, t.x, t.y FROM thin t
+       JOIN sessions s ON s.life_id = t.life_id JOIN named n ON n.id = t.life_id
+        AND t.recorded_at >= s.connected_at AND t.recorded_at <= coalesce(s.disconnected_at,
+          greatest(coalesce(n.ended_at, n.last_seen_at, n.started_at), s.connected_at))""",
+    extra=LIFE_FIX + THIN)
 add("life_track_markers",
     lambda w: lives.life_track(w.dataset)["markers"].select("life_id", "kind", "at", "x", "y", "sample_age_seconds", "label"),
     f"""SELECT m.life_id, m.kind, m.tm AS "at", f.x, f.y,
@@ -674,9 +676,9 @@ add("life_track_markers",
       UNION ALL SELECT id, 'death', ended_at, NULL FROM lives WHERE ended_at IS NOT NULL
       UNION ALL SELECT life_id, 'now', max(recorded_at), NULL FROM lfix
         WHERE life_id IN (SELECT id FROM lives WHERE ended_at IS NULL) GROUP BY life_id)""")
-add("life_track_summary", lambda w: lives.life_track(w.dataset)["summary"].select("life_id", "sample_count", "truncated"),
-    "SELECT life_id, count(*) AS sample_count, count(*) > 1500 AND false AS truncated FROM lfix GROUP BY life_id",
-    extra=LIFE_FIX)
+add("life_track_summary", lambda w: lives.life_track(w.dataset)["summary"].select("life_id", "sample_count", "kept"),
+    "SELECT u.life_id, any_value(u.n) AS sample_count, count(*) AS kept FROM thin u GROUP BY u.life_id",
+    extra=LIFE_FIX + THIN)
 add("obituary_facts",
     lambda w: lives.obituary_facts(w.dataset).select(
         "life_id", "gamertag", "time_alive_label", "kills", "sessions", "cause_category", "is_legend",
@@ -726,6 +728,19 @@ add("online_players",
             AND (s.connected_at >= {NOW} - to_seconds({FRESH}) OR EXISTS (SELECT 1 FROM fixes f
               WHERE f.server_id = s.server_id AND f.player_id = s.player_id AND f.recorded_at >= {NOW} - to_seconds({FRESH}))))""",
     extra=SHARED)
+ONLINE = f""", online AS (SELECT DISTINCT s.server_id, p.gamertag FROM sessions s JOIN players p USING (player_id)
+    WHERE s.disconnected_at IS NULL AND (s.connected_at >= {NOW} - to_seconds({FRESH}) OR EXISTS (SELECT 1 FROM fixes f
+      WHERE f.server_id = s.server_id AND f.player_id = s.player_id AND f.recorded_at >= {NOW} - to_seconds({FRESH}))))"""
+add("online_now", lambda w: maps.online_now(w.dataset).select("server_id", "gamertag").distinct(),
+    "SELECT server_id, gamertag FROM online", extra=SHARED + ONLINE)
+add("presence_marks",
+    lambda w: maps.presence_marks(w.dataset, maps.shared_positions(w.dataset)),
+    """SELECT viewer_user_id, server_id, label, bool_or(is_self) AS is_self, bool_or(sharing) AS sharing FROM (
+         SELECT l.user_id AS viewer_user_id, o.server_id, lower(o.gamertag) AS label, true AS is_self, false AS sharing
+         FROM links l JOIN online o ON lower(o.gamertag) = lower(l.gamertag) WHERE l.status = 'verified'
+         UNION ALL SELECT h.viewer_user_id, h.server_id, lower(h.gamertag), false, true FROM shared h
+           JOIN online o ON o.server_id = h.server_id AND lower(o.gamertag) = lower(h.gamertag)) GROUP BY ALL""",
+    extra=SHARED + ONLINE)
 LAST_PLAYED = """lp AS (SELECT l.user_id, arg_max(v.slug, s.id) AS slug FROM links l
     JOIN players p ON lower(p.gamertag) = lower(l.gamertag) JOIN sessions s USING (player_id)
     JOIN live v ON v.id = s.server_id WHERE l.status = 'verified' GROUP BY l.user_id)"""
@@ -798,9 +813,16 @@ add("plan_grants", lambda w: PL.plan_grants(w.claims, w.referrals, w.ledger, "20
 add("expand_purchases",
     lambda w: PL.expand_purchases(w.raw("orders").select(
         F.col("o_orderkey").alias("session_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("user_id"),
-        (F.col("o_orderkey") % 7).cast("int").alias("quantity")), w.ledger),
+        (F.col("o_orderkey") % 113).cast("int").alias("quantity")), w.ledger)[0],
     """SELECT 'C' || o_custkey AS user_id, 1 AS delta, 'purchase' AS kind, 'stripe:' || o_orderkey || ':' || n AS idempotency_key
-       FROM (SELECT o_custkey, o_orderkey, unnest(range(1, o_orderkey % 7 + 1)) AS n FROM orders WHERE o_orderkey % 7 > 0)""",
+       FROM (SELECT o_custkey, o_orderkey, unnest(range(1, o_orderkey % 113 + 1)) AS n FROM orders WHERE o_orderkey % 113 BETWEEN 1 AND 100)""",
+    base=False)
+add("refused_purchases",
+    lambda w: PL.expand_purchases(w.raw("orders").select(
+        F.col("o_orderkey").alias("session_id"), F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("user_id"),
+        (F.col("o_orderkey") % 113).cast("int").alias("quantity")), w.ledger)[1],
+    """SELECT o_orderkey AS session_id, 'C' || o_custkey AS user_id, CAST(o_orderkey % 113 AS INTEGER) AS quantity
+       FROM orders WHERE o_orderkey % 113 NOT BETWEEN 1 AND 100""",
     base=False)
 add("apply_outcomes",
     lambda w: PA.apply_outcomes(

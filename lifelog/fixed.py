@@ -54,7 +54,6 @@ RECENT_WINDOW_SECONDS = 120
 ENCOUNTER_GAP_SECONDS = 120
 FRESH_SECONDS = 900
 THIN_METERS = 15.0
-TRACK_POINT_CAP = 1500
 SURVIVORS_PAGE_SIZE = 25
 PAST_LIVES_PAGE_SIZE = 10
 OBITUARIES_PAGE_SIZE = 20

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from .ordered import event_slice, following, max_before, ordered_scan, prev, running_sum, time_slice
 
 
@@ -136,3 +137,81 @@ def islands(
 
 
 __all__ = ["asof_join", "interval_join", "islands", "max_before"]
+
+
+_OPEN_END = (1 << 63) - 1
+
+
+def last_open_span(
+    points: DataFrame,
+    spans: DataFrame,
+    keys: list[str],
+    at: str,
+    start: str,
+    stop: str,
+    match: str,
+    *,
+    fan: int = 64,
+) -> DataFrame:
+    """Each point with the span of its key that started last before it and is still open.
+
+    A span is open at a point when ``stop`` is null or later.  ``at``, ``start`` and ``stop`` are
+    non-negative integers.  ``match`` becomes a struct of the span's other columns, null without one.
+
+    Starts are cut into blocks of ``fan``, blocks into blocks of ``fan`` blocks, and so on; every block
+    knows the latest stop of its children.  A point climbs until an earlier sibling holds a span that
+    outlives it and descends to the last such span.  Each step is one equi-join with at most ``fan``
+    children, so overlapping spans of one key never meet pairwise and a hot key spreads over its blocks.
+    """
+    rest = [c for c in spans.columns if c not in keys and c not in (start, stop)]
+    leaf = spans.select(
+        *keys, F.col(start).alias("i"), F.coalesce(F.col(stop), F.lit(_OPEN_END)).alias("l"), F.struct(*rest).alias("v")
+    )
+    # One block at the top holds every start and every point.
+    highest = max(df.agg(F.max(column)).first()[0] or 0 for df, column in ((spans, start), (points, at)))
+    levels, child = [], leaf
+    while not levels or highest:
+        parts = ["i", "l"] if levels else ["i", "l", "v"]
+        level = stage(
+            child.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.expr(f"i div {fan}").alias("__block")).agg(
+                F.array_sort(F.collect_list(F.struct(*parts))).alias("__kids"), F.max("l").alias("__latest")
+            ),
+            "open-spans",
+        )
+        levels.append(level)
+        child = level.select(
+            *[F.col(f"__{k}").alias(k) for k in keys], F.col("__block").alias("i"), F.col("__latest").alias("l")
+        )
+        highest //= fan
+
+    def seek(rows: DataFrame, number: int, block: Column, before: Column | None) -> DataFrame:
+        """Join a level and take the last child open at the point (and before ``before``)."""
+        same = [F.col(k) == F.col(f"__{k}") for k in keys] + [block == F.col("__block")]
+        joined = rows.join(levels[number], same, "left")
+
+        def fits(kid: Column) -> Column:
+            return (kid["l"] > F.col(at)) & (F.lit(True) if before is None else kid["i"] < before)
+
+        pick = F.try_element_at(F.filter("__kids", fits), F.lit(-1))
+        return joined.withColumn("__pick", pick).drop(*[f"__{k}" for k in keys], "__block", "__kids", "__latest")
+
+    found, open_ = [], points
+    for number in range(len(levels)):
+        step = F.expr(f"`{at}` div {fan ** number}")
+        up = seek(open_, number, F.expr(f"`{at}` div {fan ** (number + 1)}"), step)
+        up = stage(up.withColumn("__i", F.col("__pick.i")), "open-points")
+        found.append(up.where(F.col("__i").isNotNull()))
+        open_ = up.where(F.col("__i").isNull()).select(*points.columns)
+    here = None
+    for number in range(len(levels) - 1, 0, -1):
+        known = found[number].select(*points.columns, "__i")
+        here = known if here is None else here.unionByName(known)
+        down = seek(here, number - 1, F.col("__i"), None)
+        if number == 1:
+            here = down.select(*points.columns, F.col("__pick.v").alias(match))
+        else:
+            here = down.select(*points.columns, F.col("__pick.i").alias("__i"))
+    near = found[0].select(*points.columns, F.col("__pick.v").alias(match))
+    none = open_.withColumn(match, F.lit(None).cast(leaf.schema["v"].dataType))
+    out = near.unionByName(none)
+    return out if here is None else out.unionByName(here)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixed import THIN_METERS, TRACK_POINT_CAP
-from ..staging import stage
+from ..fixed import THIN_METERS
+from ..staging import stage, stage_root
 from .ordered import first_by, ordered_scan, running_sum, time_slice
 
 PIECE_ROWS = 20_000
+#: Kept points are gathered in chunks of this size, so that appending stays cheap.
+CHUNK = 256
 
 
 def thin_track(
@@ -17,18 +21,16 @@ def thin_track(
     key: str = "life_id",
     *,
     meters: float = THIN_METERS,
-    cap: int = TRACK_POINT_CAP,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Keep a point when it lies at least ``meters`` from the last KEPT point of its track.
 
-    The last point is always kept; beyond ``cap`` points the first cap-1 and the last remain and
-    ``truncated`` is set.  ``points(key, event_id, x, y, recorded_at)``.
+    The last point is always kept.  ``points(key, event_id, x, y, recorded_at)``; every kept point
+    is returned, however long the track.
 
     The rule is sequential, so a track is cut into numbered pieces of at most ``piece_rows``
     points and pieces are thinned in rounds: round r handles piece r of every track in parallel
-    and hands the last kept point on.  Nearly all tracks end in round 0; a track that has already
-    passed the cap takes no further rounds.
+    and takes over the last kept point of piece r - 1.  Nearly all tracks end in round 0.
     """
     ranked = ordered_scan(
         points.select(key, "event_id", "x", "y", "recorded_at"), [key], ["recorded_at", "event_id"],
@@ -42,60 +44,39 @@ def thin_track(
     )
     rounds = (pieces.agg(F.max("piece")).first()[0] or 0) + 1
     point_type = "struct<recorded_at:timestamp,event_id:bigint,x:double,y:double>"
-    none = F.lit(None)
 
     def step(acc, p):
         far = acc["x"].isNull() | (F.hypot(p["x"] - acc["x"], p["y"] - acc["y"]) >= meters)
+        full = far & (F.size(acc["open"]) >= CHUNK)
         return F.struct(
             F.when(far, p["x"]).otherwise(acc["x"]).alias("x"),
             F.when(far, p["y"]).otherwise(acc["y"]).alias("y"),
-            F.when(far, p["event_id"]).otherwise(acc["event_id"]).alias("event_id"),
-            (acc["n"] + far.cast("int")).alias("n"),
-            F.when(far & (acc["n"] < cap), F.concat(acc["kept"], F.array(p)))
-            .otherwise(acc["kept"]).alias("kept"),
+            F.when(full, F.array_append(acc["chunks"], acc["open"])).otherwise(acc["chunks"]).alias("chunks"),
+            F.when(full, F.array(p)).when(far, F.array_append(acc["open"], p)).otherwise(acc["open"]).alias("open"),
         )
 
-    done, state = [], None
+    key_type = dict(points.dtypes)[key]
+    reader = points.sparkSession.read.schema(f"`{key}` {key_type}, x double, y double, kept array<{point_type}>")
+    root = f"{stage_root(points.sparkSession)}/lifelog-thin-{uuid.uuid4().hex}"
     for number in range(rounds):
         piece = pieces.where(F.col("piece") == number)
-        if state is None:
-            piece = piece.withColumn("s", none.cast("struct<x:double,y:double,event_id:bigint,n:int>"))
+        if number:
+            before = reader.parquet(f"{root}/round={number - 1}").select(key, "x", "y")
+            piece = piece.join(before, key)
         else:
-            piece = piece.join(state.where(F.col("s.n") <= cap), key)
+            piece = piece.withColumns({c: F.lit(None).cast("double") for c in "xy"})
         start = F.struct(
-            F.col("s.x").alias("x"), F.col("s.y").alias("y"), F.col("s.event_id").alias("event_id"),
-            F.coalesce("s.n", F.lit(0)).alias("n"),
-            F.array().cast(f"array<{point_type}>").alias("kept"),
-        )
-        out = stage(
-            piece.select(key, F.aggregate("points", start, step).alias("a")), f"thin-{number}"
+            "x", "y", F.array().cast(f"array<array<{point_type}>>").alias("chunks"),
+            F.array().cast(f"array<{point_type}>").alias("open"),
         )
-        done.append(out)
-        fresh = out.select(key, F.struct("a.x", "a.y", "a.event_id", "a.n").alias("s"))
-        state = fresh if state is None else fresh.unionByName(state.join(fresh, key, "left_anti"))
-
-    kept = None
-    for number, out in enumerate(done):
-        part = out.select(
-            key, F.lit(number).alias("round"), F.posexplode("a.kept").alias("pos", "p")
-        )
-        kept = part if kept is None else kept.unionByName(part)
-    last = points.groupBy(key).agg(F.max(point).alias("last"))
-    ends = last.join(state, key).select(
-        key, "last",
-        (F.col("s.n") + (F.col("s.event_id") != F.col("last.event_id")).cast("int")).alias("size"),
-    )
-    ends = ends.withColumn("truncated", F.col("size") > cap)
-    # Rank of a kept point: the points of earlier rounds plus its position in this one.
-    offsets = kept.groupBy(key, "round").agg(F.count("*").alias("n"))
-    offsets = ordered_scan(
-        offsets, [key], ["round"], F.lit(0), upto=running_sum(F.col("n"))
-    ).select(key, "round", (F.col("upto") - F.col("n")).alias("offset"))
-    body = kept.join(offsets, [key, "round"]).join(ends.select(key, "truncated"), key).where(
-        ~F.col("truncated") | (F.col("offset") + F.col("pos") < cap - 1)
-    ).select(key, "p.*", "truncated")
-    tail = ends.select(key, "last.*", "truncated")
-    return body.unionByName(tail).distinct()
+        walked = piece.select(key, F.aggregate("points", start, step).alias("a"))
+        walked.select(
+            key, "a.x", "a.y", F.flatten(F.array_append("a.chunks", F.col("a.open"))).alias("kept")
+        ).write.parquet(f"{root}/round={number}")
+
+    body = reader.parquet(root).select(key, F.inline("kept"))
+    last = points.groupBy(key).agg(F.max(point).alias("last")).select(key, "last.*")
+    return body.unionByName(last).distinct()
 
 
 def verify_challenges(emotes: DataFrame, challenges: DataFrame, links: DataFrame) -> DataFrame:

@@ -32,10 +32,11 @@ def obituary_targets(
     aliases: DataFrame,
     since: Column,
     *,
-    limit: int,
     max_attempts: int,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Qualified deaths without a published or exhausted obituary under any label held."""
+    """Qualified deaths without a published or exhausted obituary under any label held;
+    with ``limit`` the latest deaths first."""
     held = aliases.select("player_id", F.lower("gamertag").alias("label")).distinct()
     settled = articles.where(
         (F.col("kind") == "obituary")
@@ -49,7 +50,8 @@ def obituary_targets(
         F.col("id").alias("life_id"), "server_id", "gamertag", "map", "slug", "life_number",
         F.col("started_at").alias("life_started_at"), "ended_at",
     )
-    return ranked(rows, [F.col("ended_at").desc(), F.col("life_id").desc()], limit)
+    order = [F.col("ended_at").desc(), F.col("life_id").desc()]
+    return rows if limit is None else ranked(rows, order, limit)
 
 
 def syndication_targets(
@@ -58,10 +60,10 @@ def syndication_targets(
     channels: list[str],
     since: Column,
     *,
-    limit: int,
     max_attempts: int,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Published obituaries not yet posted to each channel, oldest death first.
+    """Published obituaries not yet posted to each channel; with ``limit`` the oldest deaths first.
 
     The channel list is a handful of names, so it is exploded as an array literal.
     """
@@ -80,7 +82,8 @@ def syndication_targets(
         F.col("posted_at").isNull() & (F.coalesce("attempts", F.lit(0)) < max_attempts)
     )
     order = [F.col("death_at").asc(), F.col("channel").asc(), F.col("slug").asc()]
-    return ranked(due.select("slug", "headline", "lede", "channel", "death_at"), order, limit)
+    due = due.select("slug", "headline", "lede", "channel", "death_at")
+    return due if limit is None else ranked(due, order, limit)
 
 
 def apply_outcomes(current: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:

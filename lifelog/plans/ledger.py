@@ -36,12 +36,14 @@ def plan_grants(links: DataFrame, referrals: DataFrame, ledger: DataFrame, month
     return fresh.select("user_id", F.lit(1).alias("delta"), "kind", "idempotency_key")
 
 
-def expand_purchases(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
-    """One keyed ledger row per purchased token; quantities outside 1..100 are refused.
+def expand_purchases(purchases: DataFrame, ledger: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(grants, refused): one keyed ledger row per purchased token, and the purchases whose
+    quantity is null or outside 1..100, which grant nothing.
 
     ``purchases(session_id, user_id, quantity)``.
     """
-    valid = purchases.where(F.col("quantity").between(1, MAX_PURCHASE_QUANTITY))
+    sound = F.coalesce(F.col("quantity").between(1, MAX_PURCHASE_QUANTITY), F.lit(False))
+    valid, refused = purchases.where(sound), purchases.where(~sound)
     rows = valid.select(
         "user_id", "session_id",
         F.explode(F.sequence(F.lit(1), F.col("quantity").cast("int"))).alias("n"),
@@ -50,4 +52,5 @@ def expand_purchases(purchases: DataFrame, ledger: DataFrame) -> DataFrame:
         F.concat(F.lit("stripe:"), F.col("session_id").cast("string"), F.lit(":"), F.col("n").cast("string"))
         .alias("idempotency_key"),
     ).dropDuplicates(["idempotency_key"])
-    return rows.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
+    grants = rows.join(ledger.select("idempotency_key"), "idempotency_key", "left_anti")
+    return grants, refused.select("session_id", "user_id", "quantity")

@@ -25,7 +25,7 @@ from ..operators.ordered import (
     sum_before,
     upto,
 )
-from ..operators.temporal import asof_join
+from ..operators.temporal import asof_join, last_open_span
 from ..schemas import BUILD_TYPES
 from ..staging import stage
 
@@ -66,8 +66,7 @@ def _holders(tenures: DataFrame) -> DataFrame:
     """Who a label points at, as a change log (label, event_id, player_id, gamertag).
 
     A connect takes the label.  A rename gives it back to the latest other connecter who still
-    carries it, or to nobody; only labels used by several people can fall back, so only their
-    renames are matched against their connects.
+    carries it, or to nobody; only labels used by several people can fall back.
     """
     pushes = tenures.select("label", "event_id", "player_id", "gamertag")
     pops = tenures.where(F.col("left_at").isNotNull()).select(
@@ -79,23 +78,12 @@ def _holders(tenures: DataFrame) -> DataFrame:
         .where(F.col("a") != F.col("b"))
         .select("label")
     )
-    claims = tenures.join(shared, "label", "left_semi").select(
-        F.col("label").alias("c_label"),
-        F.col("event_id").alias("c_event"),
-        F.col("left_at").alias("c_left"),
-        F.struct("player_id", "gamertag").alias("c_holder"),
-    )
-    still = (
-        (F.col("c_label") == F.col("label"))
-        & (F.col("c_event") < F.col("event_id"))
-        & (F.col("c_left").isNull() | (F.col("c_left") > F.col("event_id")))
-    )
-    fallback = (
-        pops.join(claims, still, "left")
-        .groupBy("label", "event_id")
-        .agg(F.max_by("c_holder", "c_event").alias("holder"))
-        .select("label", "event_id", "holder.player_id", "holder.gamertag")
+    claims = tenures.join(shared, "label", "left_semi").select("label", "event_id", "left_at", "player_id", "gamertag")
+    back = last_open_span(
+        pops.join(shared, "label", "left_semi"), claims, ["label"], "event_id", "event_id", "left_at", "holder"
     )
+    emptied = pops.join(shared, "label", "left_anti").withColumn("holder", F.lit(None).cast(back.schema["holder"].dataType))
+    fallback = back.unionByName(emptied).select("label", "event_id", "holder.player_id", "holder.gamertag")
     return pushes.unionByName(fallback)
 
 

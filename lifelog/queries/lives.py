@@ -225,7 +225,7 @@ def life_track(d: Dataset) -> dict[str, DataFrame]:
     """Track of every life.
 
     ``points``: thinned trail split by session; ``markers``: kills, death or current place at the
-    last raw fix before them; ``summary``: sample count and whether the trail was cut.
+    last raw fix before them; ``summary``: number of fixes and of those kept in the trail.
     """
     raw, thinned = d.life_fixes, d.thinned_fixes
     caps = d.lives_of.select(
@@ -258,10 +258,7 @@ def life_track(d: Dataset) -> dict[str, DataFrame]:
     markers = asof_fix(events, d["positions"], "at", d.fresh_seconds)
     markers = markers.join(starts, "life_id").where(F.col("sample_at") >= F.col("started_at"))
     summary = raw.groupBy("life_id").agg(F.count("*").alias("sample_count")).join(
-        thinned.groupBy("life_id").agg(
-            F.count("*").alias("kept"), F.bool_or("truncated").alias("truncated")
-        ),
-        "life_id",
+        thinned.groupBy("life_id").agg(F.count("*").alias("kept")), "life_id"
     )
     return {
         "points": points,

@@ -98,11 +98,13 @@ def online_now(d: Dataset) -> DataFrame:
 def online_players(d: Dataset, viewer_user_id: str, positions: DataFrame) -> DataFrame:
     """Who is online on each server as one viewer sees it: self, sharing, others, then name.
 
+    A viewer with several verified labels is each of them.
+
     ``positions`` is the viewer's :func:`shared_positions`, so list and dots cannot disagree.
     """
     mine = d["gamertag_links"].where(
         (F.col("status") == "verified") & (F.col("user_id") == viewer_user_id)
-    ).select(F.lower("gamertag").alias("label")).withColumn("is_self", F.lit(True)).limit(1)
+    ).select(F.lower("gamertag").alias("label")).distinct().withColumn("is_self", F.lit(True))
     shown = positions.where(F.col("viewer_user_id") == viewer_user_id).select(
         "server_id", F.lower("gamertag").alias("label")
     ).distinct().withColumn("sharing", F.lit(True))
@@ -115,6 +117,25 @@ def online_players(d: Dataset, viewer_user_id: str, positions: DataFrame) -> Dat
     return rows.withColumn("rank", presence_rank(F.col("is_self"), F.col("sharing")))
 
 
+def presence_marks(d: Dataset, positions: DataFrame) -> DataFrame:
+    """(viewer, server, label, is_self, sharing) where an online player is more than another name
+    to a viewer.
+
+    With :func:`online_now` it gives every viewer's list; a viewer sees whoever has no mark last.
+    Sparse: one row per own label online and per position shown, never viewers times players.
+    """
+    online = online_now(d).select("server_id", F.lower("gamertag").alias("label")).distinct()
+    own = d["gamertag_links"].where(F.col("status") == "verified").select(
+        F.col("user_id").alias("viewer_user_id"), F.lower("gamertag").alias("label")
+    ).distinct().join(online, "label").withColumns({"is_self": F.lit(True), "sharing": F.lit(False)})
+    shown = positions.select("viewer_user_id", "server_id", F.lower("gamertag").alias("label")).distinct().join(
+        online, ["server_id", "label"]
+    ).withColumns({"is_self": F.lit(False), "sharing": F.lit(True)})
+    return own.unionByName(shown).groupBy("viewer_user_id", "server_id", "label").agg(
+        F.bool_or("is_self").alias("is_self"), F.bool_or("sharing").alias("sharing")
+    )
+
+
 def last_played(d: Dataset) -> DataFrame:
     """Slug of the live server each verified user connected to last."""
     people = latest_by(

@@ -14,8 +14,9 @@ from lifelog.functions.verdict import classify_death
 from lifelog.operators import ordered
 from lifelog.operators.filters import search_labels
 from lifelog.operators.ordered import following, latest_by, max_before, ordered_scan, prev, running_sum, upto
-from lifelog.operators.temporal import asof_join, interval_join, islands
+from lifelog.operators.temporal import asof_join, interval_join, islands, last_open_span
 from lifelog.operators.text import dedupe_quotes, find_mentions, scan_terms
+from lifelog.operators import tracks
 from lifelog.operators.tracks import thin_track
 from lifelog.operators.windows import life_encounters, running_balance
 
@@ -98,20 +99,19 @@ def test_encounters_near_death_are_left_out(spark):
         ("fire", None, 0, 1, 9.0), ("infected", None, 0, 1, 3.0), ("infected", None, 0, 1, 50.0), ("player", "Bob", 30, 2, 40.0)]
 
 
-def thin(points, meters, cap):
+def thin(points, meters):
     kept = [points[0]]
     for p in points[1:]:
         if math.hypot(p[2] - kept[-1][2], p[3] - kept[-1][3]) >= meters:
             kept.append(p)
     if kept[-1] is not points[-1]:
         kept.append(points[-1])
-    cut = len(kept) > cap
-    return [(p[0], cut) for p in (kept[: cap - 1] + [points[-1]] if cut else kept)]
+    return [p[0] for p in kept]
 
 
-@pytest.mark.parametrize("piece", [7, 1000])
-@pytest.mark.parametrize("cap", [10, 12, 1500])
-def test_thin_track_equals_sequential_walk(spark, piece, cap):
+@pytest.mark.parametrize(("piece", "chunk"), [(7, 256), (1000, 3), (1000, 256)])
+def test_thin_track_equals_sequential_walk(spark, monkeypatch, piece, chunk):
+    monkeypatch.setattr(tracks, "CHUNK", chunk)
     rows, event = [], 0
     for life, n in ((1, 90), (2, 1), (3, 20)):
         x = y = 0.0
@@ -120,19 +120,19 @@ def test_thin_track_equals_sequential_walk(spark, piece, cap):
             rows.append((event, life, x, y, at(i)))
             event += 1
     df = spark.createDataFrame(rows, "event_id long, life_id long, x double, y double, recorded_at timestamp")
-    got = thin_track(df, cap=cap, piece_rows=piece)
+    got = thin_track(df, piece_rows=piece)
     want = []
     for life in (1, 2, 3):
-        want += thin([r for r in rows if r[1] == life], 15, cap)
-    assert collect(got, "event_id", "truncated") == sorted(((e, c) for e, _l, c in
-                                                            [(e, None, c) for e, c in want]), key=repr)
+        want += thin([r for r in rows if r[1] == life], 15)
+    assert sorted(r.event_id for r in got.collect()) == sorted(want)
 
 
-def test_track_of_exactly_the_cap_is_whole(spark):
-    df = spark.createDataFrame([(i, 1, 20.0 * i, 0.0, at(i)) for i in range(5)],
+def test_long_tracks_are_whole(spark):
+    df = spark.createDataFrame([(i, 1, 20.0 * i, 0.0, at(i)) for i in range(3000)],
                                "event_id long, life_id long, x double, y double, recorded_at timestamp")
-    assert collect(thin_track(df, cap=5), "truncated") == [(False,)] * 5
-    assert collect(thin_track(df, cap=4), "event_id", "truncated") == [(0, True), (1, True), (2, True), (4, True)]
+    assert thin_track(df).count() == 3000
+    assert thin_track(df, piece_rows=700).count() == 3000
+    assert thin_track(df.limit(0)).count() == 0
 
 
 def test_mentions_equal_left_to_right_matching(spark):
@@ -251,3 +251,19 @@ def verdict(spark, mechanism=None, energy=None, water=None, bleed=None, hits=0,
 ])
 def test_verdict_ladder(spark, facts, expected):
     assert verdict(spark, **facts) == expected
+
+
+@pytest.mark.parametrize("fan", [2, 5, 64])
+def test_last_open_span_against_every_span(spark, fan):
+    ids = list(range(400))
+    rng.shuffle(ids)
+    spans = [(rng.choice("ab"), e, rng.choice([None, e + rng.randint(1, 250)]), f"v{e}") for e in ids[:200]]
+    points = [(rng.choice("abc"), t) for t in ids[200:]]
+    got = last_open_span(
+        spark.createDataFrame(points, "k string, t long"),
+        spark.createDataFrame(spans, "k string, started long, stopped long, v string"), ["k"], "t", "started", "stopped", "m", fan=fan)
+    want = []
+    for k, t in points:
+        open_ = [s for s in spans if s[0] == k and s[1] < t and (s[2] is None or s[2] > t)]
+        want.append((k, t, max(open_, key=lambda s: s[1])[3] if open_ else None))
+    assert {(r.k, r.t): r.m and r.m.v for r in got.collect()} == {(k, t): v for k, t, v in want}

@@ -174,7 +174,7 @@ def test_track_markers_age_and_segments(spark):
     assert collect(t["points"], "session_id", "x") == [(21, 0.0), (21, 20.0), (22, 200.0), (23, 0.0)]
     assert collect(t["markers"], "life_id", "kind", "x", "sample_age_seconds") == [
         (11, "kill", 200.0, 900), (12, "now", 0.0, 0)]
-    assert collect(t["summary"], "life_id", "sample_count", "truncated") == [(11, 5, False), (12, 1, False)]
+    assert collect(t["summary"], "life_id", "sample_count", "kept") == [(11, 5, 4), (12, 1, 1)]
 
 
 def sharing(spark, **changes):
@@ -255,7 +255,9 @@ def test_grants_are_idempotent(spark):
     assert ledger.plan_grants(tags, refs, again, "2026-01").count() == 0
     buys = spark.createDataFrame([("s", "a", 3), ("t", "a", 0), ("u", "a", 101)], "session_id string, user_id string, quantity int")
     paid = spark.createDataFrame([("stripe:s:2",)], "idempotency_key string")
-    assert collect(ledger.expand_purchases(buys, paid), "idempotency_key") == [("stripe:s:1",), ("stripe:s:3",)]
+    grants, refused = ledger.expand_purchases(buys, paid)
+    assert collect(grants, "idempotency_key") == [("stripe:s:1",), ("stripe:s:3",)]
+    assert collect(refused, "session_id", "quantity") == [("t", 0), ("u", 101)]
 
 
 def test_targets_outcomes_and_push(spark):
@@ -265,7 +267,7 @@ def test_targets_outcomes_and_push(spark):
     log = table(spark, "syndications", [dict(slug="s1", channel="a", posted_at=at(9), attempts=1),
                                         dict(slug="s2", channel="a", attempts=3)])
     since = F.lit(at(0)).cast("timestamp")
-    got = article_plans.syndication_targets(posts, log, ["a", "b"], since, limit=9, max_attempts=3)
+    got = article_plans.syndication_targets(posts, log, ["a", "b"], since, max_attempts=3)
     assert collect(got, "slug", "channel") == [("s1", "b"), ("s2", "b")]
     assert article_plans.syndication_targets(posts, log, [], since, limit=9, max_attempts=3).count() == 0
     done = spark.createDataFrame([("s1", "b", True, at(5), None), ("s2", "a", False, at(5), "no")],
