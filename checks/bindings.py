@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 from functools import cached_property
 
@@ -14,7 +15,7 @@ from lifelog.projections import Projections
 from lifelog.queries import Dataset
 from lifelog.sources.extract import assign_timestamps
 from lifelog.sources.payload import typed_events
-from lifelog.staging import stage
+from lifelog.staging import stage, stage_root
 
 NOW = datetime(2024, 1, 31)
 SINCE = datetime(2024, 1, 10)
@@ -187,6 +188,61 @@ class World:
             "log-lines",
         )
 
+    @cached_property
+    def varied_lines(self) -> DataFrame:
+        """One log line per event, of the kinds that ``log_lines`` has none of: (event_id, text)."""
+        k, u = F.col("k"), F.col("user_id").cast("string")
+        two = lambda c: F.format_string("%.2f", c)
+        pos = F.concat(F.lit("pos=<"), two(F.col("value")), F.lit(", "), two(k.cast("double")), F.lit(", 1.0>"))
+        player = lambda mark, place: F.concat(F.lit('Player "P'), u, F.lit(f'"{mark} (id=H'), u, F.lit(" "), place, F.lit(")"))
+        who, dead = player("", pos), player(" (DEAD)", pos)
+        bare = F.concat(F.lit('Player "P'), u, F.lit('" (id=H'), u, F.lit(")"))
+        texts = [
+            F.concat(F.lit("##### PlayerList log: "), k.cast("string"), F.lit(" players")),
+            F.concat(bare, F.lit(" is connecting")),
+            F.concat(dead, F.lit(" drowned")),
+            F.concat(dead, F.lit(" killed by ZmbM_CitizenASkinny")),
+            F.concat(dead, F.lit(" killed by FallDamage")),
+            F.concat(dead, F.lit(" killed by CivilianSedan")),
+            F.concat(dead, F.lit(" killed by Animal_UrsusArctos")),
+            F.concat(who, F.lit("[HP: "), two(F.col("value")), F.lit("] hit by Infected into Head(0) for "), two(k * 0.5), F.lit(" damage (Melee)")),
+            F.concat(who, F.lit(" Dismantled Wall"), k.cast("string"), F.lit("<Fence> with Pliers")),
+            F.concat(who, F.lit(" performed EmoteSalute with Rag")),
+            F.concat(who, F.lit(" was teleported from: <1.5, 2.5, 3.5> to: <4.5, "), k.cast("string"), F.lit(".5, 6.5>. Reason: admin call")),
+            player("", F.lit("pos=<3.4e38, 5.0, 1.0>")),
+            F.concat(who, F.lit(" is disconnecting while being unconscious")),
+            player("", F.lit("pos=<-5000.0, 5.0, 1.0>")),
+            dead,
+            F.concat(who, F.lit(" has been disconnected")),
+        ]
+        clock = F.concat(F.date_format("at", "HH:mm:ss"), F.lit(" | "))
+        text = F.element_at(F.array(*texts), (F.col("event_id") % len(texts) + 1).cast("int"))
+        return self.source.select("event_id", F.concat(clock, text).alias("text"))
+
+    @cached_property
+    def log_folder(self) -> str:
+        """The log lines as files: one .ADM file per server below ``server_id=N``."""
+        folder = f"{stage_root(self.spark)}/lifelog-files-{uuid.uuid4().hex}"
+        # One file per server needs its lines in one task each; the files are the fixture, not the operator.
+        for server in (1, 2, 3):
+            lines = self.log_lines.where(F.col("server_id") == server).orderBy("line_index").select("text").coalesce(1)
+            lines.write.text(f"{folder}/raw/server_id={server}")
+        return self._named(folder)
+
+    def _named(self, folder: str) -> str:
+        """Give the part files the names that the game gives its logs."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for server in (1, 2, 3):
+            source = jvm.org.apache.hadoop.fs.Path(f"{folder}/raw/server_id={server}")
+            fs = source.getFileSystem(conf)
+            target = jvm.org.apache.hadoop.fs.Path(f"{folder}/logs/server_id={server}")
+            fs.mkdirs(target)
+            for status in fs.listStatus(source):
+                if status.getPath().getName().startswith("part-"):
+                    fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(
+                        target, f"DayZServer_X1_x64_2024-01-0{server}_00-00-00.ADM"))
+        return f"{folder}/logs"
+
     @cached_property
     def stamped_lines(self) -> DataFrame:
         return stage(assign_timestamps(self.log_lines), "stamped-lines")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lifelog.fixed import EMOTES
 from lifelog.functions import scalars as X
 from lifelog.operators import aggregates as A
 from lifelog.operators import filters as C
@@ -28,6 +30,7 @@ from lifelog.sources import extract as EX
 from lifelog.sources import logs as L
 from lifelog.sources import tables as S
 from lifelog.sources.payload import typed_events, validate_events
+from lifelog.staging import stage_root
 from lifelog.streaming import presence_spans, stream_encounters
 
 from .base_sql import FRESH, GAP, NOW, QUALIFY, RECENT, SINCE, seconds, with_base
@@ -1054,6 +1057,141 @@ add("incremental_lines",
     """SELECT event_id, file, line_index FROM ln WHERE line_index >= CASE WHEN server_id < 3 THEN server_id * 100 ELSE 0 END""",
     extra=LINES)
 
+def _reply(body: str, tags: int = 2) -> Column:
+    """A reply in JSON with a text as its body."""
+    none = F.lit(None).cast("struct<text:string,attribution:string>")
+    return F.to_json(F.struct(F.lit("Head").alias("headline"), F.lit("Lede").alias("lede"), F.col(body).alias("body"),
+                              none.alias("pullQuote"), F.array(*[F.lit(f"t{i}") for i in range(tags)]).alias("tags")),
+                     {"ignoreNullFields": "false"})
+
+# --- kinds of lines, files and functions that the tables above do not reach ---------------------
+
+add("varied_lines",
+    lambda w: EX.parse_lines(w.varied_lines).select(
+        "event_id", "sub_index", "type", *[F.get_json_object("payload", f"$.{f}").alias(f) for f in (
+            "count", "gamertag", "victim", "dayzId", "cause", "deathEntity", "bodyPart", "action", "object", "className", "tool",
+            "emote", "item", "reason", "disconnecting")],
+        F.get_json_object("payload", "$.damage").cast("double").alias("damage"),
+        F.get_json_object("payload", "$.to[1]").cast("double").alias("to_y"),
+        F.get_json_object("payload", "$.x").cast("double").alias("x"), F.get_json_object("payload", "$.y").cast("double").alias("y")),
+    """SELECT event_id, CAST(row_number() OVER (PARTITION BY event_id ORDER BY o) - 1 AS INTEGER) AS sub_index, type,
+         CASE WHEN type = 'roster.snapshot' THEN k::VARCHAR END AS "count",
+         CASE WHEN type NOT IN ('roster.snapshot', 'player.died', 'player.hit') THEN label END AS gamertag,
+         CASE WHEN type IN ('player.died', 'player.hit') THEN label END AS victim,
+         CASE WHEN type IN ('player.connecting', 'player.died', 'player.disconnected') THEN 'H' || user_id END AS dayzId,
+         CASE WHEN type = 'player.died' THEN CASE m WHEN 2 THEN 'drowned' WHEN 3 THEN 'infected' WHEN 4 THEN 'fall' WHEN 5 THEN 'vehicle'
+           WHEN 6 THEN 'bear' END END AS cause,
+         CASE WHEN type = 'player.died' THEN CASE m WHEN 3 THEN 'ZmbM_CitizenASkinny' WHEN 4 THEN 'FallDamage' WHEN 5 THEN 'CivilianSedan'
+           WHEN 6 THEN 'Animal_UrsusArctos' END END AS deathEntity,
+         CASE WHEN type = 'player.hit' THEN 'Head' END AS bodyPart,
+         CASE WHEN type = 'build.dismantled' THEN 'dismantled' END AS action, CASE WHEN type = 'build.dismantled' THEN 'Wall' || k END AS object,
+         CASE WHEN type = 'build.dismantled' THEN 'Fence' END AS className, CASE WHEN type = 'build.dismantled' THEN 'Pliers' END AS tool,
+         CASE WHEN type = 'emote.performed' THEN 'EmoteSalute' END AS emote, CASE WHEN type = 'emote.performed' THEN 'Rag' END AS item,
+         CASE WHEN type = 'player.teleported' THEN 'admin call' END AS reason,
+         CASE WHEN type = 'player.unconscious' THEN 'true' END AS disconnecting,
+         CASE WHEN type = 'player.hit' THEN k * 0.5::DOUBLE END AS damage,
+         CASE WHEN type = 'player.teleported' THEN k + 0.5::DOUBLE END AS to_y,
+         CASE WHEN type IN ('player.hit', 'build.dismantled', 'emote.performed', 'player.position', 'player.unconscious')
+              THEN printf('%.2f', value)::DOUBLE END AS x,
+         CASE WHEN type IN ('player.hit', 'build.dismantled', 'emote.performed', 'player.position', 'player.unconscious')
+              THEN k::DOUBLE END AS y
+       FROM (SELECT *, 'P' || user_id AS label FROM (
+         SELECT *, 0 AS o, CASE m WHEN 0 THEN 'roster.snapshot' WHEN 1 THEN 'player.connecting' WHEN 7 THEN 'player.hit'
+           WHEN 8 THEN 'build.dismantled' WHEN 9 THEN 'emote.performed' WHEN 10 THEN 'player.teleported' WHEN 15 THEN 'player.disconnected'
+           ELSE 'player.died' END AS type FROM vm WHERE m NOT IN (11, 12, 13, 14)
+         UNION ALL SELECT *, 1, 'player.position' FROM vm WHERE m NOT IN (0, 1, 7, 11, 13)
+         UNION ALL SELECT *, 2, 'player.unconscious' FROM vm WHERE m = 12))""",
+    extra="vm AS (SELECT *, event_id % 16 AS m FROM ev)")
+add("events_from_lines",
+    lambda w: EX.events_from_lines(w.log_lines.where(F.col("event_id").isNotNull()))
+    .groupBy("event_id", "occurred_at").agg(F.count("*").alias("events"), F.max("sub_index").alias("last_index")),
+    """SELECT p.event_id, CASE WHEN p.t = 'boot' THEN TIMESTAMP '2024-01-01' ELSE c.stamp END AS occurred_at,
+         CAST(n AS BIGINT) AS events, CAST(n - 1 AS INTEGER) AS last_index
+       FROM (SELECT *, CASE WHEN t NOT IN ('fix', 'down') THEN 1 ELSE 0 END + CASE WHEN t NOT IN ('boot', 'hit') AND inside THEN 1 ELSE 0 END
+               + CASE WHEN t = 'down' THEN 1 ELSE 0 END AS n FROM px) p JOIN clk c USING (event_id) WHERE n > 0""",
+    extra=LINES)
+add("log_files",
+    lambda w: L.log_files(w.spark, w.log_folder).select("server_id", "name", "started_at"),
+    """SELECT DISTINCT CAST(server_id AS INTEGER) AS server_id, 'DayZServer_X1_x64_2024-01-0' || server_id || '_00-00-00.ADM' AS name,
+         TIMESTAMP '2024-01-01' + to_days(CAST(server_id - 1 AS INTEGER)) AS started_at FROM ev""")
+add("read_log_lines",
+    lambda w: L.read_log_lines(w.spark, w.log_folder).select("server_id", "line_index", F.regexp_extract("text", r"^\S+", 0).alias("head"),
+                                                             "started_at"),
+    """SELECT CAST(server_id AS INTEGER) AS server_id, line_index, CASE WHEN t = 'boot' THEN 'AdminLog' ELSE strftime(tm, '%H:%M:%S') END AS head,
+         TIMESTAMP '2024-01-01' + to_days(CAST(server_id - 1 AS INTEGER)) AS started_at FROM ln
+       UNION ALL SELECT DISTINCT CAST(server_id AS INTEGER), 0, 'AdminLog',
+         TIMESTAMP '2024-01-01' + to_days(CAST(server_id - 1 AS INTEGER)) FROM ln""", extra=LINES)
+
+
+def _saved(w):
+    path = f"{stage_root(w.spark)}/lifelog-saved-{uuid.uuid4().hex}"
+    S.save_tables({"links": w.links, "servers": w.servers}, path)
+    tables = S.load_tables(w.spark, path, ["links", "servers"])
+    return tables["links"].select("user_id", "gamertag", "status").unionByName(
+        tables["servers"].select(F.col("slug").alias("user_id"), F.col("name").alias("gamertag"), F.col("map").alias("status")))
+
+
+add("saved_tables", _saved,
+    "SELECT user_id, gamertag, status FROM links UNION ALL SELECT slug, name, map FROM servers")
+add("backfill_account_ids",
+    lambda w: S.backfill_account_ids(w.bans.withColumn("dayz_id", F.when(F.col("id") % 2 == 0, F.lit("old"))), w.projections.players)
+    .select("id", "dayz_id"),
+    """SELECT b.id, coalesce((SELECT any_value(p.dayz_id) FROM players p WHERE lower(p.gamertag) = lower(b.gamertag)),
+         CASE WHEN b.id % 2 = 0 THEN 'old' END) AS dayz_id FROM bans b""")
+add("quarantined_events",
+    lambda w: validate_events(w.events.withColumn("payload", F.when(F.col("event_id") % 7 == 0, F.expr("substr(payload, 1, length(payload) - 1)"))
+                                                  .when(F.col("event_id") % 7 == 1, F.lit("{}"))
+                                                  .when(F.col("event_id") % 7 == 2, F.lit(None).cast("string")).otherwise(F.col("payload"))))[1]
+    .select("event_id", "type"),
+    """SELECT event_id, CASE t WHEN 'connect' THEN 'player.connected' WHEN 'leave' THEN 'player.disconnected'
+         WHEN 'die' THEN 'player.died' WHEN 'down' THEN 'player.unconscious' WHEN 'build' THEN 'build.placed'
+         WHEN 'boot' THEN 'server.rebooted' WHEN 'fix' THEN 'player.position' ELSE 'player.hit' END AS type
+       FROM ev WHERE event_id % 7 IN (0, 2) OR event_id % 7 = 1 AND t <> 'down'  -- no field is asked of a knockout""")
+_EMOTE_ROWS = ", ".join(f"('{label}', '{token}', {str(safe).lower()})" for label, token, safe in EMOTES)
+
+
+def _emote_labels() -> Column:
+    return F.array(*[F.lit(label) for label, _, _ in EMOTES], F.lit("wave"))
+
+
+add("emote_tokens",
+    lambda w: w.source.select("event_id", F.upper(F.element_at(_emote_labels(), (F.col("event_id") % (len(EMOTES) + 1) + 1).cast("int"))).alias("label"))
+    .withColumn("token", X.emote_token(F.col("label"))).select(
+        "event_id", "token", X.emote_label(F.col("token")).alias("name"), X.emote_is_safe(F.col("token")).alias("safe")),
+    f"""SELECT e.event_id, m.token, m.name, coalesce(m.safe, false) AS safe FROM ev e
+        LEFT JOIN (SELECT *, row_number() OVER () - 1 AS n FROM (VALUES {_EMOTE_ROWS}) v(name, token, safe)) m
+          ON e.event_id % {len(EMOTES) + 1} = m.n""")
+add("next_even_hour",
+    lambda w: w.source.select("event_id", X.ms_to_next_even_hour(F.col("at")).alias("wait_ms")),
+    "SELECT event_id, 7200000 - (epoch_us(tm) // 1000) % 7200000 AS wait_ms FROM ev")
+add("place_labels",
+    lambda w: w.source.select("event_id", F.element_at(F.array(*map(F.lit, ("capital", "city", "village", "hill", "camp"))),
+                                                       (F.col("event_id") % 5 + 1).cast("int")).alias("kind"), (F.col("k") % 6).alias("zoom"))
+    .where(X.place_visible(F.col("kind"), F.col("zoom"))),
+    """SELECT * FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'capital' WHEN 1 THEN 'city' WHEN 2 THEN 'village' WHEN 3 THEN 'hill' ELSE 'camp' END AS kind,
+         CAST(k % 6 AS INTEGER) AS zoom FROM ev)
+       WHERE zoom >= CASE kind WHEN 'capital' THEN 0 WHEN 'city' THEN 0 WHEN 'village' THEN 2 ELSE 4 END""")
+add("rap_sheets",
+    lambda w: w.dataset.life_status.select("id", "seconds", "kills_counted").join(w.projections.lives.select("id", "death_cause"), "id").select(
+        "id", F.inline(X.rap_sheet(F.col("seconds"), F.col("kills_counted"), F.when(F.col("kills_counted") > 0, F.col("kills_counted") * 10.5),
+                                   F.coalesce("death_cause", F.lit("alive"))))),
+    """SELECT id, label, value, hot FROM (
+         SELECT s.id, 'Kills' AS label, CAST(s.kills_counted AS VARCHAR) AS value, false AS hot FROM status s
+         UNION ALL SELECT id, 'Longest kill', CAST(CAST(floor(kills_counted * 10.5 + 0.5) AS BIGINT) AS VARCHAR) || 'm', false FROM status WHERE kills_counted > 0
+         UNION ALL SELECT s.id, 'Cause', coalesce(l.death_cause, 'alive'), true FROM status s JOIN lives l USING (id)
+         UNION ALL SELECT id, 'Survived', CASE WHEN s < 60 THEN s || 's' ELSE trim(
+             CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' ELSE '' END ||
+             CASE WHEN s % 86400 >= 3600 THEN (s % 86400 // 3600) || 'h ' ELSE '' END ||
+             CASE WHEN s % 3600 >= 60 THEN (s % 3600 // 60) || 'm' ELSE '' END) END, false
+           FROM (SELECT id, CAST(seconds AS BIGINT) AS s FROM status))""")
+add("salvaged_replies",
+    lambda w: w.prose.select("id", X.salvage_reply(F.when(F.col("id") % 4 == 0, F.concat(F.lit("Sure: "), _reply("text")))
+                                                   .when(F.col("id") % 4 == 1, F.lit("no object"))
+                                                   .when(F.col("id") % 4 == 2, _reply("text", tags=7)).otherwise(_reply("text"))).alias("r")).select(
+        "id", F.col("r").isNotNull().alias("sound"), F.length("r.body").alias("chars"), F.size(F.coalesce("r.tags", F.array().cast("array<string>"))).alias("tags")),
+    """SELECT id, ok AS sound, CASE WHEN ok THEN length(text) END AS chars, CASE WHEN ok THEN 2 ELSE 0 END AS tags
+       FROM (SELECT id, text, id % 4 IN (0, 3) AND length(trim(text)) > 0 AS ok FROM prose)""")
+
 # --- session windows (the batch side of the streaming operators) ------------------------------
 
 WINDOW_SQL = """SELECT {keys}, min(tm) AS {a}, max(tm) AS {b}{more} FROM (
