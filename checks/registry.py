@@ -943,9 +943,8 @@ add("scan_terms",
          WHERE list_contains(string_split_regex(replace(lower(text), 'and', ' '), '[^a-z0-9]+'), 'and')""", base=False)
 add("find_mentions",
     lambda w: TX.find_mentions(w.raw("documents").withColumn(
-        "roster", F.array(F.lit("The"), F.lit("Of the"), F.concat(F.lit("s"), F.substring("lang", 1, 1)))))
-    .groupBy("doc_id").agg(F.count("*").alias("mentions"), F.min("start").alias("first_at")),
-    """SELECT doc_id, count(*) AS mentions, min(CAST(at_end - length(m) AS INTEGER)) AS first_at FROM (
+        "roster", F.array(F.lit("The"), F.lit("Of the"), F.concat(F.lit("s"), F.substring("lang", 1, 1))))),
+    """SELECT doc_id, CAST(at_end - length(m) AS INTEGER) AS start, m AS name FROM (
          SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS at_end,
            right(coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY i), '') || gap, 1) AS l,
            left(nxt || coalesce(lead(m) OVER (PARTITION BY doc_id ORDER BY i), ''), 1) AS r
@@ -953,7 +952,7 @@ add("find_mentions",
                  unnest(range(len(ms))) AS i
                FROM (SELECT doc_id, regexp_extract_all(text, '(?i)of the|the|s' || lang[1]) AS ms,
                        string_split_regex(text, '(?i)of the|the|s' || lang[1]) AS gaps FROM documents)))
-       WHERE NOT regexp_matches(l, '[A-Za-z0-9_]') AND NOT regexp_matches(r, '[A-Za-z0-9_]') GROUP BY doc_id""", base=False)
+       WHERE NOT regexp_matches(l, '[A-Za-z0-9_]') AND NOT regexp_matches(r, '[A-Za-z0-9_]')""", base=False)
 add("dedupe_quotes",
     lambda w: TX.dedupe_quotes(
         w.prose.where(F.col("status") != "published").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dedupe_roster, first_sentence
@@ -51,7 +51,7 @@ def find_mentions(
 
     Longest names first, case ignored, text consumed left to right; a match touching a word
     character on either side is dropped (and its text stays consumed).  ``start`` is 0-based.
-    ``key`` identifies one text, so the window over it is bounded by the length of that text.
+    Everything happens inside the row; only mentions that stay leave it.
     """
     names = F.array_sort(
         dedupe_roster(F.col(roster)),
@@ -65,36 +65,39 @@ def find_mentions(
         F.expr("regexp_extract_all(__t, __p, 0)").alias("__m"),
         F.expr("split(__t, __p, -1)").alias("__g"),
     ).where(F.size("__m") > 0)
-    # The characters around match i: the gaps beside it, or the neighbouring match where a gap is
-    # empty.  All five parts are gathered before the explode, so no row carries whole arrays.
+    # The characters around match i: the gaps beside it, or the neighbouring match where a gap is empty.
     matches, gaps, none = F.col("__m"), F.col("__g"), F.lit("")
-    parts = F.transform(
-        matches,
-        lambda m, i: F.struct(
-            m.alias("name"),
-            F.get(gaps, i).alias("before"),
-            F.get(gaps, i + 1).alias("after"),
-            F.coalesce(F.get(matches, i - 1), none).alias("last"),
-            F.coalesce(F.get(matches, i + 1), none).alias("next"),
-        ),
-    )
-    spots = rows.select(key, F.posexplode(parts).alias("__i", "__p")).select(
-        key, "__i", F.col("__p.name").alias("name"), F.col("__p.before").alias("__before"),
-        F.col("__p.after").alias("__after"), F.col("__p.last").alias("__last"),
-        F.col("__p.next").alias("__next"),
-    )
-    left = F.right(F.concat("__last", "__before"), F.lit(1))
-    right = F.left(F.concat("__after", "__next"), F.lit(1))
-    text_order = Window.partitionBy(key).orderBy("__i")
-    start = F.sum(F.length("__before") + F.length("name")).over(text_order) - F.length("name")
     word = r"^[A-Za-z0-9_]$"
-    return (
-        spots.select(
-            key, start.cast("int").alias("start"), "name", (left.rlike(word) | right.rlike(word)).alias("__glued")
-        )
-        .where(~F.col("__glued")).drop("__glued")
+
+    def glued(i: Column) -> Column:
+        left = F.right(F.concat(F.coalesce(F.get(matches, i - 1), none), F.get(gaps, i)), F.lit(1))
+        right = F.left(F.concat(F.get(gaps, i + 1), F.coalesce(F.get(matches, i + 1), none)), F.lit(1))
+        return left.rlike(word) | right.rlike(word)
+
+    parts = F.transform(matches, lambda m, i: F.struct(m.alias("name"), glued(i).alias("glued")))
+    ends = running_totals(F.transform(matches, lambda m, i: F.length(F.get(gaps, i)) + F.length(m)))
+    spots = F.zip_with(parts, ends, lambda p, e: F.when(
+        ~p["glued"], F.struct((e - F.length(p["name"])).alias("start"), p["name"].alias("name"))))
+    return rows.select(key, F.inline(F.array_compact(spots)))
+
+
+def running_totals(values: Column) -> Column:
+    """Running totals of an array of integers, gathered in chunks so that appending stays cheap."""
+    start = F.struct(
+        F.lit(0).alias("sum"), F.array().cast("array<int>").alias("open"), F.array().cast("array<array<int>>").alias("chunks")
     )
 
+    def step(acc: Column, v: Column) -> Column:
+        total = acc["sum"] + v
+        full = F.size(acc["open"]) >= 64
+        return F.struct(
+            total.alias("sum"),
+            F.when(full, F.array(total)).otherwise(F.array_append(acc["open"], total)).alias("open"),
+            F.when(full, F.array_append(acc["chunks"], acc["open"])).otherwise(acc["chunks"]).alias("chunks"),
+        )
+
+    return F.aggregate(values, start, step, lambda acc: F.flatten(F.array_append(acc["chunks"], acc["open"])))
+
 
 def recent_prose(articles: DataFrame, kind: str, n: int) -> DataFrame:
     """Headline, attribution and opening sentence of the last ``n`` published articles."""
