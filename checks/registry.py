@@ -1191,6 +1191,54 @@ add("salvaged_replies",
     """SELECT id, ok AS sound, CASE WHEN ok THEN length(text) END AS chars, CASE WHEN ok THEN 2 ELSE 0 END AS tags
        FROM (SELECT id, text, id % 4 IN (0, 3) AND length(trim(text)) > 0 AS ok FROM prose)""")
 
+# --- shared and changed labels ---------------------------------------------------------------
+
+RENAMED = """nv AS (SELECT *, 'N' || ((user_id * 3 + k) % 25) AS lab FROM ev),
+  nc AS (SELECT c.*, f.player_id FROM nv c JOIN fc f USING (user_id) WHERE c.t = 'connect'),
+  nt AS (SELECT a.player_id, a.event_id, a.lab, min(b.event_id) AS left_at FROM nc a
+         LEFT JOIN nc b ON b.user_id = a.user_id AND b.event_id > a.event_id AND b.lab <> a.lab GROUP BY ALL),
+  nh AS (SELECT v.event_id, arg_max(n.player_id, n.event_id) AS player_id FROM nv v
+         JOIN nt n ON n.lab = v.lab AND n.event_id < v.event_id AND (n.left_at IS NULL OR n.left_at > v.event_id)
+         WHERE v.t NOT IN ('connect', 'boot') GROUP BY 1),
+  nr AS (SELECT v.event_id, v.t, v.tm, v.lab, coalesce(c.player_id, h.player_id) AS player_id FROM nv v
+         LEFT JOIN nc c ON c.event_id = v.event_id LEFT JOIN nh h ON h.event_id = v.event_id WHERE v.t <> 'boot'),
+  npl AS (SELECT player_id, arg_max(lab, event_id) FILTER (WHERE t = 'connect') AS gamertag, arg_min(tm, event_id) AS first_seen_at,
+            arg_max(tm, event_id) AS last_seen_at FROM nr WHERE t IN ('connect', 'leave', 'fix') AND player_id IS NOT NULL GROUP BY 1),
+  nal AS (SELECT player_id, lab AS gamertag, arg_min(tm, event_id) AS first_seen_at, max(tm) AS last_seen_at FROM nc GROUP BY 1, 2),
+  cur AS (SELECT gamertag, arg_max(player_id, (last_seen_at, -player_id)) AS player_id FROM npl GROUP BY 1),
+  old AS (SELECT gamertag, arg_max(player_id, (last_seen_at, -player_id)) AS player_id FROM nal GROUP BY 1),
+  nn AS (SELECT coalesce(c.gamertag, o.gamertag) AS gamertag, coalesce(c.player_id, o.player_id) AS player_id, c.player_id IS NULL AS via_alias
+         FROM cur c FULL JOIN old o ON c.gamertag = o.gamertag),
+  nlk AS (SELECT id, user_id, 'n' || (id % 30) AS gamertag, status FROM links),
+  nb AS (SELECT * REPLACE ('N' || ((id // 2) % 28) AS gamertag) FROM bans)"""
+add("renamed_labels", lambda w: w.renamed.resolved.where(F.col("type") != "server.rebooted").select("event_id", "player_id"),
+    "SELECT event_id, player_id FROM nr", extra=RENAMED)
+add("renamed_players", lambda w: w.renamed.players.select("id", "gamertag", "first_seen_at", "last_seen_at"),
+    "SELECT player_id AS id, gamertag, first_seen_at, last_seen_at FROM npl", extra=RENAMED)
+add("renamed_aliases", lambda w: w.renamed.player_gamertags, "SELECT * FROM nal", extra=RENAMED)
+add("renamed_slugs",
+    lambda w: J.resolve_slugs(w.renamed_links.select("id", "gamertag"), "gamertag", w.renamed.players, w.renamed.player_gamertags)
+    .select("id", "player_id", "via_alias"),
+    """SELECT l.id, n.player_id, coalesce(n.via_alias, false) AS via_alias FROM nlk l LEFT JOIN nn n ON lower(n.gamertag) = l.gamertag""",
+    extra=RENAMED)
+add("renamed_links", lambda w: J.resolve_links(w.renamed_links, w.renamed.players).select("link_id", "user_id", "player_id"),
+    """SELECT l.id AS link_id, l.user_id, c.player_id FROM nlk l JOIN cur c ON lower(c.gamertag) = l.gamertag WHERE l.status = 'verified'""",
+    extra=RENAMED)
+add("renamed_owned_bans",
+    lambda w: J.owned_bans(w.renamed_links, w.renamed_bans, w.renamed.players, w.renamed.player_gamertags).select("user_id", "ban_id", "status"),
+    """SELECT DISTINCT l.user_id, b.id AS ban_id, b.status FROM nb b JOIN nn p ON p.gamertag = b.gamertag
+       JOIN nn q ON q.player_id = p.player_id JOIN nlk l ON l.gamertag = lower(q.gamertag) AND l.status = 'verified'
+       WHERE b.status IN ('pending', 'applied') AND NOT b.dry_run""", extra=RENAMED)
+add("renamed_avatars",
+    lambda w: J.avatar_hash(w.renamed.players.select(F.col("id").alias("player_id"), "gamertag"), w.renamed_links, w.avatars,
+                            w.renamed.player_gamertags),
+    """SELECT p.player_id, p.gamertag, x.hash AS avatar_hash FROM npl p LEFT JOIN (
+         SELECT player_id, arg_min(hash, (via, link_id)) AS hash FROM (
+           SELECT n.player_id, n.via, l.id AS link_id, a.hash FROM (
+             SELECT player_id, lower(gamertag) AS lab, 0 AS via FROM npl UNION ALL SELECT player_id, lower(gamertag), 1 FROM nal) n
+           JOIN nlk l ON l.gamertag = n.lab AND l.status = 'verified' JOIN avatars a ON a.user_id = l.user_id) GROUP BY 1) x
+       USING (player_id)""", extra=RENAMED)
+
 # --- session windows (the batch side of the streaming operators) ------------------------------
 
 WINDOW_SQL = """SELECT {keys}, min(tm) AS {a}, max(tm) AS {b}{more} FROM (
