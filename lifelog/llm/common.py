@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import lifelog
+
 #: Words are runs without space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,6 +43,23 @@ def crc_fold(key: Column, folds: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % folds
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session, once; they may not have it on their path."""
+    context, folder = spark.sparkContext, Path(lifelog.__file__).parent
+    if context.applicationId in _SHIPPED or not folder.is_dir():
+        return
+    _SHIPPED.add(context.applicationId)
+    archive = Path(tempfile.mkdtemp(prefix="lifelog-")) / "lifelog-package.zip"  # read by the driver only, which serves it
+    atexit.register(shutil.rmtree, archive.parent, ignore_errors=True)
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(folder.rglob("*.py")):
+            out.write(source, source.relative_to(folder.parent))
+    context.addPyFile(str(archive))
+
+
 #: Rows that a Python function gets at once.
 SLICE_ROWS = 256
 
@@ -51,4 +75,5 @@ def map_rows(df: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], sc
             for at in range(0, len(batch), SLICE_ROWS):
                 yield function(batch.iloc[at:at + SLICE_ROWS].reset_index(drop=True))
 
+    ship_package(df.sparkSession)
     return df.mapInPandas(run, schema)

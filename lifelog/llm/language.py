@@ -8,7 +8,8 @@ the average, prediction folds both into one table of bucket by language.
 
 Part of the sample is set aside to calibrate: a temperature makes the probabilities honest, and a
 text is rejected below the confidence at which the accepted rest of that part would err more often
-than ``ERROR``; at most ``LOST`` of the rightly labelled may go.
+than ``ERROR``; at most ``LOST`` of the rightly labelled may go, and nothing above ``CHANCE`` times
+the confidence of a guess.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with
 no labelled row to learn from every text is; null keys are held in; repeated rows stay; an empty
@@ -32,7 +33,7 @@ DIMENSIONS = 16
 ORDERS = 4
 #: Labelled rows of a language to learn from, about; twice that for all languages together at most.
 SAMPLE = 300
-ERROR, LOST, SMOOTH = 0.01, 0.0005, 0.02
+ERROR, LOST, SMOOTH, CHANCE = 0.01, 0.0005, 0.02, 1.6
 UND = "und"
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -129,7 +130,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate:
         good = np.flatnonzero(wrong <= ERROR)
         # Nothing to reject if even the least sure of the accepted keeps the error low.
         least = 0.0 if wrong[-1] <= ERROR else float(sure[by[good[-1]]]) if len(good) else 1.0
-        model.least = min(least, float(np.quantile(sure[right], LOST)) if right.any() else 1.0)
+        model.least = min(least, float(np.quantile(sure[right], LOST)) if right.any() else 1.0, CHANCE / len(languages))
     return model
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifelog.llm.common import WORD, documents, map_rows
+from lifelog.llm.common import WORD, documents, map_rows, ship_package
 from lifelog.staging import stage
 
 RADIUS = 3
@@ -207,6 +207,7 @@ def shard_links(keyed: DataFrame, radius: int, nearest: bool = False) -> DataFra
         if kept:
             yield links(pd.concat(kept))
 
+    ship_package(keyed.sparkSession)
     return (keyed.select("shard", "fp", "node").repartition("shard").sortWithinPartitions("shard", "fp", "node")
             .mapInPandas(run, "node long, other long"))
 

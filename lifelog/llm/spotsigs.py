@@ -34,6 +34,8 @@ CHAIN = 2
 TAU = 0.8
 #: Ids fall into at most this many ranges, of about ``RANGE_ROWS`` rows.
 RANGES, RANGE_ROWS = 65_536, 512
+#: Rows of a task that orders ranges, about.
+TASK_ROWS = 4_096
 
 # Common words of English, German, French and Spanish.
 ANCHORS = """
@@ -102,7 +104,9 @@ def in_order(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     own = texts.select(part.alias("range"), F.lit(False).alias("guest"), "doc_id", "text")
     guests = texts.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("head"))).select(
         F.col("goes").alias("range"), F.lit(True).alias("guest"), "doc_id", "text")
-    return own.union(guests).repartition("range")
+    # Tasks of a bounded number of rows, whatever the session's number of partitions.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), known["n"] // TASK_ROWS)
+    return own.union(guests).repartition(tasks, "range")
 
 
 def neighbour_likeness(docs: DataFrame, chain: int = CHAIN, rows: int = RANGE_ROWS) -> DataFrame:
