@@ -15,8 +15,6 @@ from pyspark.sql import SparkSession
 
 from checks import registry
 from checks.bindings import world
-from lifelog.projections import PROJECTION_TABLES
-
 HEADLINE = [
     "board_most_kills", "board_alltime_longest", "survivors_board", "profiles", "standings",
     "player_priors", "life_encounters", "death_verdicts", "life_timeline", "timeline_events",
@@ -43,13 +41,10 @@ def main() -> None:
 
     times: dict[str, float] = {}
     start = time.perf_counter()
-    for name in PROJECTION_TABLES:
-        getattr(w.projections, name)
+    w.projections.tables()
     times["rebuild_projections"] = time.perf_counter() - start
     start = time.perf_counter()
-    for fact in ("lives_of", "life_kills", "label_kills", "life_hits", "life_knockouts", "life_status",
-                 "qualified_at", "verdicts", "priors", "thinned_fixes"):
-        getattr(w.dataset, fact)
+    w.dataset.prepare()
     times["life_facts"] = time.perf_counter() - start
 
     def run(name: str) -> float:

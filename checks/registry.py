@@ -632,23 +632,60 @@ add("life_timeline",
          CASE WHEN v.ended_at IS NOT NULL THEN coalesce((SELECT o.hits FROM ordeals o WHERE o.life_id = v.id AND o.ordeal = 'pvp'), 0) END
            AS pvp_hits
        FROM verdicts v JOIN status s USING (id) LEFT JOIN qat q ON q.life_id = v.id""")
+_PLURAL = "hits || CASE WHEN hits = 1 THEN ' {0}' ELSE ' {0}s' END"
+_HP = "CAST(CAST(floor(hp_low + 0.5) AS BIGINT) AS VARCHAR)"
 add("timeline_events",
-    lambda w: lives.timeline_events(w.dataset).where(F.col("kind").isin("birth", "qualified", "kill", "encounter", "death", "now"))
-    .select("life_id", "kind", "at", "time_label", "name"),
+    lambda w: lives.timeline_events(w.dataset).select(
+        "life_id", "kind", "at", "time_label", "title", "line", "name", "distance", "weapon", "verdict"),
     f"""SELECT life_id, kind, tm AS "at", coalesce(fixed, (CAST(p // 3600 AS BIGINT)) || 'h '
-          || lpad(CAST(CAST(p % 3600 // 60 AS BIGINT) AS VARCHAR), 2, '0') || 'm in') AS time_label, name
+          || lpad(CAST(CAST(p % 3600 // 60 AS BIGINT) AS VARCHAR), 2, '0') || 'm in') AS time_label, title, line, name, distance, weapon, verdict
         FROM (SELECT t.*, coalesce((SELECT sum(CASE WHEN t.tm >= coalesce(s.disconnected_at, s.last_seen_at) THEN s.share
                  ELSE {seconds('s.connected_at', 't.tm')} END)
                FROM sess_share s WHERE s.life_id = t.life_id AND t.tm > s.connected_at), 0) AS p FROM te t)""",
-    extra=f"""te AS (
-      SELECT id AS life_id, 'birth' AS kind, started_at AS tm, '0h 00m' AS fixed, CAST(NULL AS VARCHAR) AS name FROM lives
-      UNION ALL SELECT life_id, 'qualified', qualified_at, NULL, NULL FROM qat
-      UNION ALL SELECT life_id, 'kill', occurred_at, NULL, victim_gamertag FROM life_kills
-      UNION ALL SELECT life_id, 'encounter', started_at, NULL, attacker_gamertag FROM encounters
-      UNION ALL SELECT id, 'now', {NOW}, 'NOW', NULL FROM lives WHERE ended_at IS NULL
-      UNION ALL SELECT id, 'death', ended_at, (playtime_seconds // 3600) || 'h '
-        || lpad(CAST(playtime_seconds % 3600 // 60 AS VARCHAR), 2, '0') || 'm in', death_by_gamertag
-        FROM lives WHERE ended_at IS NOT NULL)""")
+    extra=f"""so AS (SELECT s.life_id, s.connected_at,
+        row_number() OVER (PARTITION BY s.life_id ORDER BY s.connected_at, s.id) AS o,
+        EXISTS (SELECT 1 FROM life_kills k WHERE k.life_id = s.life_id AND k.occurred_at >= s.connected_at
+                AND k.occurred_at <= coalesce(s.disconnected_at, {NOW})) AS scored FROM sessions s),
+      g AS (SELECT *, sum(CASE WHEN scored THEN 1 ELSE 0 END) OVER (PARTITION BY life_id ORDER BY o) AS island
+            FROM so WHERE o >= 2),
+      te_runs AS (SELECT life_id, min(o) AS a, max(o) AS z, arg_min(connected_at, o) AS tm FROM g GROUP BY life_id, island, scored),
+      far AS (SELECT life_id, arg_max(victim_life_id, (distance, -epoch_us(occurred_at), -victim_life_id)) AS longest
+              FROM life_kills WHERE distance IS NOT NULL GROUP BY 1),
+      te AS (
+      SELECT id AS life_id, 'birth' AS kind, started_at AS tm, '0h 00m' AS fixed, CAST(NULL AS VARCHAR) AS name,
+        'Washed ashore — life begins' AS title, 'Session 1. Grace period active.' AS line, CAST(NULL AS DOUBLE) AS distance,
+        CAST(NULL AS VARCHAR) AS weapon, CAST(NULL AS VARCHAR) AS verdict FROM lives
+      UNION ALL SELECT life_id, 'qualified', qualified_at, NULL, NULL, 'Life qualified', CASE qualified_by
+          WHEN 'kill' THEN 'First blood drawn. The life counts from here.'
+          WHEN 'pvp-death' THEN 'Qualified at the moment of death — killed by a player.'
+          ELSE 'Five minutes survived. The grace period ends; from here, death counts.' END, NULL, NULL, NULL FROM qat
+      UNION ALL SELECT life_id, CASE WHEN z > a THEN 'session-group' ELSE 'session' END, tm, NULL, NULL,
+        CASE WHEN z > a THEN 'Sessions ' || a || '–' || z ELSE 'Session ' || a || ' began' END,
+        CASE WHEN z > a THEN (z - a + 1) || ' logins' ELSE 'Logged in.' END, NULL, NULL, NULL FROM te_runs
+      UNION ALL SELECT k.life_id, 'kill', occurred_at, NULL, victim_gamertag, weapon,
+        CASE WHEN k.victim_life_id = f.longest THEN 'longest kill' END, distance, weapon, NULL FROM life_kills k LEFT JOIN far f USING (life_id)
+      UNION ALL SELECT life_id, 'encounter', started_at, NULL, attacker_gamertag,
+        CASE category WHEN 'fire' THEN 'Burned — ' || {_PLURAL.format("blow")} WHEN 'player' THEN 'Firefight'
+          WHEN 'bear' THEN 'A bear — fought off' WHEN 'wolf' THEN CASE WHEN hits >= 3 THEN 'Wolves — fought off' ELSE 'A wolf — fought off' END
+          WHEN 'infected' THEN CASE WHEN hits >= 3 THEN 'Horde — ' || hits || ' blows over ' || minutes ELSE 'Infected — ' || {_PLURAL.format("blow")} END
+          ELSE 'Took a beating — ' || {_PLURAL.format("hit")} END,
+        CASE WHEN category IN ('bear', 'wolf') THEN {_PLURAL.format("blow")} || ' over ' || minutes || coalesce(' · HP down to ' || {_HP}, '') ELSE
+        CASE category WHEN 'fire' THEN coalesce('HP down to ' || {_HP}, 'Got clear of the flames')
+          WHEN 'player' THEN {_PLURAL.format("hit")} || ' taken' || coalesce(' · HP ' || {_HP}, '')
+          WHEN 'infected' THEN coalesce('HP down to ' || {_HP}, CASE WHEN hits >= 3 THEN 'Fought clear' ELSE {_PLURAL.format("blow")} END)
+          ELSE coalesce('HP down to ' || {_HP}, 'Walked it off') END END, NULL, NULL, NULL
+        FROM (SELECT *, greatest(1, CAST(floor(duration_seconds / 60.0 + 0.5) AS BIGINT)) || 'm' AS minutes FROM encounters)
+      UNION ALL SELECT id, 'now', {NOW}, 'NOW', NULL, 'Still drawing breath', CASE WHEN s < 60 THEN s || 's' ELSE trim(
+           CASE WHEN s >= 86400 THEN (s // 86400) || 'd ' ELSE '' END ||
+           CASE WHEN s % 86400 >= 3600 THEN (s % 86400 // 3600) || 'h ' ELSE '' END ||
+           CASE WHEN s % 3600 >= 60 THEN (s % 3600 // 60) || 'm' ELSE '' END) END, NULL, NULL, NULL
+        FROM (SELECT l.id, CAST(sum(h.share) AS BIGINT) AS s FROM lives l JOIN sess_share h ON h.life_id = l.id WHERE l.ended_at IS NULL GROUP BY l.id)
+      UNION ALL SELECT l.id, 'death', l.ended_at, (l.playtime_seconds // 3600) || 'h '
+        || lpad(CAST(l.playtime_seconds % 3600 // 60 AS VARCHAR), 2, '0') || 'm in', l.death_by_gamertag, l.death_cause,
+        CASE WHEN l.energy_at_death IS NULL THEN NULL ELSE 'Energy ' || CAST(l.energy_at_death AS INTEGER) || ' · Water '
+           || CAST(l.water_at_death AS INTEGER) || CASE WHEN l.bleed_sources_at_death > 0
+             THEN ' · bleeding ×' || l.bleed_sources_at_death ELSE '' END END, l.death_distance, l.death_weapon, v.verdict_cause
+        FROM lives l LEFT JOIN verdicts v ON v.id = l.id WHERE l.ended_at IS NOT NULL)""")
 LIFE_FIX = """lfix AS (SELECT n.id AS life_id, f.* FROM fixes f JOIN named n ON n.server_id = f.server_id
   AND n.player_id = f.player_id AND f.recorded_at >= n.started_at
   AND f.recorded_at <= coalesce(n.ended_at, n.last_seen_at, n.started_at))"""

@@ -11,6 +11,7 @@ not occur in parsed logs and belong to the quarantine output of ``validate_event
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -472,13 +473,23 @@ class Projections:
 
     @cached_property
     def positions(self) -> DataFrame:
-        return stage(_positions(self.resolved), "positions")
+        return _positions(self.resolved)
 
     @cached_property
     def unconscious_events(self) -> DataFrame:
         return stage(_knockouts(self.resolved), "unconscious-events")
 
     def tables(self) -> dict[str, DataFrame]:
+        """Every table; those that do not read each other are written at the same time."""
+        self.holders, self.resolved  # noqa: B018
+        with ThreadPoolExecutor(4) as pool:
+            early = [pool.submit(getattr, self, name) for name in ("players", "player_gamertags", "hit_events", "unconscious_events")]
+            self.bare_lives  # noqa: B018
+            early.append(pool.submit(getattr, self, "kills"))
+            self.lives  # noqa: B018
+            early.append(pool.submit(getattr, self, "build_events"))
+            for table in early:
+                table.result()
         return {name: getattr(self, name) for name in PROJECTION_TABLES}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import cached_property
 
@@ -48,6 +49,17 @@ class Dataset:
         self.recent_seconds = recent_seconds
         self.fresh_seconds = fresh_seconds
 
+    def prepare(self) -> None:
+        """Stage the shared facts, those that do not read each other at the same time."""
+        for group in (
+            ("lives_of", "life_kills", "label_kills"),
+            ("life_hits", "life_knockouts", "life_status", "life_fixes"),
+            ("qualified_at", "verdicts", "encounters", "thinned_fixes"),
+            ("priors",),
+        ):
+            with ThreadPoolExecutor(len(group)) as pool:
+                list(pool.map(lambda name: getattr(self, name), group))
+
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
@@ -143,6 +155,12 @@ class Dataset:
 
         return stage(death_verdicts(self), "verdicts")
 
+    @cached_property
+    def encounters(self) -> DataFrame:
+        from .lives import encounters_of
+
+        return stage(encounters_of(self), "encounters")
+
     @cached_property
     def life_fixes(self) -> DataFrame:
         from .lives import life_fixes

@@ -94,7 +94,7 @@ def life_timeline(d: Dataset) -> DataFrame:
     status = d.life_status.select(
         F.col("id").alias("life_id"), "gamertag", "kills", "longest_kill_meters", "last_seen_at"
     )
-    spans = encounters_of(d).groupBy("life_id").agg(F.count("*").alias("encounter_count"))
+    spans = d.encounters.groupBy("life_id").agg(F.count("*").alias("encounter_count"))
     published = d["articles"].where(
         (F.col("kind") == "obituary") & (F.col("status") == "published")
     ).select(
@@ -120,22 +120,26 @@ def life_timeline(d: Dataset) -> DataFrame:
 
 
 def timeline_events(d: Dataset) -> DataFrame:
-    """All timeline rows of all lives: (life_id, kind, at, time_label, title, line, ...).
+    """All timeline rows of all lives: (life_id, kind, at, time_label, title, line, name, and for
+    kills and deaths distance, weapon and verdict).
 
     Rows carry ``at``; order by it descending to display.
     """
-    text = F.lit(None).cast("string")
+    text, number = F.lit(None).cast("string"), F.lit(None).cast("double")
 
-    def shape(df: DataFrame, kind, title=text, line=text, label=text, name=text) -> DataFrame:
+    def shape(
+        df: DataFrame, kind, title=text, line=text, label=text, name=text, distance=number, weapon=text, verdict=text
+    ) -> DataFrame:
         return df.select(
             "life_id", (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), "at",
             title.alias("title"), line.alias("line"), label.alias("fixed_label"), name.alias("name"),
+            distance.alias("distance"), weapon.alias("weapon"), verdict.alias("verdict"),
         )
 
     lives = d.life_status.select(
         F.col("id").alias("life_id"), "started_at", "ended_at", "playtime_seconds", "player_id",
-        "death_cause", "death_by_gamertag", "energy_at_death", "water_at_death",
-        "bleed_sources_at_death",
+        "death_cause", "death_by_gamertag", "death_weapon", "death_distance", "energy_at_death",
+        "water_at_death", "bleed_sources_at_death",
     )
     birth = shape(
         lives.withColumn("at", F.col("started_at")), "birth",
@@ -172,9 +176,9 @@ def timeline_events(d: Dataset) -> DataFrame:
     kills = shape(
         kills, "kill", F.col("weapon"),
         F.when(F.col("victim_life_id") == F.col("longest_victim"), "longest kill"),
-        name=F.col("victim_gamertag"),
+        name=F.col("victim_gamertag"), distance=F.col("distance"), weapon=F.col("weapon"),
     )
-    fights = encounters_of(d).withColumn("at", F.col("started_at"))
+    fights = d.encounters.withColumn("at", F.col("started_at"))
     args = [F.col("category"), F.col("hits"), F.col("duration_seconds")]
     fights = shape(
         fights, "encounter", encounter_title(*args), encounter_line(*args, F.col("hp_low")),
@@ -192,16 +196,15 @@ def timeline_events(d: Dataset) -> DataFrame:
         lives.where(F.col("ended_at").isNull()).join(alive_for, "life_id").withColumn("at", d.now),
         "now", F.lit("Still drawing breath"), board_duration(F.col("alive_seconds")), F.lit("NOW"),
     )
+    causes = d.verdicts.select("life_id", F.col("verdict.cause").alias("verdict_cause"))
     deaths = shape(
-        lives.where(F.col("ended_at").isNotNull()).withColumn("at", F.col("ended_at")), "death",
+        lives.where(F.col("ended_at").isNotNull()).join(causes, "life_id", "left").withColumn("at", F.col("ended_at")), "death",
         F.col("death_cause"),
         vitals_line(F.col("energy_at_death"), F.col("water_at_death"), F.col("bleed_sources_at_death")),
         F.concat(elapsed_label(F.col("playtime_seconds")), F.lit(" in")),
-        F.col("death_by_gamertag"),
-    )
-    moving = stage(
-        qualified.unionByName(logins).unionByName(kills).unionByName(fights), "timeline"
+        F.col("death_by_gamertag"), F.col("death_distance"), F.col("death_weapon"), F.col("verdict_cause"),
     )
+    moving = qualified.unionByName(logins).unionByName(kills).unionByName(fights)
     clocked = played_seconds_at(moving, d["sessions"], d.last_seen)
     clocked = clocked.withColumn(
         "fixed_label", F.concat(elapsed_label(F.col("played_seconds")), F.lit(" in"))
