@@ -31,7 +31,7 @@ from lifelog.sources import logs as L
 from lifelog.sources import tables as S
 from lifelog.sources.payload import typed_events, validate_events
 from lifelog.staging import stage_root
-from lifelog.streaming import presence_spans, stream_encounters
+from lifelog.streaming import append_once, presence_spans, run_projector, stream_encounters
 
 from .base_sql import FRESH, GAP, NOW, QUALIFY, RECENT, SINCE, seconds, with_base
 from .bindings import NOW as NOW_VALUE
@@ -568,10 +568,10 @@ add("standings",
         "triggering_life_number", "ban_cause", "last_life_number", "last_ended_at"),
     "SELECT * FROM standing", extra=STANDING)
 add("server_cards",
-    lambda w: players.server_cards(w.dataset, w.projections.players.select(F.col("id").alias("player_id")))
+    lambda w: players.server_cards(w.dataset, w.projections.players.select(F.col("id").alias("player_id")))[0]
     .select("player_id", "slug", "state", "last_life_number"),
-    """SELECT p.player_id, v.slug, coalesce(s.state, 'idle') AS state, s.last_life_number
-       FROM players p CROSS JOIN live v LEFT JOIN standing s ON s.player_id = p.player_id AND s.server_id = v.id""",
+    """SELECT p.player_id, v.slug, s.state, s.last_life_number
+       FROM players p JOIN standing s ON s.player_id = p.player_id JOIN live v ON s.server_id = v.id""",
     extra=STANDING)
 add("player_page_head",
     lambda w: players.page_totals(w.dataset),
@@ -1276,6 +1276,39 @@ add("renamed_avatars",
            JOIN nlk l ON l.gamertag = n.lab AND l.status = 'verified' JOIN avatars a ON a.user_id = l.user_id) GROUP BY 1) x
        USING (player_id)""", extra=RENAMED)
 
+# --- streams, run to their end over the events as files -----------------------------------------
+
+
+def _event_stream(w, copies: int = 1) -> tuple[DataFrame, str]:
+    """(stream of the event log, working folder); with ``copies`` every event arrives that often."""
+    folder = f"{stage_root(w.spark)}/lifelog-stream-{uuid.uuid4().hex}"
+    for n in range(copies):
+        w.events.repartition(2, "event_id").write.mode("append").parquet(f"{folder}/in")
+    return w.spark.readStream.schema(w.events.schema).parquet(f"{folder}/in"), folder
+
+
+def _projected(w) -> DataFrame:
+    events, folder = _event_stream(w)
+    run_projector(events, f"{folder}/out", f"{folder}/cursor", label_buckets=8, player_buckets=8).awaitTermination()
+    return w.spark.read.parquet(f"{folder}/out/lives")
+
+
+def _appended_once(w) -> DataFrame:
+    events, folder = _event_stream(w, copies=2)
+    sink = append_once(f"{folder}/out", ["server_id", "event_id"], ["server_id"])
+    events.writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/cursor").trigger(
+        availableNow=True).start().awaitTermination()
+    return w.spark.read.parquet(f"{folder}/out")
+
+
+add("stream_lives",
+    lambda w: _projected(w).select("id", "server_id", "player_id", "life_number", "started_at", "ended_at", "death_cause", "playtime_seconds"),
+    "SELECT id, server_id, player_id, life_number, started_at, ended_at, death_cause, playtime_seconds FROM lives")
+add("stream_appended_once",
+    lambda w: _appended_once(w).groupBy(F.col("server_id").cast("int").alias("server_id")).agg(
+        F.count("*").alias("events"), F.sum("event_id").alias("ids")),
+    "SELECT server_id, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM ev GROUP BY server_id")
+
 # --- session windows (the batch side of the streaming operators) ------------------------------
 
 WINDOW_SQL = """SELECT {keys}, min(tm) AS {a}, max(tm) AS {b}{more} FROM (

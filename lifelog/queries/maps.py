@@ -69,11 +69,14 @@ def shared_positions(d: Dataset) -> DataFrame:
     idle = self_rows.join(open_lives, "player_id").join(
         own.select("viewer_user_id", "server_id"), ["viewer_user_id", "server_id"], "left_anti"
     )
-    stale = (
+    # The newest fix of each open life first; only that one row meets the life's viewers.
+    last = latest_by(
         d["positions"].select(*LIFE_KEYS, "x", "y", "recorded_at", "event_id")
-        .join(idle.select(*LIFE_KEYS, "started_at", "viewer_user_id", "gamertag"), LIFE_KEYS)
-        .where(F.col("recorded_at") >= F.col("started_at"))
+        .join(idle.select(*LIFE_KEYS, "started_at").distinct(), LIFE_KEYS)
+        .where(F.col("recorded_at") >= F.col("started_at")).drop("started_at"),
+        LIFE_KEYS, [F.col("recorded_at"), F.col("event_id")],
     )
+    stale = last.join(idle.select(*LIFE_KEYS, "viewer_user_id", "gamertag"), LIFE_KEYS)
     stale = latest_by(
         stale, ["viewer_user_id", "server_id"], [F.col("recorded_at"), F.col("event_id")]
     ).withColumn("is_self", F.lit(True))

@@ -140,20 +140,17 @@ def standings(d: Dataset) -> DataFrame:
     )
 
 
-def server_cards(d: Dataset, viewers: DataFrame) -> DataFrame:
-    """Every live server for every viewing player, idle where there is no standing.
+def server_cards(d: Dataset, viewers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cards, servers): the standings of the viewing players, and the list of live servers.
 
-    The server list is attached as one array per row and exploded, so the number of rows is
-    viewers x live servers by definition of the page and nothing else is multiplied.
+    A page shows every live server; one without a card of the player is idle.  The grid of players
+    and servers is never made.
     """
-    live = live_servers(d["servers"]).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("id").alias("server_id"), "map", "slug"))).alias("s")
+    known = standings(d).select(
+        *LIFE_KEYS, "map", "slug", "state", "last_life_number", "time_alive_seconds", "ban_id"
     )
-    grid = viewers.select("player_id").distinct().select(
-        "player_id", F.explode(live.scalar()).alias("s")
-    ).select("player_id", "s.server_id", "s.map", "s.slug")
-    known = standings(d).select(*LIFE_KEYS, "state", "last_life_number", "time_alive_seconds", "ban_id")
-    return grid.join(known, LIFE_KEYS, "left").withColumn("state", F.coalesce("state", F.lit("idle")))
+    cards = known.join(viewers.select("player_id").distinct(), "player_id", "left_semi")
+    return cards, live_servers(d["servers"]).select(F.col("id").alias("server_id"), "map", "slug")
 
 
 def page_totals(d: Dataset) -> DataFrame:

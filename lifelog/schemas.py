@@ -24,8 +24,7 @@ EVENT_TYPES = [
 
 BUILD_TYPES = [t for t in EVENT_TYPES if t.startswith("build.")]
 
-RAW_LINES = "server_id int, file string, line_index int, occurred_at timestamp, text string"
-
+# The columns of the event log and of the durable tables.
 EVENTS = (
     "event_id long, server_id int, file_id long, line_index int, sub_index int, type string, "
     "occurred_at timestamp, payload string, raw_line_id long"

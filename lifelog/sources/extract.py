@@ -33,6 +33,13 @@ EMOTE = r'Player "([^"]+)"[^)]*\) performed (Emote[A-Za-z0-9]+)(?: with (.+?))?\
 TELEPORT = (
     r'Player "([^"]+)"[^)]*\) was teleported from: <([^>]+)> to: <([^>]+)>\. Reason: (.+?)\s*$'
 )
+DEATH_TAIL = r'Player "([^"]+)" \(DEAD\) \(id=([^\s)]+)[^)]*\)(.*)$'
+KILLER_ENTITY = r"killed by ([A-Za-z0-9_]+)"
+HIT_BY_PLAYER = r'hit by Player "([^"]+)"'
+HIT_BY_ENTITY = r"hit by ([A-Za-z0-9_]+)"
+HIT_POINTS = r"\[HP:\s*([\d.]+)\]"
+DAMAGE = r"for ([\d.]+) damage"
+BODY_PART = r"into ([A-Za-z]+)(?:\(\d+\))?"
 POSITION = r"pos=<\s*(-?[\d.]+),\s*(-?[\d.]+),\s*(-?[\d.]+)\s*>"
 OFF_MAP = r"(?i)pos=<\s*-?\d*\.?\d+e"
 MAP_MIN, MAP_MAX = -1000.0, 16360.0
@@ -99,9 +106,9 @@ def extract_death(c: Column) -> Column:
     """PvP and other deaths.  A bare DEAD marker without a death verb is not a death."""
     is_pvp = c.contains("killed by Player") & c.rlike(KILLED_BY_PLAYER)
     rest = F.regexp_extract(c, KILLED_BY_PLAYER, 5)
-    tail = F.regexp_extract(c, DEAD + "(.*)$", 3)
+    tail = F.regexp_extract(c, DEATH_TAIL, 3)
     low = F.lower(tail)
-    entity = _group(tail, r"killed by ([A-Za-z0-9_]+)", 1)
+    entity = _group(tail, KILLER_ENTITY, 1)
     cause = (
         F.when(low.contains("bled out"), "bled_out")
         .when(low.contains("drowned"), "drowned")
@@ -142,24 +149,23 @@ def coordinates(c: Column) -> Column:
 
 
 def extract_hit(c: Column, xy: Column | None = None) -> Column:
-    by_player = r'hit by Player "([^"]+)"'
     xy = coordinates(c) if xy is None else xy
     kind = (
-        F.when(c.rlike(by_player), "player").when(c.contains("hit by Infected"), "infected")
+        F.when(c.rlike(HIT_BY_PLAYER), "player").when(c.contains("hit by Infected"), "infected")
         .otherwise("environment")
     )
     label = F.when(kind == "infected", "Infected").when(
-        kind == "environment", _group(c, "hit by ([A-Za-z0-9_]+)", 1)
+        kind == "environment", _group(c, HIT_BY_ENTITY, 1)
     )
     return _when(
         c.contains("hit by") & c.rlike(PLAYER),
         victim=_group(c, PLAYER, 1),
-        victimHp=_decimal(_group(c, r"\[HP:\s*([\d.]+)\]", 1)),
+        victimHp=_decimal(_group(c, HIT_POINTS, 1)),
         attackerType=kind,
-        attackerGamertag=F.when(kind == "player", _group(c, by_player, 1)),
+        attackerGamertag=F.when(kind == "player", _group(c, HIT_BY_PLAYER, 1)),
         attackerLabel=label,
-        damage=_decimal(_group(c, r"for ([\d.]+) damage", 1)),
-        bodyPart=_group(c, r"into ([A-Za-z]+)(?:\(\d+\))?", 1),
+        damage=_decimal(_group(c, DAMAGE, 1)),
+        bodyPart=_group(c, BODY_PART, 1),
         x=xy["x"], y=xy["y"],
     )
 

@@ -1,10 +1,11 @@
 """Continuous projection: each micro-batch refolds only the people it touches.
 
 The event log is append-only, partitioned by a hash bucket of the label, so a batch reads only
-the buckets of the labels it concerns.  Tables of two kinds result:
+the buckets of the labels it concerns.  Tables of three kinds result:
 
 * state tables (players, player_gamertags, lives, sessions): rows of touched people replaced,
   written with dynamic partition overwrite on a bucket of the player id;
+* ``quarantine``: events whose payload does not fit their type, as they came, by batch;
 * fact tables (kills, hit_events, positions, unconscious_events, build_events): resolved as of
   their event and never revised, so a batch only adds its own partition ``batch``.
 
@@ -55,7 +56,9 @@ class _Projector:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        valid, _ = validate_events(batch)
+        valid, broken = validate_events(batch)
+        if broken.limit(1).count():
+            self.add_facts(broken, "quarantine", batch_id)
         fresh = typed_events(valid)
         fresh = stage(
             fresh.withColumn("label", F.lower(F.coalesce("gamertag", "victim"))), f"batch-{batch_id}"
@@ -73,7 +76,9 @@ class _Projector:
         rows = fresh.withColumn("label_bucket", self.label_bucket(F.col("label")))
         stored = self.table(spark, "events")
         if stored is not None:
-            rows = append_new(rows, stored, EVENT_KEY)
+            # At most label_buckets numbers; the scan reads those buckets of the log only.
+            buckets = [r[0] for r in rows.select("label_bucket").distinct().collect()]
+            rows = append_new(rows, stored.where(F.col("label_bucket").isin(buckets)), EVENT_KEY)
         rows.write.mode("append").partitionBy("label_bucket").parquet(f"{self.root}/events")
         ids = fresh.where(F.col("type") == CONNECT).select("dayz_id", "label").distinct()
         known = self.table(spark, "identities")

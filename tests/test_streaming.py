@@ -50,7 +50,8 @@ def test_projector_equals_rebuild(spark, tmp_path):
     ]
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
-    events = stream_of(spark, src, [rows[:70], rows[70:]], EVENTS)
+    broken = [{**rows[0], "event_id": 900 + i, "line_index": 900 + i, "payload": bad} for i, bad in enumerate(("{", "[]", None))]
+    events = stream_of(spark, src, [rows[:70] + broken[:1], rows[70:] + broken[1:]], EVENTS)
     run_projector(
         events, out, str(tmp_path / "cp"), label_buckets=4, player_buckets=3
     ).awaitTermination(300)
@@ -59,6 +60,7 @@ def test_projector_equals_rebuild(spark, tmp_path):
     for name in ("players", "lives", "sessions", "kills", "positions", "hit_events", "build_events"):
         columns = want[name].columns
         assert collect(read_table(spark, f"{out}/{name}"), *columns) == collect(want[name], *columns), name
+    assert collect(read_table(spark, f"{out}/quarantine"), "event_id", "payload") == [(900, "{"), (901, "[]"), (902, None)]
 
 
 HITS = "event_id long, life_id long, victim_hp double, occurred_at timestamp"
