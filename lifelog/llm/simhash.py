@@ -12,7 +12,8 @@ A broadcast of all trees would grow with the corpus, so each shard's tree goes t
 the shard instead.  The number of blocks follows the number of fingerprints, so that a shard is
 expected to hold a few of them; every choice finds all pairs.
 
-Links leave a task as a forest over its shards' members, never as all pairs of a group.  Components
+Links leave a task as stars over its shards' members, never as all pairs of a group, and members that
+the tree's own edges connect are not searched for again, so a large group of close texts stays linear.  Components
 are then the fixed point of neighbour and pointer minima over tables in the shared folder.
 """
 
@@ -94,6 +95,7 @@ class Forest:
         # Members that still look for their place, and the node they hang below.
         members = np.flatnonzero(~first)
         below = self.root_of[members]
+        self.levels: list[np.ndarray] = []
         while len(members):
             distance = popcount(fp[members] ^ fp[below]).astype(np.int64)
             by = np.lexsort((members, distance, below))
@@ -101,6 +103,7 @@ class Forest:
             head = np.r_[True, (below[1:] != below[:-1]) | (distance[1:] != distance[:-1])]
             heads = members[head]
             self.child_of[heads], self.edge[heads] = below[head], distance[head]
+            self.levels.append(heads)
             below = heads[np.cumsum(head) - 1][~head]
             members = members[~head]
         kids = np.flatnonzero(self.child_of >= 0)
@@ -109,19 +112,21 @@ class Forest:
         # Children of one node sorted by edge: a range of edges is a range of ``kids``.
         self.kid_key = self.child_of[kids] * 128 + self.edge[kids]
 
-    def search(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(member, node) for every pair of a shard within ``radius``, node before member."""
-        n = len(self.fp)
-        stack = []
-        for at in range(0, n, FRONTIER):
-            queries = np.arange(at, min(n, at + FRONTIER))
-            stack.append((queries, self.root_of[queries]))
+    def steps(self, queries: np.ndarray, radius: int, open_=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(queries, nodes, distances) of the searches from ``queries``, a bounded number at a time.
+
+        ``open_(queries, nodes)`` tells which subtrees are still worth a visit; all without it.
+        """
+        stack = [(queries, self.root_of[queries])]
         while stack:
             queries, nodes = stack.pop()
+            if open_ is not None:
+                keep = open_(queries, nodes)
+                queries, nodes = queries[keep], nodes[keep]
+            if not len(queries):
+                continue
             distance = popcount(self.fp[queries] ^ self.fp[nodes]).astype(np.int64)
-            hit = (distance <= radius) & (nodes < queries)
-            if hit.any():
-                yield queries[hit], nodes[hit]
+            yield queries, nodes, distance
             low = np.searchsorted(self.kid_key, nodes * 128 + np.maximum(distance - radius, 0), "left")
             high = np.searchsorted(self.kid_key, nodes * 128 + distance + radius, "right")
             width = high - low
@@ -135,6 +140,51 @@ class Forest:
                 index = np.repeat(low[at] - np.r_[0, np.cumsum(w)[:-1]], w) + np.arange(w.sum())
                 stack.append((np.repeat(queries[at], w), self.kids[index]))
 
+    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(member, node) for every pair of a shard within ``radius``, node before member."""
+        for at in range(0, len(self.fp), FRONTIER):
+            for queries, nodes, distance in self.steps(np.arange(at, min(len(self.fp), at + FRONTIER)), radius):
+                hit = (distance <= radius) & (nodes < queries)
+                yield queries[hit], nodes[hit]
+
+    def groups(self, radius: int) -> np.ndarray:
+        """The smallest member connected to each over links within ``radius``.
+
+        Edges of the tree within the radius are links already, so a group of close fingerprints is
+        one before any search; a search then leaves out subtrees that are all of its own group.
+        """
+        label = np.arange(len(self.fp))
+        close = np.flatnonzero((self.child_of >= 0) & (self.edge <= radius))
+        label = _united(label, close, self.child_of[close])
+        for at in range(0, len(self.fp), FRONTIER):
+            whole = np.ones(len(self.fp), bool)  # subtrees of one group; groups only grow, so they stay so
+            for heads in reversed(self.levels):
+                above = self.child_of[heads]
+                whole[above[~whole[heads] | (label[heads] != label[above])]] = False
+            queries = np.arange(at, min(len(self.fp), at + FRONTIER))
+            for q, nodes, distance in self.steps(queries, radius, lambda q, n: ~whole[n] | (label[q] != label[n])):
+                hit = distance <= radius
+                label = _united(label, q[hit], nodes[hit])
+        return label
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` after the groups of each pair of ``a`` and ``b`` are one."""
+    while len(a):
+        x, y = label[a], label[b]
+        differ = x != y
+        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
+        if not len(a):
+            break
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
 
 def _cuts(width: np.ndarray, most: int) -> list[slice]:
     """Slices of ``width`` that sum to about ``most`` each."""
@@ -144,50 +194,21 @@ def _cuts(width: np.ndarray, most: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(marks[:-1], marks[1:])]
 
 
-def forest_links(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest connected member) for members that a pair connects to a smaller one."""
-    label = np.arange(n)
-    for a, b in pairs:
-        while True:
-            x, y = label[a], label[b]
-            differ = x != y
-            if not differ.any():
-                break
-            a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-    members = np.flatnonzero(label != np.arange(n))
-    return members, label[members]
-
-
-def near_edges(forest: Forest, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(member, smallest connected member), and each member with its nearest one."""
-    far = np.int64(1) << 62
-    best = np.full(len(forest.fp), far)
-
-    def seen() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for a, b in forest.search(radius):
-            distance = popcount(forest.fp[a] ^ forest.fp[b]).astype(np.int64) << 40
-            np.minimum.at(best, a, distance | b)
-            np.minimum.at(best, b, distance | a)
-            yield a, b
-
-    members, first = forest_links(len(forest.fp), seen())
-    near = np.flatnonzero(best < far)
-    return np.r_[members, near], np.r_[first, best[near] & ((1 << 40) - 1)]
+def shard_links(keyed: DataFrame, radius: int, edges: bool = False) -> DataFrame:
+    """(node, other) links in each shard of (shard, fp, node): each member of a group with its first one.
 
-
-def shard_links(keyed: DataFrame, radius: int, nearest: bool = False) -> DataFrame:
-    """(node, other) links in each shard of (shard, fp, node): a spanning forest, and ``nearest`` links too."""
+    With ``edges`` each member comes with its parent in the tree too, if that is within the radius.
+    """
 
     def links(batch: pd.DataFrame) -> pd.DataFrame:
         shard, fp, node = (batch[c].to_numpy() for c in ("shard", "fp", "node"))
         forest = Forest(shard, fp.view(np.uint64))
-        a, b = near_edges(forest, radius) if nearest else forest_links(len(fp), forest.search(radius))
+        first = forest.groups(radius)
+        a = np.flatnonzero(first != np.arange(len(fp)))
+        b = first[a]
+        if edges:
+            close = np.flatnonzero((forest.child_of >= 0) & (forest.edge <= radius))
+            a, b = np.r_[a, close], np.r_[b, forest.child_of[close]]
         return pd.DataFrame({"node": node[a], "other": node[b]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -291,7 +312,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
     ``node`` stands for the text.  Two texts are linked if the Jaccard coefficient of their ``words``-word
     shingles reaches ``similarity``.  Fingerprints of such texts differ in more bits than a complete search
     can afford, so shards are choices of ``same`` of ``blocks`` bit ranges and trees are searched within
-    ``radius``; each text's nearest neighbour and the first text of its group in each shard are then
+    ``radius``; each text's parent in the tree and the first text of its group in each shard are then
     compared exactly.  ``n`` is the number of equal rows.
     """
     marked = stage(
@@ -299,7 +320,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
         .select("doc_key.doc_id", "doc_key.node", "fp"), "copies-fingerprints")
     rows = marked.groupBy("doc_id", "node", "fp").agg(F.count("*").alias("n"))
     nodes = stage(rows.groupBy("node", "fp").agg(F.min("doc_id").alias("least_id")), "copies-nodes")
-    candidates = shard_links(shard_keys(nodes, blocks, same), radius, nearest=True)
+    candidates = shard_links(shard_keys(nodes, blocks, same), radius, edges=True)
     pairs = stage(candidates.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                   .where("a <> b").distinct(), "copies-candidates")
 

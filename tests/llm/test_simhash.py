@@ -59,11 +59,24 @@ def test_trees_find_every_pair():
     shard, fp = shard[by], np.array(fps, np.uint64)[by]
     old, simhash.FRONTIER = simhash.FRONTIER, 64
     try:
-        got = {tuple(sorted(p)) for a, b in simhash.Forest(shard, fp).search(5) for p in zip(a.tolist(), b.tolist())}
+        got = {tuple(sorted(p)) for a, b in simhash.Forest(shard, fp).pairs(5) for p in zip(a.tolist(), b.tolist())}
     finally:
         simhash.FRONTIER = old
     want = {(i, j) for j in range(len(fp)) for i in range(j) if shard[i] == shard[j] and int(fp[i] ^ fp[j]).bit_count() <= 5}
     assert got == want
+    for radius in (2, 3, 5):
+        first = simhash.Forest(shard, fp).groups(radius)
+        plain = [groups([int(f) for f in fp[shard == k]], radius) for k in range(3)]
+        for k in range(3):
+            assert len(set(zip(first[shard == k].tolist(), plain[k]))) == len(set(plain[k])) == len(set(first[shard == k].tolist()))
+
+
+def test_a_dense_group_is_one():
+    rng = random.Random(5)
+    base = rng.getrandbits(64)
+    fps = np.unique(np.array([base ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 3))) for _ in range(60_000)], np.uint64))
+    forest = simhash.Forest(np.zeros(len(fps), int), fps)
+    assert len(set(forest.groups(3).tolist())) == 1
 
 
 def test_every_scheme_of_blocks_is_complete(spark):
