@@ -38,7 +38,7 @@ META = "▁"
 #: Model file; a cluster names its own place, or ships the file with the job.
 MODEL = os.environ.get("SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 #: Stretches whose ids each of a worker's two generations remembers, and the longest of them.
-REMEMBERED, REMEMBERED_LENGTH = 300_000, 24
+REMEMBERED, REMEMBERED_LENGTH = 200_000, 24
 
 
 class Vocabulary:
