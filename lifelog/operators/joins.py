@@ -272,15 +272,19 @@ def avatar_hash(df: DataFrame, links: DataFrame, avatars: DataFrame, aliases: Da
         .join(avatars.where(F.col("hash").isNotNull()), "user_id")
         .select(F.lower("gamertag").alias("label"), "hash", F.col("id").alias("link_id"))
     )
-    names = df.select("player_id", F.lower("gamertag").alias("label"), F.lit(0).alias("via"))
-    if aliases is not None:
-        names = names.unionByName(
-            aliases.select("player_id", F.lower("gamertag").alias("label"), F.lit(1).alias("via"))
-        )
-    best = first_by(
-        names.join(owned, "label"), ["player_id"], [F.col("via"), F.col("link_id")]
-    ).select("player_id", F.col("hash").alias("avatar_hash"))
-    return df.join(best, "player_id", "left")
+    current = first_by(owned, ["label"], [F.col("link_id")]).select(
+        F.col("label").alias("__label"), F.col("hash").alias("avatar_hash")
+    )
+    found = df.join(current, F.lower("gamertag") == F.col("__label"), "left").drop("__label")
+    if aliases is None:
+        return found
+    held = aliases.select("player_id", F.lower("gamertag").alias("label")).join(owned, "label")
+    past = first_by(held, ["player_id"], [F.col("link_id"), F.col("label")]).select(
+        "player_id", F.col("hash").alias("__past")
+    )
+    return found.join(past, "player_id", "left").withColumn(
+        "avatar_hash", F.coalesce("avatar_hash", "__past")
+    ).drop("__past")
 
 
 def session_starts(sessions: DataFrame) -> DataFrame:
