@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifelog.llm.common import WORD, documents, map_rows, ship_package
+from lifelog.llm.common import WORD, documents, map_rows, ship_package, unit
 from lifelog.staging import stage
 
 RADIUS = 3
@@ -38,6 +38,8 @@ SHINGLE = 3
 SHARD_FINGERPRINTS = 8
 #: Search steps that numpy takes at once.
 FRONTIER = 1 << 18
+#: Sets that tell which shingles are common, and how many such shingles are kept.
+SAMPLED, COMMON = 4000, 100_000
 
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -305,15 +307,81 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(d.encode("utf-8", "surrogatepass")) for d in data], np.uint32).view(np.int32))
 
 
+def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the most frequent shingles of about ``SAMPLED`` sets, shingles ascending.
+
+    They only decide the order of a set's shingles, so no pair depends on the sample.
+    """
+    share = min(1.0, SAMPLED / max(1, sets.count()))
+    some = sets.where(unit(F.lit(17), F.col("node")) < share).select(F.explode("shingles").alias("shingle"))
+    often = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    often.sort(key=lambda r: r["shingle"])
+    return np.array([r["shingle"] for r in often], np.int32), np.array([r["count"] for r in often], np.int64)
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles, rarest first; sets that reach ``similarity`` share one of them."""
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, counts[at], 0)
+    n = len(shingles)
+    return shingles[np.lexsort((shingles, rank))[:n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def apart(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of (node, shingles) that may reach ``similarity`` and are of different roots.
+
+    Every such pair shares a shingle of both prefixes and is met there; ``roots`` holds linked nodes only.
+    Shingles of one root leave before the join, so groups that are linked already cost nothing.
+    """
+    common, counts = common_shingles(sets)
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"node": batch["node"], "size": [len(s) for s in batch["shingles"]], "prefix": [
+            prefix(np.asarray(s, np.int32), similarity, common, counts) for s in batch["shingles"]]})
+
+    read = map_rows(sets, run, "node long, size int, prefix array<int>")
+    read = stage(read.select("node", "size", F.posexplode("prefix").alias("place", "shingle")), "copies-prefixes")
+    named = roots.withColumnRenamed("node", "of")
+    read = read.join(named, F.col("node") == F.col("of"), "left").select(
+        "node", "size", "place", "shingle", F.coalesce("root", "node").alias("root"))
+    mixed = read.groupBy(F.col("shingle").alias("met")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    # A set meets those of its own and of the next range of lengths.
+    span = F.floor(F.log("size") / -np.log(similarity) + 1e-9)
+    kept = stage(read.join(mixed, F.col("shingle") == F.col("met")).select(
+        "shingle", "node", "root", "size", "place", span.alias("span")), "copies-mixed")
+    left = kept.select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "place")])
+    right = kept.select("shingle", F.explode(F.array("span", F.col("span") - 1)).alias("span"),
+                        *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "place")])
+    least = similarity / (1 + similarity) * (F.col("size1") + F.col("size2")) - 1e-9
+    met = left.join(right, ["shingle", "span"]).where(
+        (F.col("root1") != F.col("root2"))
+        & ((F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2"))))
+        & (F.col("size1") >= F.col("size2") * similarity - 1e-9)
+        & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) + F.least("place1", "place2") >= least))
+    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(node, other) of the pairs whose sets reach ``similarity``."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(one, "a").join(two, "b").where(
+        common >= (F.size("sa") + F.size("sb") - common) * (similarity - 1e-12)).select(
+        F.col("a").alias("node"), F.col("b").alias("other"))
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 10, blocks: int = 8,
                 same: int = 2) -> DataFrame:
     """(doc_id, node, n, stays) of every distinct (doc_id, text): one row of each group of near copies stays.
 
     ``node`` stands for the text.  Two texts are linked if the Jaccard coefficient of their ``words``-word
-    shingles reaches ``similarity``.  Fingerprints of such texts differ in more bits than a complete search
-    can afford, so shards are choices of ``same`` of ``blocks`` bit ranges and trees are searched within
-    ``radius``; each text's parent in the tree and the first text of its group in each shard are then
-    compared exactly.  ``n`` is the number of equal rows.
+    shingles reaches ``similarity``; all such links count.  Trees over shards of ``same`` of ``blocks``
+    agreeing bit ranges, searched within ``radius``, link most copies at little cost: each text's parent in
+    the tree and the first text of its group in each shard are compared exactly.  What they leave apart
+    meets in a join on the rarest shingles, which leaves out no pair, and is compared exactly too.  ``n``
+    is the number of equal rows.
     """
     marked = stage(
         fingerprints(docs.withColumn("_node", F.xxhash64("text")), F.struct("doc_id", F.col("_node").alias("node")))
@@ -324,8 +392,7 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
     pairs = stage(candidates.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                   .where("a <> b").distinct(), "copies-candidates")
 
-    asked = pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node"))
-    asked = asked.select(F.col("node").alias("of"), "least_id")
+    asked = nodes.select(F.col("node").alias("of"), "least_id")
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("node")).join(
         asked, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
 
@@ -334,11 +401,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
 
     sets = map_rows(texts.select("node", "text"), run, "node long, shingles array<int>")
     sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "copies-shingles")
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(one, "a").join(two, "b").where(
-        common >= (F.size("sa") + F.size("sb") - common) * (similarity - 1e-12)).select(F.col("a").alias("node"), F.col("b").alias("other"))
-    roots = components(stage(links, "copies-links"))
+    links = stage(alike(pairs, sets, similarity), "copies-links")
+    more = stage(apart(sets, components(links), similarity), "copies-apart")
+    roots = components(links.union(stage(alike(more, sets, similarity), "copies-more")))
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "node")).alias("first"))
     stays = first.select("first.least_id", F.col("first.node").alias("first_node"))
