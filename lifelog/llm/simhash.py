@@ -40,6 +40,8 @@ SHARD_FINGERPRINTS = 8
 FRONTIER = 1 << 18
 #: Sets that tell which shingles are common, and how many such shingles are kept.
 SAMPLED, COMMON = 4000, 100_000
+#: Bits that tell sets apart before they are compared.
+PARITIES = 2048
 
 _WORDS = re.compile(WORD)
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -307,13 +309,17 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh32_intdigest(d.encode("utf-8", "surrogatepass")) for d in data], np.uint32).view(np.int32))
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts): the most frequent shingles of about ``SAMPLED`` sets, shingles ascending.
+def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts): the most frequent shingles of about ``SAMPLED`` of the (node, text), shingles ascending.
 
     They only decide the order of a set's shingles, so no pair depends on the sample.
     """
-    share = min(1.0, SAMPLED / max(1, sets.count()))
-    some = sets.where(unit(F.lit(17), F.col("node")) < share).select(F.explode("shingles").alias("shingle"))
+    share = min(1.0, SAMPLED / max(1, texts.count()))
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"shingle": np.concatenate([shingle_hashes(t, words) for t in batch["text"]])})
+
+    some = map_rows(texts.where(unit(F.lit(17), F.col("node")) < share).select("text"), run, "shingle int")
     often = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     often.sort(key=lambda r: r["shingle"])
     return np.array([r["shingle"] for r in often], np.int32), np.array([r["count"] for r in often], np.int64)
@@ -329,20 +335,28 @@ def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, counts:
     return shingles[np.lexsort((shingles, rank))[:n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
-def apart(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs of (node, shingles) that may reach ``similarity`` and are of different roots.
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """``PARITIES`` bits, each the parity of the shingles that fall to it: sets differ in as many at least."""
+    odd = np.bincount(shingles.view(np.uint32) % PARITIES, minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def apart(texts: DataFrame, roots: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b), a < b: pairs of (node, text) that may reach ``similarity`` and are of different roots.
 
     Every such pair shares a shingle of both prefixes and is met there; ``roots`` holds linked nodes only.
     Shingles of one root leave before the join, so groups that are linked already cost nothing.
     """
-    common, counts = common_shingles(sets)
+    common, counts = common_shingles(texts, words)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"node": batch["node"], "size": [len(s) for s in batch["shingles"]], "prefix": [
-            prefix(np.asarray(s, np.int32), similarity, common, counts) for s in batch["shingles"]]})
+        sets = [shingle_hashes(t, words) for t in batch["text"]]
+        return pd.DataFrame({"node": batch["node"], "size": [len(s) for s in sets], "parities": [parities(s) for s in sets],
+                             "prefix": [prefix(s, similarity, common, counts) for s in sets]})
 
-    read = map_rows(sets, run, "node long, size int, prefix array<int>")
-    read = stage(read.select("node", "size", F.posexplode("prefix").alias("place", "shingle")), "copies-prefixes")
+    sketches = map_rows(texts, run, "node long, size int, parities array<long>, prefix array<int>")
+    sketches = stage(sketches.dropDuplicates(["node"]), "copies-sketches")
+    read = sketches.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     named = roots.withColumnRenamed("node", "of")
     read = read.join(named, F.col("node") == F.col("of"), "left").select(
         "node", "size", "place", "shingle", F.coalesce("root", "node").alias("root"))
@@ -360,16 +374,11 @@ def apart(sets: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         & ((F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2"))))
         & (F.col("size1") >= F.col("size2") * similarity - 1e-9)
         & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) + F.least("place1", "place2") >= least))
-    return met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(node, other) of the pairs whose sets reach ``similarity``."""
-    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(
-        common >= (F.size("sa") + F.size("sb") - common) * (similarity - 1e-12)).select(
-        F.col("a").alias("node"), F.col("b").alias("other"))
+    pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    one, two = (sketches.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("parities").alias(f"p{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
+    return pairs.join(one, "a").join(two, "b").where(differ <= most).select("a", "b")
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius: int = 10, blocks: int = 8,
@@ -392,18 +401,28 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, words: int = 5, radius
     pairs = stage(candidates.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                   .where("a <> b").distinct(), "copies-candidates")
 
-    asked = nodes.select(F.col("node").alias("of"), "least_id")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("node")).join(
-        asked, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    def texts(asked: DataFrame) -> DataFrame:
+        asked = asked.select(F.col("node").alias("of"), "least_id")
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("node")).join(
+            asked, (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"node": batch["node"], "shingles": [shingle_hashes(t, words) for t in batch["text"]]})
 
-    sets = map_rows(texts.select("node", "text"), run, "node long, shingles array<int>")
-    sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "copies-shingles")
-    links = stage(alike(pairs, sets, similarity), "copies-links")
-    more = stage(apart(sets, components(links), similarity), "copies-apart")
-    roots = components(links.union(stage(alike(more, sets, similarity), "copies-more")))
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(node, other) of the pairs that reach ``similarity``."""
+        asked = pairs.select("a").union(pairs.select("b")).distinct().join(nodes, F.col("a") == F.col("node"))
+        sets = map_rows(texts(asked), run, "node long, shingles array<int>")
+        sets = stage(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "copies-shingles")
+        one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+        common = F.size(F.array_intersect("sa", "sb"))
+        found = pairs.join(one, "a").join(two, "b").where(
+            common >= (F.size("sa") + F.size("sb") - common) * (similarity - 1e-12))
+        return stage(found.select(F.col("a").alias("node"), F.col("b").alias("other")), "copies-links")
+
+    links = alike(pairs)
+    more = stage(apart(texts(nodes), components(links), similarity, words), "copies-apart")
+    roots = components(links.union(alike(more)))
     rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
     first = rooted.groupBy("root").agg(F.min(F.struct(F.col("least_id").isNull().alias("no_id"), "least_id", "node")).alias("first"))
     stays = first.select("first.least_id", F.col("first.node").alias("first_node"))
