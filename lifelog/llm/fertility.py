@@ -4,7 +4,7 @@ A public vocabulary reads each whole text; characters per token, the share of by
 falls back to (line ends and tabs, which it always spells so, aside) and the entropy of the tokens
 tell how far a text is from the writing the vocabulary knows.  What is usual differs with language
 and length, so the bands come from the corpus itself: for each language, or script where the language
-is not given, and each doubling of the length, the median of all texts that pass the base rules and
+is not given, and each doubling of the length, the median of all different texts that pass the base rules and
 ``WIDTH`` deviations to either side, taken from the quartiles.  Groups of fewer than ``LEAST`` such
 texts use the band of the language, then of the corpus.
 
@@ -96,21 +96,22 @@ def token_metrics(text: str, path: str) -> tuple[int, float, float, float]:
 
 
 def measure(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, group, octave, the five counts, base_failed, n_tokens, the metrics) of every row."""
+    """(doc_id, text_key, group, octave, the five counts, base_failed, n_tokens, the metrics) of every row."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        for key, text, lang in zip(batch["doc_id"], batch["text"], batch["lang"]):
+        for key, same, text, lang in zip(batch["doc_id"], batch["text_key"], batch["text"], batch["lang"]):
             text = text or ""
             counts = base_counts(text)
             n, cpt, spelt, entropy = token_metrics(text, vocabulary)
             failed = counts[0] < 50 or 100 * counts[4] > 50 * counts[0]
-            rows.append((key, lang if isinstance(lang, str) else f"script {script(text)}", int(n).bit_length(),
+            rows.append((key, same, lang if isinstance(lang, str) else f"script {script(text)}", int(n).bit_length(),
                          *counts, failed, n, cpt, spelt, entropy))
-        return pd.DataFrame(rows, columns=["doc_id", "group", "octave", *COUNTS, "base_failed", "n_tokens", *METRICS])
+        return pd.DataFrame(rows, columns=["doc_id", "text_key", "group", "octave", *COUNTS, "base_failed", "n_tokens", *METRICS])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return map_rows(docs.select("doc_id", "text", "lang"), run, f"doc_id {kind}, group string, octave int, "
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", "lang")
+    return map_rows(read, run, f"doc_id {kind}, text_key long, group string, octave int, "
                     + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, n_tokens long, "
                     + ", ".join(f"{m} double" for m in METRICS))
 
@@ -119,10 +120,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def bands(measured: DataFrame, width: float = WIDTH, least: int = LEAST) -> DataFrame:
-    """(group, octave, low and high of each metric): one row for each group and octave of the rows."""
+    """(group, octave, low and high of each metric): one row for each group and octave of the rows.
+
+    Each text counts once, so copies neither fill a group nor move its quartiles.
+    """
+    texts = measured.groupBy("group", "octave", "text_key").agg(
+        *[F.first(c).alias(c) for c in ("base_failed", *METRICS)])
     clean = ~F.col("base_failed")
     quartiles = [F.percentile_approx(F.when(clean, F.col(m)), [0.25, 0.5, 0.75], 1000).alias(m) for m in METRICS]
-    levels = stage(measured.rollup("group", "octave").agg(
+    levels = stage(texts.rollup("group", "octave").agg(
         F.grouping_id().alias("level"), F.count_if(clean).alias("n"), *quartiles), "fertility-quartiles")
 
     def level(k: int, keys: list[str]) -> DataFrame:

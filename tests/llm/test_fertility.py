@@ -68,3 +68,20 @@ def test_odd_rows(spark, odd, empty):
     assert all(r.base_failed and r.n_words == 0 for r in rows if r.doc_id in (2, 3, 4))
     assert [r.n_repeat_words for r in rows if r.doc_id == 6] == [40_000]
     assert fertility.quality_rules(empty).count() == 0
+
+
+def test_copies_vote_once(spark):
+    prose = "the men of the house went to the sea and found that all of it was gone by the time that they came"
+    texts = [" ".join([prose, *(f"w{i}x{k}" for k in range(45))]) for i in range(60)]
+    junk = " ".join("እሰክ" + str(k) for k in range(60))
+    alone = [(i, t, "en") for i, t in enumerate(texts)]
+    copied = alone + [(1000 + i, texts[0], "en") for i in range(400)] + [(2000 + i, junk, "en") for i in range(400)]
+
+    def limits(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        return {(r.group, r.octave): r for r in fertility.bands(fertility.measure(df)).collect()}
+
+    assert limits(copied) == limits(alone + [(2000, junk, "en")])
+    df = spark.createDataFrame(copied, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in fertility.quality_rules(df).collect()}
+    assert all(kept[i] for i in range(60)) and not any(kept[2000 + i] for i in range(400))
