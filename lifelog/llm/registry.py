@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixture", "simhash", "pii", "sentencepiece", "language", "fertility", "quality", "spotsigs", "licenses", "tool_calls", "winnowing", "fim")
+MODULES = ("mixture", "simhash", "pii", "sentencepiece", "language", "fertility", "quality", "spotsigs", "licenses", "tool_calls", "winnowing", "fim", "whitening")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
