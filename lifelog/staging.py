@@ -41,3 +41,13 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{stage_root(spark)}/lifelog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables written by ``stage`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            if folder.rsplit("/", 1)[1].startswith("lifelog-"):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
