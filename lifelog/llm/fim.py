@@ -7,7 +7,7 @@ text is written as frames again, each made from pieces of input frames as they p
 the frames in order, and the original text comes back by reading the ranges between the marks out of the
 output frames.  Never more than a frame or two of a text is decompressed at once, however long it is.
 
-A row holds all frames of its text, so nothing is shuffled; the stores are written tables.
+A row holds all frames of its text, so nothing is shuffled; the store of the texts is a written table.
 
 Defined results: a null text is an empty one, which stays plain; a null key draws as the empty number;
 repeated rows give equal rows; an empty table gives no rows; other columns are not read.
@@ -318,9 +318,12 @@ def digests(output: DataFrame) -> DataFrame:
 
 
 def fill_in_middle(docs: DataFrame, key: Column, plain: int = PLAIN, spm: int = SPM, seed: int = 1) -> DataFrame:
-    """The transformed texts of ``docs`` as frames, see ``transformed``; both stores are written tables."""
+    """The transformed texts of ``docs`` as frames, see ``transformed``; the store of the texts is a written table.
+
+    The output is made frame by frame where it is read, so a caller that reads it once need not write it.
+    """
     store = stage(frame_store(docs, key), "fim-frames")
-    return stage(transformed(planned(store, plain, spm, seed)), "fim-output")
+    return transformed(planned(store, plain, spm, seed))
 
 
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
