@@ -75,13 +75,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of some texts: hashes, the text each is of, and the texts' bytes with single spaces."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, in_word: np.ndarray = _IN_WORD):
         # A space behind each text keeps its last word from the next text's first one.
         spaced = pc.binary_join_element_wise(pc.fill_null(texts, ""), "", " ")
         ends = np.frombuffer(spaced.buffers()[1], np.int32)[spaced.offset:spaced.offset + len(spaced) + 1].astype(np.int64)
         data = np.frombuffer(spaced.buffers()[2], np.uint8)[ends[0]:ends[-1]]
         ends = ends - ends[0]
-        inside = _IN_WORD[data]
+        inside = in_word[data]
         edge = np.flatnonzero(np.diff(np.r_[False, inside]))
         starts, stops = edge[::2], edge[1::2]
         low = np.where(inside, _LOWER[data], np.uint8(32))
@@ -125,8 +125,8 @@ class Words:
         return np.frombuffer(b"".join([digest(data[a:b]) for a, b in runs]), "<i8").reshape(-1, 2)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of about ``SLICE_BYTES``."""
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of ranges of about ``SLICE_BYTES``."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
@@ -160,7 +160,7 @@ def _texts(df: DataFrame, read) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, rows in _slices(batch.column("text")):
+            for at, rows in slices(batch.column("text")):
                 part = batch.slice(at, rows)
                 words = Words(part.column("text"))
                 yield pa.RecordBatch.from_arrays(

@@ -99,85 +99,9 @@ def test_long_chain(spark):
     assert {r.root for r in simhash.components(links).collect()} == {0}
 
 
-def test_near_copies_stay_once(spark, sf):
-    rng = random.Random(2)
-    words = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]
-    rows = []
-    for g in range(12):
-        text = [rng.choice(words) + str(g) for _ in range(200)]
-        rows.append((g * 10, " ".join(text)))
-        rows.append((g * 10 + 1, " ".join(text)))
-        near = list(text)
-        near[rng.randrange(200)] = "changed"
-        rows.append((g * 10 + 2, " ".join(near)))
-    rows += [(500, None), (501, ""), (502, "just one"), (503, "Just  ONE"), (None, "no id"), (0, rows[0][1])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r.doc_id for r in simhash.distinct_documents(spark, docs, sf).collect()), key=str)
-    assert kept == sorted([g * 10 for g in range(12)] + [500, 502, None], key=str)
-
-
 def test_odd_rows(spark, odd, empty):
     rows = simhash.near_duplicates(odd, F.col("doc_id")).collect()
     assert len(rows) == odd.count()
     assert {r.component for r in rows if r.fp == 0} == {2}
     assert [r.component for r in rows if r.doc_key is None] == [None]
     assert simhash.near_duplicates(empty, F.col("doc_id")).count() == 0
-    assert simhash.distinct_documents(spark, odd, "").columns == odd.columns
-    assert simhash.distinct_documents(spark, empty, "").count() == 0
-
-
-def like_groups(texts, least=0.8):
-    """All pairs: the smallest index linked to each text, and the likeness of the linked pairs."""
-    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
-    up, found = list(range(len(sets))), []
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both >= least * (len(sets[i]) + len(sets[j]) - both) - 1e-12:
-                found.append(both / (len(sets[i]) + len(sets[j]) - both))
-                a, b = sorted((find(i), find(j)))
-                up[b] = a
-    return [find(i) for i in range(len(sets))], found
-
-
-def stay(spark, texts):
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return sorted(r.doc_id for r in simhash.near_copies(docs).where("stays").collect())
-
-
-def test_chains_without_a_hub(spark):
-    rng = random.Random(12)
-    texts = []
-    for _ in range(8):  # each version is like the next one only
-        words = [f"w{rng.randrange(10**6)}" for _ in range(240)]
-        for _ in range(12):
-            texts.append(" ".join(words))
-            words = words[20:] + [f"w{rng.randrange(10**6)}" for _ in range(20)]
-    first, found = like_groups(texts)
-    assert len(set(first)) == 8 and len(found) == 8 * 11
-    order = list(range(len(texts)))
-    rng.shuffle(order)
-    mixed = [texts[i] for i in order]
-    assert stay(spark, mixed) == sorted(set(like_groups(mixed)[0]))
-
-
-def test_every_band_of_likeness(spark):
-    rng = random.Random(13)
-    frame = [f"frame{i}" for i in range(60)]  # in a third of the texts, so common
-    texts = []
-    for k in range(300):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 400))]
-        words = frame + words if k % 3 == 0 else words
-        new = max(1, round(len(words) * rng.uniform(0.01, 0.14)))
-        block = [f"w{rng.randrange(10**6)}" for _ in range(new)]
-        at = rng.randrange(len(words) - new)
-        texts += [" ".join(words), " ".join(words + block) if k % 2 else " ".join(words[:at] + block + words[at + new:])]
-    first, found = like_groups(texts)
-    bands = np.histogram(found, [0.8, 0.85, 0.9, 0.95, 1])[0]
-    assert min(bands) >= 10
-    assert stay(spark, texts) == sorted(set(first))
