@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lifelog.llm import language, mixture, pii, sentencepiece, simhash
+from lifelog.llm import copies, language, mixture, pii, sentencepiece
 from lifelog.llm.common import documents
 from lifelog.staging import stage
 
 STAGES = [
     ("language", language.identified_documents),
-    ("simhash", simhash.distinct_documents),
+    ("simhash", copies.distinct_documents),
     ("pii", pii.redacted_documents),
     ("mixture", mixture.mixed_documents),
     ("sentencepiece", sentencepiece.encoded_documents),
