@@ -9,6 +9,8 @@ and carry a one-row summary per (key, slice) across slices:
 3. local scan + carry     window over (key, slice)       bounded by the slice width
 
 Ordering by ``event_id`` bounds a slice by ``SLICE_EVENTS`` rows whatever the key skew is.
+Ordering by time, a slice is a fixed stretch of time; a stretch in which one key has more than
+``SLICE_ROWS`` rows is cut into slices of equal depth, see ``sliced_by_time``.
 When all rows fall in one slice the carry is empty and adaptive execution drops its join.
 """
 
@@ -21,8 +23,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 SLICE_EVENTS = 4_000_000
 SLICE_SECONDS = 3_600
+#: Rows of one key in a stretch of time, above which the stretch is cut.
+SLICE_ROWS = 4_000_000
+#: Slices that one stretch may be cut into; they follow the stretch in one number.
+STRETCH_SLICES = 1 << 20
 
 _SLICE = "__slice"
 
@@ -35,9 +43,62 @@ def event_slice(column: str = "event_id", width: int = SLICE_EVENTS) -> Column:
     return F.expr(f"`{column}` div {width}")
 
 
-def time_slice(column: str, seconds: int = SLICE_SECONDS) -> Column:
-    """Slice of a timestamp ordering column."""
-    return F.expr(f"unix_micros(`{column}`) div {seconds * 1_000_000}")
+@dataclass(frozen=True)
+class TimeSlice:
+    """Slices of a timestamp ordering column: stretches of ``seconds``, cut where a key is dense."""
+
+    column: str
+    seconds: int
+
+
+def time_slice(column: str, seconds: int = SLICE_SECONDS) -> TimeSlice:
+    return TimeSlice(column, seconds)
+
+
+def sliced_by_time(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], seconds: int, name: str = _SLICE, rows: int | None = None
+) -> DataFrame:
+    """Add the slice of each row: a number that rises with ``order`` within a key.
+
+    A slice is a stretch of ``seconds`` of ``order[0]``.  A stretch with more than ``rows`` rows of one
+    key is cut at equal depth: a histogram of its seconds gives each second the number of rows before it,
+    and a new slice begins every ``rows`` rows.  Seconds that hold more than ``rows`` rows themselves are
+    counted by microsecond, and such microseconds by the rest of ``order``, whose last column is a number.
+    So a slice holds at most twice ``rows`` rows, whatever the skew, but for rows that ``order`` cannot
+    tell apart.
+
+    One count by stretch finds the dense stretches; without any, nothing else is read.  A histogram is
+    summed within its stretch (its second, its microsecond), never for a key as a whole.
+    """
+    keys, rows = list(keys), rows or SLICE_ROWS
+    marked = df.withColumn("__micro", F.unix_micros(F.col(order[0])))
+    marked = marked.withColumn("__stretch", F.expr(f"__micro div {seconds * 1_000_000}"))
+    dense = marked.groupBy(*keys, "__stretch").count().where(F.col("count") > rows)
+    start = F.col("__stretch") * STRETCH_SLICES
+    if not dense.limit(1).count():
+        return marked.withColumn(name, start).drop("__micro", "__stretch")
+
+    marked = marked.withColumn("__second", F.expr("__micro div 1000000"))
+    levels = [("__stretch", "__second"), ("__second", "__micro")]
+    if len(order) > 1:
+        last = order[-1]
+        block = F.expr(f"`{last}` div {rows}") if dict(df.dtypes)[last] in ("int", "bigint") else F.col(last)
+        marked = marked.withColumn("__block", F.struct(*order[1:-1], block.alias("__last")))
+        levels.append(("__micro", "__block"))
+    hot = stage(dense.select(*keys, "__stretch", F.lit(0).cast("long").alias("__before")), "slices")
+    sliced, before = marked, F.lit(0).cast("long")
+    for number, (parent, cell) in enumerate(levels):
+        earlier = Window.partitionBy(*keys, parent).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+        counted = marked.join(hot, [*keys, parent]).groupBy(*keys, parent, cell).agg(
+            F.count("*").alias("__rows"), F.first("__before").alias("__before"))
+        counted = stage(
+            counted.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__rows").over(earlier), F.lit(0))), "slices")
+        sliced = sliced.join(counted.select(*keys, parent, cell, F.col("__before").alias(f"__before{number}")), [*keys, parent, cell], "left")
+        before = F.coalesce(F.col(f"__before{number}"), before)
+        hot = counted.where(F.col("__rows") > rows).select(*keys, cell, "__before")
+        if not hot.limit(1).count():
+            break
+    return sliced.withColumn(name, start + F.floor(before / rows)).select(*df.columns, name)
 
 
 @dataclass(frozen=True)
@@ -84,12 +145,16 @@ def ordered_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    slice_by: Column,
+    slice_by: Column | TimeSlice,
     **scans: Scan,
 ) -> DataFrame:
     """Add one column per scan.  ``order`` names columns that order the rows of a key totally."""
     keys, order = list(keys), list(order)
-    work = df.withColumns({_SLICE: slice_by, **{f"__v_{n}": s.value for n, s in scans.items()}})
+    if isinstance(slice_by, TimeSlice):
+        work = sliced_by_time(df, keys, order, slice_by.seconds)
+    else:
+        work = df.withColumn(_SLICE, slice_by)
+    work = work.withColumns({f"__v_{n}": s.value for n, s in scans.items()})
 
     # A single ordering column keeps the summary in a hash aggregate; structs need a sorted one.
     place = F.col(order[0]) if len(order) == 1 else F.struct(*order)

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .ordered import event_slice, following, max_before, ordered_scan, prev, running_sum, time_slice
+from .ordered import TimeSlice, event_slice, following, max_before, ordered_scan, prev, running_sum, time_slice
 
+#: Points under one node of an interval's segments, as a power of two.
+SEGMENT_LEVELS = 20
 
-def _slice_for(df: DataFrame, column: str, name: str) -> Column:
+
+def _slice_for(df: DataFrame, column: str, name: str) -> Column | TimeSlice:
     return time_slice(name) if dict(df.dtypes)[column].startswith("timestamp") else event_slice(name)
 
 
@@ -78,10 +81,10 @@ def interval_join(
 ) -> DataFrame:
     """Every (point, interval) pair with start <= at <= end; a null end is open.
 
-    Intervals of a key are expected to be (nearly) disjoint, as lives and sessions are.  The
-    as-of step matches each point to the latest-starting interval without fan-out.  Where an
-    interval reaches past the start of its successor, the shared part is joined separately, so
-    touching and overlapping intervals give exactly the pairs of the plain range join.
+    Intervals of a key are mostly disjoint, as lives and sessions are: the as-of step matches each point
+    to the latest-starting interval without fan-out.  Where an interval reaches past the start of its
+    successor, ``covering`` joins the shared part, in time proportional to the pairs it finds, so touching,
+    overlapping and nested intervals give exactly the pairs of the plain range join.
     ``tie`` is a unique long column of ``intervals``.
     """
     keys = list(keys)
@@ -101,22 +104,81 @@ def interval_join(
         _slice_for(intervals, start, start),
         __successor=following(F.col(start)),
     )
-    shared = spans.where(
-        F.col("__successor").isNotNull() & inside(F.col("__successor"), F.col(end))
-    )
     rest = [c for c in intervals.columns if c not in keys]
-    shared = shared.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.struct(*rest).alias(match),
-        F.col("__successor"),
+    shared = stage(
+        spans.where(F.col("__successor").isNotNull() & inside(F.col("__successor"), F.col(end)))
+        .select(*keys, "__successor", F.col(end).alias("__stop"), F.col(tie).alias("__tie"), F.struct(*rest).alias(match)),
+        "shared-spans",
     )
-    on = [F.col(k) == F.col(f"__k_{k}") for k in keys]
-    overlap = points.join(
-        shared,
-        on + [F.col(at) >= F.col("__successor"), inside(F.col(at), F.col(match)[end])],
-        "inner",
-    ).select(*points.columns, match)
-    return nearest.unionByName(overlap)
+    if not shared.limit(1).count():
+        return nearest
+    return nearest.unionByName(covering(points, shared, keys, at, match, end_inclusive))
+
+
+def covering(
+    points: DataFrame, spans: DataFrame, keys: list[str], at: str, match: str, end_inclusive: bool = True
+) -> DataFrame:
+    """Every (point, span) pair of a key with the point inside, whatever the overlap of the spans.
+
+    ``spans(keys, __successor, __stop, __tie, match)``: first and last instant, a null last one is open.
+
+    One scan over points and borders numbers the points that some span covers, and gives each border the
+    number of points before it; a span is then a range of point numbers.  A range falls into a few dyadic
+    segments - blocks of 2^level points that begin at a multiple of 2^level - and a point lies in one
+    segment of each level, so an equi-join on (key, level, segment) finds each pair once and meets no
+    other.  A segment holds at most 2^``SEGMENT_LEVELS`` points, so no key is joined in one task.
+    """
+    # Only points of keys that have spans, between the first and the last instant of them.
+    edges = spans.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(
+        F.min("__successor").alias("__low"), F.max("__stop").alias("__high"), F.max(F.col("__stop").isNull()).alias("__open"))
+    near = points.join(
+        edges, [F.col(k) == F.col(f"__k_{k}") for k in keys]
+        + [F.col(at) >= F.col("__low"), F.col("__open") | (F.col(at) <= F.col("__high"))], "left_semi")
+
+    # At one instant: a span that ends there closes after the points if the end belongs to it, else first of all.
+    opens, point, closes = (0, 1, 2) if end_inclusive else (1, 2, 0)
+    real = spans if end_inclusive else spans.where(F.col("__stop").isNull() | (F.col("__stop") > F.col("__successor")))
+    order = ["__at", "__side", "__tie"]
+
+    def border(column: str, side: int, depth: int) -> DataFrame:
+        return real.where(F.col(column).isNotNull()).select(
+            *keys, F.col(column).alias("__at"), F.lit(side).alias("__side"), "__tie", F.lit(depth).alias("__depth"))
+
+    here = near.select(
+        *keys, F.col(at).alias("__at"), F.lit(point).alias("__side"), F.monotonically_increasing_id().alias("__tie"),
+        F.lit(0).alias("__depth"), F.struct(*points.columns).alias("__point"))
+    both = stage(
+        here.unionByName(border("__successor", opens, 1), allowMissingColumns=True)
+        .unionByName(border("__stop", closes, -1), allowMissingColumns=True), "covering-rows")
+    depth = ordered_scan(both, keys, order, _slice_for(both, "__at", "__at"), __cover=running_sum(F.col("__depth").cast("long")))
+    counted = (F.col("__side") == point) & (F.col("__cover") > 0)
+    covered = stage(depth.where((F.col("__side") != point) | (F.col("__cover") > 0)), "covering-rows")
+    placed = stage(
+        ordered_scan(covered, keys, order, _slice_for(covered, "__at", "__at"), __number=running_sum(counted.cast("long"))),
+        "covering-rows")
+
+    # Points are numbered from 0 in their key; a border has the number of the next point.
+    numbers = placed.where(counted).select(*keys, (F.col("__number") - 1).alias("__number"), "__point")
+    last = numbers.groupBy(*[F.col(k).alias(f"__k_{k}") for k in keys]).agg(F.max("__number").alias("__last"))
+    borders = placed.where(F.col("__side") != point).groupBy(*keys, "__tie").agg(
+        F.min(F.when(F.col("__depth") > 0, F.col("__number"))).alias("__from"),
+        F.max(F.when(F.col("__depth") < 0, F.col("__number"))).alias("__to"))
+    ranges = borders.join(last, [F.col(k) == F.col(f"__k_{k}") for k in keys]).select(
+        *keys, "__tie", "__from", F.coalesce("__to", F.col("__last") + 1).alias("__to"))
+    top = min(SEGMENT_LEVELS, (numbers.agg(F.max("__number")).first()[0] or 0).bit_length())
+    # The ends of a range move inwards level by level; an end that has no twin is a segment of its level.
+    low, high = "((__from + shiftleft(1L, k) - 1) div shiftleft(1L, k))", "(__to div shiftleft(1L, k))"
+    segments = F.expr(f"""
+        filter(flatten(transform(sequence(0, {top}), k -> CASE
+            WHEN {low} >= {high} THEN array()
+            WHEN k = {top} THEN transform(sequence({low}, {high} - 1), s -> struct(k AS level, s AS segment))
+            ELSE array(CASE WHEN {low} % 2 = 1 THEN struct(k AS level, {low} AS segment) END,
+                       CASE WHEN {high} % 2 = 1 THEN struct(k AS level, {high} - 1 AS segment) END) END)), s -> s IS NOT NULL)""")
+    cut = ranges.where("__from < __to").select(*keys, "__tie", F.inline(segments))
+    named = cut.join(spans.select(*keys, "__tie", match), [*keys, "__tie"]).drop("__tie")
+    above = F.expr(f"transform(sequence(0, {top}), k -> struct(k AS level, __number div shiftleft(1L, k) AS segment))")
+    reached = numbers.select(*keys, "__point", F.inline(above))
+    return reached.join(named, [*keys, "level", "segment"]).select("__point.*", match)
 
 
 def islands(

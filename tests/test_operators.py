@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lifelog.functions import scalars as X
 from lifelog.functions.verdict import classify_death
-from lifelog.operators import ordered
+from lifelog.operators import ordered, temporal
 from lifelog.operators.filters import search_labels
 from lifelog.operators.ordered import following, latest_by, max_before, ordered_scan, prev, running_sum, upto
 from lifelog.operators.temporal import asof_join, interval_join, islands, last_open_span
@@ -75,6 +75,80 @@ def test_interval_join_with_touching_and_overlapping_intervals(spark, inclusive)
     assert collect(got.select("i", "s.n"), "i", "n") == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("inclusive", [True, False])
+@pytest.mark.parametrize("levels", [2, 20])
+def test_interval_join_with_nested_intervals(spark, monkeypatch, inclusive, levels):
+    monkeypatch.setattr(temporal, "SEGMENT_LEVELS", levels)
+    own = random.Random(levels)
+    spans = []
+    for n in range(70):
+        a = own.randrange(200)
+        b = own.choice([None, a, a + 1, a + own.randrange(20), a + own.randrange(200)]) if n % 7 else None
+        spans.append((own.randrange(2), n, a, b))
+    points = [(own.randrange(3), i, own.randrange(-5, 260)) for i in range(250)]
+    s_df = spark.createDataFrame([(k, n, at(a), None if b is None else at(b)) for k, n, a, b in spans],
+                                 "k int, n long, a timestamp, b timestamp")
+    p_df = spark.createDataFrame([(k, i, at(t)) for k, i, t in points], "k int, i int, t timestamp")
+    got = interval_join(p_df, s_df, ["k"], "t", "a", "b", "s", tie="n", end_inclusive=inclusive)
+    want = [(i, n) for k, i, t in points for kk, n, a, b in spans
+            if k == kk and a <= t and (b is None or (t <= b if inclusive else t < b))]
+    assert collect(got.select("i", "s.n"), "i", "n") == sorted(want, key=repr)
+
+
+def test_covering_meets_no_pair_in_vain(spark):
+    """One key, spans far inside each other: rows that enter the join grow with the points, not their square."""
+    def entering(n):
+        points = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("i"), F.col("id").alias("t"))
+        spans = spark.range(n // 4).select(
+            F.lit(1).alias("k"), (F.col("id") * 4).alias("__successor"), (F.col("id") * 4 + 11).alias("__stop"), F.col("id").alias("__tie"),
+            F.struct("id").alias("s"))
+        return temporal.covering(points, spans, ["k"], "t", "s")
+
+    for n in (400, 4000):
+        assert entering(n).count() == 3 * n - 12
+        assert entering(n).select("k", "i", "s.id").distinct().count() == 3 * n - 12
+
+
+@pytest.mark.parametrize("rows", [5, 40])
+@pytest.mark.parametrize("ordered_by", [["t", "tie"], ["t", "side", "tie"]])
+def test_dense_stretches_are_cut_at_equal_depth(spark, rows, ordered_by):
+    """One key has most rows in one hour, many of them in one second and one microsecond."""
+    own = random.Random(rows)
+    data = []
+    for i in range(900):
+        micro = own.choice([own.randrange(3_600_000_000), 7_000_000 + own.randrange(1_000_000), 9_000_001, own.randrange(10**12)])
+        data.append((0 if i % 9 else own.randrange(1, 4), micro, own.randrange(2), i))
+    df = spark.createDataFrame(data, "k int, m long, side int, tie long").withColumn("t", F.timestamp_micros("m"))
+    got = ordered.sliced_by_time(df, ["k"], ordered_by, 3600, "slice", rows).collect()
+    assert len(got) == len(data)
+    sizes = {}
+    for r in got:
+        sizes[r.k, r.slice] = sizes.get((r.k, r.slice), 0) + 1
+    assert max(sizes.values()) <= 2 * rows
+    place = {"t": "m"}
+    for k in range(4):
+        mine = sorted((tuple(r[place.get(c, c)] for c in ordered_by), r.slice) for r in got if r.k == k)
+        assert [s for _, s in mine] == sorted(s for _, s in mine)
+    dense = sum(1 for k, m, _, _ in data if k == 0 and m < 3_600_000_000)
+    held = {r.slice for r in got if r.k == 0 and r.m < 3_600_000_000}
+    assert len(held) <= dense / rows + 1  # no more slices than depth asks for
+
+
+def test_scans_over_dense_stretches(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_ROWS", 6)
+    own = random.Random(9)
+    rows = [(own.randrange(2), i, at(own.randrange(30)), own.choice([None, own.randrange(50)])) for i in range(150)]
+    df = spark.createDataFrame(rows, "k int, i long, t timestamp, v int")
+    got = ordered_scan(df, ["k"], ["t", "i"], ordered.time_slice("t"), before=prev(F.col("v")), after=following(F.col("v")),
+                       total=running_sum(F.coalesce("v", F.lit(0))))
+    want = []
+    for k, i, t, v in rows:
+        past = [x for _, _, x in sorted((tt, ii, x) for kk, ii, tt, x in rows if kk == k and (tt, ii) < (t, i) and x is not None)]
+        future = [x for _, _, x in sorted((tt, ii, x) for kk, ii, tt, x in rows if kk == k and (tt, ii) > (t, i) and x is not None)]
+        want.append((k, i, past[-1] if past else None, future[0] if future else None, sum(past) + (v or 0)))
+    assert collect(got, "k", "i", "before", "after", "total") == sorted(want, key=repr)
+
+
 def test_latest_by_prefers_non_null_and_breaks_ties(spark):
     df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), ("a", 5, 1), ("b", None, 9)], "k string, seen int, id int")
     got = latest_by(df, ["k"], [F.col("seen"), -F.col("id")])
