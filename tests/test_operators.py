@@ -201,6 +201,46 @@ def test_thin_track_equals_sequential_walk(spark, monkeypatch, piece, chunk):
     assert sorted(r.event_id for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize(("piece", "fan"), [(4, 2), (9, 3), (30, 64)])
+def test_pieces_of_long_tracks_are_entered_where_the_walk_comes(spark, monkeypatch, piece, fan):
+    """Steps without a common point, standing still over many pieces, grids with exact distances and repeated places."""
+    monkeypatch.setattr(tracks.piece_entries, "__defaults__", (fan,))
+    own = random.Random(piece)
+    walks = {
+        1: [(10.0 * i, 0.0) for i in range(150)],
+        2: [(0.0, 0.0)] * 60 + [(9.0, 12.0)] + [(0.5 * (i % 3), 0.0) for i in range(70)] + [(30.0, 0.0)],
+        3: [(own.choice([0.0, 9.0, 9.1, 15.0]), own.choice([0.0, 12.0, 14.9])) for _ in range(160)],
+        4: [(100.0 * math.cos(i / 9), 100.0 * math.sin(i / 9)) for i in range(140)],
+        5: [(own.gauss(0, 6), own.gauss(0, 6)) for _ in range(200)],
+        6: [(1.0, 1.0)],
+        7: [(0.0, 0.0)] * 100,
+    }
+    rows, event = [], 0
+    for life, walk in walks.items():
+        for i, (x, y) in enumerate(walk):
+            rows.append((event, life, x, y, at(i)))
+            event += 1
+    df = spark.createDataFrame(rows, "event_id long, life_id long, x double, y double, recorded_at timestamp").repartition(3)
+    got = sorted(r.event_id for r in thin_track(df, piece_rows=piece).collect())
+    assert got == sorted(e for life in walks for e in thin([r for r in rows if r[1] == life], 15))
+
+
+def test_rounds_of_thinning_grow_with_the_logarithm(spark, monkeypatch):
+    made = []
+    real = tracks.stage
+    monkeypatch.setattr(tracks, "stage", lambda df, name="stage": made.append(name) or real(df, name))
+
+    def tables(n):
+        made.clear()
+        df = spark.range(n).select(F.lit(1).alias("life_id"), F.col("id").alias("event_id"), (F.col("id") * 10.0).alias("x"),
+                                   F.lit(0.0).alias("y"), F.timestamp_seconds("id").alias("recorded_at"))
+        assert thin_track(df, piece_rows=5).count() == n // 2 + 1 - n % 2
+        return len(made)
+
+    few, many = tables(80), tables(640)  # eight times the pieces: three more doublings, three steps back, one level of hulls
+    assert many - few <= 8
+
+
 def test_long_tracks_are_whole(spark):
     df = spark.createDataFrame([(i, 1, 20.0 * i, 0.0, at(i)) for i in range(3000)],
                                "event_id long, life_id long, x double, y double, recorded_at timestamp")
