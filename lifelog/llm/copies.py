@@ -35,8 +35,8 @@ RADIUS, BLOCKS = 10, 8
 SHARD_MOST = 200_000
 #: Sets that tell which shingles are common, and how many such shingles are kept.
 SAMPLED, COMMON = 4000, 100_000
-#: Bits that tell sets apart before they are compared.
-PARITIES = 2048
+#: Bits for each shingle that tell sets apart before they are compared, and the least number of bits of a set.
+PARITIES, LEAST_BITS = 2, 256
 
 _IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
@@ -83,12 +83,18 @@ def prefixes(found: np.ndarray, bounds: np.ndarray, similarity: float, common: n
     return found[by][place < kept[of]], np.r_[0, np.cumsum(kept)]
 
 
-def parities(found: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """``PARITIES`` bits a set, each the parity of the shingles that fall to it: sets differ in as many at least."""
+def parities(found: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Bits for each set, each the parity of the shingles that fall to it: sets differ in as many at least.
+
+    The number of bits is a power of two that grows with the set; half as many are the two halves added.
+    """
     size = np.diff(bounds)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(size * PARITIES, 1))).astype(np.int64))
+    ends = np.r_[0, np.cumsum(bits)]
     of = np.repeat(np.arange(len(size)), size)
-    odd = np.bincount(of * PARITIES + (found.view(np.uint64) % np.uint64(PARITIES)).astype(np.int64), minlength=len(size) * PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(size), PARITIES // 64)
+    place = ends[of] + (found.view(np.uint64) & (bits[of] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(place, minlength=ends[-1]) & 1
+    return _lists(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64), ends // 64)
 
 
 def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -124,7 +130,10 @@ def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarra
 
 
 def sketched(texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """(row, id, h1, h2, fp, size, parities, prefix) of every (row, id, text)."""
+    """(row, id, h1, h2, fp, size, parities, prefix) of every (row, id, text).
+
+    The prefix holds 32 bits of each shingle: it only brings pairs together.
+    """
     common, counts = common_shingles(texts, words)
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,16 +142,16 @@ def sketched(texts: DataFrame, similarity: float, words: int) -> DataFrame:
         same = np.frombuffer(b"".join(same), "<i8").reshape(-1, 2)
         fps = np.array([fingerprint(t.as_py()) for t in column], np.uint64).view(np.int64)
         found, bounds = sets(column, words)
-        odd = parities(found, bounds)
+        first, cut = prefixes(found, bounds, similarity, common, counts)
         arrays = [np.ascontiguousarray(same[:, 0]), np.ascontiguousarray(same[:, 1]), fps, np.diff(bounds)]
         return pa.RecordBatch.from_arrays(
             [part.column("row"), part.column("id"), *[pa.array(a, pa.int64()) for a in arrays],
-             _lists(odd.ravel(), np.arange(len(odd) + 1) * odd.shape[1]), _lists(*prefixes(found, bounds, similarity, common, counts))],
+             parities(found, bounds), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(first.astype(np.int32)))],
             ["row", "id", "h1", "h2", "fp", "size", "parities", "prefix"])
 
     kind = texts.schema["id"].dataType.simpleString()
     return _by_slices(texts.select("row", "id", "text"), run,
-                      f"row long, id {kind}, h1 long, h2 long, fp long, size long, parities array<long>, prefix array<long>")
+                      f"row long, id {kind}, h1 long, h2 long, fp long, size long, parities array<long>, prefix array<int>")
 
 
 def tree_plan(count: int, blocks: int = BLOCKS) -> int:
@@ -195,11 +204,18 @@ def _span(size: Column, similarity: float) -> Column:
 def possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """The (a, b) whose sizes and parity bits allow ``similarity``."""
     one, two = (nodes.select(F.col("node").alias(c), F.col("size").alias(f"n{c}"), F.col("parities").alias(f"p{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+    def folded(bits: Column, other: Column) -> Column:
+        half = F.size(other)
+        return F.when(F.size(bits) > half, F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+                      ).otherwise(bits)
+
+    p, q = F.col("pa"), F.col("pb")  # sizes within 0.5 of each other are at most one power of two apart; others stay
+    differ = F.aggregate(F.zip_with(folded(p, q), folded(q, p), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     most = (1 - similarity) / (1 + similarity) * (F.col("na") + F.col("nb")) + 1e-6
     return (
         pairs.join(one, "a").join(two, "b")
-        .where((F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9) & (differ <= most)).select("a", "b")
+        .where(F.when(F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9, F.coalesce(differ <= most, F.lit(True)))).select("a", "b")
     )
 
 
@@ -267,19 +283,24 @@ def near_copies(texts: DataFrame, similarity: float = SIMILARITY, words: int = S
     nodes = stage(
         sketches.select(F.col("row").alias("node"), "fp", "size", "parities", "prefix").join(named.select("node"), "node", "left_semi"),
         "copies-nodes")
+    unstage(sketches)
 
     keyed = tree_shards(nodes, nodes.count())
     near = stage(shard_links(keyed, RADIUS, edges=True).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
                  .where("a <> b").distinct(), "copies-candidates")
-    links = alike(stage(possible(near, nodes, similarity), "copies-possible"), texts, similarity, words)
+    likely = stage(possible(near, nodes, similarity), "copies-possible")
+    unstage(near)
+    links = alike(likely, texts, similarity, words)
     met = apart(nodes, components(links), similarity)
-    more = alike(stage(possible(met, nodes, similarity), "copies-possible"), texts, similarity, words)
+    left = stage(possible(met, nodes, similarity), "copies-possible")
+    unstage(nodes, likely, met)
+    more = alike(left, texts, similarity, words)
     roots = components(links.union(more))
     grouped = named.join(roots, "node", "left").select("first", "n", F.coalesce("root", "node").alias("root"))
     chosen = grouped.groupBy("root").agg(F.min("first").alias("chosen"))
     out = stage(grouped.join(chosen, "root").select(
         "first.row", "first.id", "n", "root", (F.col("first.row") == F.col("chosen.row")).alias("stays")), "copies-texts")
-    unstage(sketches, named, nodes, near, met, links, more)
+    unstage(named, left, links, more)
     return out
 
 

@@ -111,7 +111,7 @@ def test_sets_prefixes_and_parities():
         of[frozenset(p)] = got[i]
     common = np.unique(found)[::3]
     first, cut = copies.prefixes(found, bounds, 0.8, common, np.arange(1, len(common) + 1))
-    odd = np.unpackbits(copies.parities(found, bounds).view(np.uint8), axis=1)
+    odd = [np.unpackbits(np.array(p, np.int64).view(np.uint8), bitorder="little") for p in copies.parities(found, bounds).to_pylist()]
     for i in range(len(texts)):
         kept = set(first[cut[i]:cut[i + 1]].tolist())
         assert kept <= got[i]
@@ -119,7 +119,23 @@ def test_sets_prefixes_and_parities():
             both = len(got[i] & got[j])
             if both and both >= 0.8 * len(got[i] | got[j]):
                 assert kept & set(first[cut[j]:cut[j + 1]].tolist())
-            assert (odd[i] != odd[j]).sum() <= len(got[i] ^ got[j])
+            half = min(len(odd[i]), len(odd[j]))
+            one, two = (o.reshape(-1, half).sum(axis=0) % 2 for o in (odd[i], odd[j]))
+            assert (one != two).sum() <= len(got[i] ^ got[j])
+
+
+def test_long_sets_get_more_parities(spark):
+    rng = random.Random(2)
+    words = [str(rng.random()) for _ in range(6000)]
+    texts = [" ".join(words), " ".join(words[:5800] + ["x", "y"]), " ".join(words[2500:]), " ".join(words[:300]), " ".join(words[:290])]
+    found, bounds = copies.sets(pa.array(texts))
+    assert [len(p) * 64 for p in copies.parities(found, bounds).to_pylist()] == [16384, 16384, 8192, 1024, 1024]
+    nodes = spark.createDataFrame(
+        [(i, int(n), p) for i, (n, p) in enumerate(zip(np.diff(bounds), copies.parities(found, bounds).to_pylist()))],
+        "node long, size long, parities array<long>")
+    pairs = spark.createDataFrame([(a, b) for b in range(5) for a in range(b)], "a long, b long")
+    assert sorted(tuple(r) for r in copies.possible(pairs, nodes, 0.8).collect()) == [(0, 1), (3, 4)]
+    assert sorted(tuple(r) for r in copies.possible(pairs, nodes, 0.5).collect()) == [(0, 1), (0, 2), (1, 2), (3, 4)]
 
 
 def test_a_split_shard_loses_no_pair(spark, monkeypatch):
