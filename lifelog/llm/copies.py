@@ -33,6 +33,8 @@ SIMILARITY, SHINGLE = 0.8, 5
 RADIUS, BLOCKS = 10, 8
 #: Members of a shard that one task takes; larger shards are split.
 SHARD_MOST = 200_000
+#: Bytes of text that numpy takes at once.
+SLICE_BYTES = 1 << 18
 #: Sets that tell which shingles are common, and how many such shingles are kept.
 SAMPLED, COMMON = 4000, 100_000
 #: Bits for each shingle that tell sets apart before they are compared, and the least number of bits of a set.
@@ -106,7 +108,7 @@ def _by_slices(df: DataFrame, function, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, rows in slices(batch.column("text")):
+            for at, rows in slices(batch.column("text"), SLICE_BYTES):
                 yield function(batch.slice(at, rows))
 
     ship_package(df.sparkSession)
@@ -243,12 +245,13 @@ def apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     Every such pair shares a shingle of both prefixes and is met there; ``roots`` holds linked nodes only.
     Shingles of one root leave before the join, so groups that are linked already cost nothing.
     """
-    rooted = nodes.select("node", "size", "prefix").join(roots, "node", "left")
-    read = rooted.select(F.col("node"), F.coalesce("root", "node").alias("root"), "size", F.posexplode("prefix").alias("place", "shingle"))
-    mixed = read.groupBy(F.col("shingle").alias("met")).agg(F.min("root").alias("low"), F.max("root").alias("high")).where(
-        "low <> high").select("met")
+    named = roots.withColumnRenamed("node", "__of")
+    rooted = nodes.select("node", "size", "prefix").join(named, F.col("node") == F.col("__of"), "left").withColumn("root", F.coalesce("root", "node"))
+    met = rooted.select("root", F.explode("prefix").alias("met")).groupBy("met").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    read = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
+    few = read.join(met.where("low <> high").select("met"), F.col("shingle") == F.col("met"), "left_semi")
     # A set meets those of its own and of the next range of lengths.
-    kept = stage(read.join(mixed, F.col("shingle") == F.col("met"), "left_semi").select(
+    kept = stage(few.join(rooted.select("node", "root", "size"), "node").select(
         "shingle", "node", "root", "size", "place", _span(F.col("size"), similarity).alias("span")), "copies-mixed")
     left = kept.select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "place")])
     right = kept.select("shingle", F.explode(F.array("span", F.col("span") - 1)).alias("span"),

@@ -125,13 +125,13 @@ class Words:
         return np.frombuffer(b"".join([digest(data[a:b]) for a, b in runs]), "<i8").reshape(-1, 2)
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(first row, rows) of ranges of about ``SLICE_BYTES``."""
+def slices(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of ranges of about ``most`` bytes, ``SLICE_BYTES`` by default."""
     total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(texts):
         before = int(total[at - 1]) if at else 0
-        stop = max(at + 1, int(np.searchsorted(total, before + SLICE_BYTES, "right")))
+        stop = max(at + 1, int(np.searchsorted(total, before + (most or SLICE_BYTES), "right")))
         yield at, stop - at
         at = stop
 
