@@ -16,6 +16,7 @@ from lifelog.queries import Dataset
 from lifelog.sources.extract import assign_timestamps
 from lifelog.sources.payload import typed_events
 from lifelog.staging import stage, stage_root
+from lifelog.streaming import run_projector
 
 NOW = datetime(2024, 1, 31)
 SINCE = datetime(2024, 1, 10)
@@ -122,6 +123,20 @@ class World:
     def typed(self) -> DataFrame:
         return stage(typed_events(self.events), "typed-events")
 
+    @cached_property
+    def streamed(self) -> str:
+        """Folder of the projector after three batches: most early events, all later ones, the early ones left out."""
+        folder = f"{stage_root(self.spark)}/lifelog-stream-{uuid.uuid4().hex}"
+        cut = self.events.agg(F.percentile_approx("event_id", 0.7)).first()[0]
+        early = F.col("event_id") <= cut
+        late = early & (F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+        again = early & (F.pmod(F.xxhash64("event_id"), F.lit(50)) == 1)
+        for part in (early & ~late, ~early, late | again):
+            self.events.where(part).repartition(2, "event_id").write.mode("append").parquet(f"{folder}/in")
+            stream = self.spark.readStream.schema(self.events.schema).parquet(f"{folder}/in")
+            run_projector(stream, f"{folder}/out", f"{folder}/cursor", label_buckets=8).awaitTermination()
+        return f"{folder}/out"
+
     @cached_property
     def projections(self) -> Projections:
         return Projections(self.typed)

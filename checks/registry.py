@@ -31,7 +31,7 @@ from lifelog.sources import logs as L
 from lifelog.sources import tables as S
 from lifelog.sources.payload import typed_events, validate_events
 from lifelog.staging import stage_root
-from lifelog.streaming import append_once, presence_spans, run_projector, stream_encounters
+from lifelog.streaming import append_once, presence_spans, read_projection, stream_encounters
 
 from .base_sql import FRESH, GAP, NOW, QUALIFY, RECENT, SINCE, seconds, with_base
 from .bindings import NOW as NOW_VALUE
@@ -1287,12 +1287,6 @@ def _event_stream(w, copies: int = 1) -> tuple[DataFrame, str]:
     return w.spark.readStream.schema(w.events.schema).parquet(f"{folder}/in"), folder
 
 
-def _projected(w) -> DataFrame:
-    events, folder = _event_stream(w)
-    run_projector(events, f"{folder}/out", f"{folder}/cursor", label_buckets=8, player_buckets=8).awaitTermination()
-    return w.spark.read.parquet(f"{folder}/out/lives")
-
-
 def _appended_once(w) -> DataFrame:
     events, folder = _event_stream(w, copies=2)
     sink = append_once(f"{folder}/out", ["server_id", "event_id"], ["server_id"])
@@ -1301,9 +1295,16 @@ def _appended_once(w) -> DataFrame:
     return w.spark.read.parquet(f"{folder}/out")
 
 
-add("stream_lives",
-    lambda w: _projected(w).select("id", "server_id", "player_id", "life_number", "started_at", "ended_at", "death_cause", "playtime_seconds"),
-    "SELECT id, server_id, player_id, life_number, started_at, ended_at, death_cause, playtime_seconds FROM lives")
+# The tables of the projector after batches in and out of order are those of the rebuild, with the same SQL.
+for _query, _table in {"players": "players", "aliases": "player_gamertags", "lives": "lives", "sessions": "sessions", "kills": "kills",
+                       "hits": "hit_events", "builds": "build_events", "positions": "positions",
+                       "knockouts": "unconscious_events"}.items():
+    def _streamed(spark, sf_dir, query=_query, table=_table):
+        w = world(spark, sf_dir)
+        columns = QUERIES[query](spark, sf_dir).columns
+        return ntz(read_projection(spark, w.streamed, table).select(*columns))
+
+    QUERIES[f"stream_{_query}"], ORACLE[f"stream_{_query}"] = _streamed, ORACLE[_query]
 add("stream_appended_once",
     lambda w: _appended_once(w).groupBy(F.col("server_id").cast("int").alias("server_id")).agg(
         F.count("*").alias("events"), F.sum("event_id").alias("ids")),

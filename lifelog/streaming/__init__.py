@@ -2,10 +2,10 @@
 
 from .dedupe import append_once, dedupe_stream
 from .encounters import presence_spans, stream_encounters, stream_presence
-from .projector import run_projector
+from .projector import read_projection, run_projector
 from .verify import stream_verify
 
 __all__ = [
-    "append_once", "dedupe_stream", "presence_spans", "run_projector", "stream_encounters",
+    "append_once", "dedupe_stream", "presence_spans", "read_projection", "run_projector", "stream_encounters",
     "stream_presence", "stream_verify",
 ]

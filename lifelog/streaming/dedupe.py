@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from ..sources.tables import append_new
+from .versions import read_table
 
 
 def dedupe_stream(df: DataFrame, keys: Sequence[str], at: str = "occurred_at", lateness: str = "1 day") -> DataFrame:
@@ -27,14 +27,3 @@ def append_once(path: str, keys: Sequence[str], partition: Sequence[str] = ()):
         fresh.write.mode("append").partitionBy(*partition).parquet(path)
 
     return sink
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """Stored table, or None before its first row."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        # Missing folder, or a folder without data files.
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
