@@ -2,10 +2,12 @@
 
 A text falls into sentences, once by lines and once with single line ends read as spaces, as licence
 texts are often wrapped.  A sentence is normalised (lower case, letters and digits only) and looked up
-in a table of known licence sentences; the identifiers found, in order, are the text's sequence.
+in a table of known licence sentences; the identifiers found, in order, are a sequence for each reading.
 Ordered rules map sequences to licences: a rule names the identifiers that must follow each other in
-the sequence, and the first rule of a licence that matches decides whether it is there in full or by
-notice only.  A known sentence that no rule uses still marks the text as ``partial``.
+one of the sequences, whatever other known sentences lie between, and the first rule of a licence that
+matches either reading decides whether it is there in full or by notice only.  So a text of several notices
+line by line and a wrapped licence gives both.  A known sentence that no rule uses still marks the text as
+``partial``.
 
 The tables are constants, so they go into the plan as literals; nothing is joined or shuffled.  Most
 texts hold none of the trigger words, at least one of which is in every known sentence, and are not
@@ -68,7 +70,30 @@ SENTENCES = {
     "bsd3-notice": ["SPDX-License-Identifier: BSD-3-Clause"],
     "bsd2-notice": ["SPDX-License-Identifier: BSD-2-Clause"],
     "mpl-notice": ["""This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0""",
-                   "SPDX-License-Identifier: MPL-2.0"],
+                   "SPDX-License-Identifier: MPL-2.0", "Licensed under the Mozilla Public License, version 2.0"],
+    "mpl-copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+                 "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/"],
+    "lgpl21-notice": ["SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL-2.1-or-later",
+                      "Licensed under the GNU Lesser General Public License, version 2.1"],
+    "lgpl21-grant": ["""This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser
+        General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)
+        any later version"""],
+    "lgpl3-notice": ["SPDX-License-Identifier: LGPL-3.0-only", "SPDX-License-Identifier: LGPL-3.0-or-later",
+                     "Licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl-warranty": ["""This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even
+        the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"""],
+    "lgpl-details": ["See the GNU Lesser General Public License for more details"],
+    "agpl3-notice": ["SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL-3.0-or-later",
+                     "Licensed under the GNU Affero General Public License, version 3"],
+    "agpl3-grant": ["""This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero
+        General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version"""],
+    "agpl-details": ["See the GNU Affero General Public License for more details"],
+    "epl2-notice": ["SPDX-License-Identifier: EPL-2.0", "Licensed under the Eclipse Public License, version 2.0"],
+    "epl2-grant": ["""This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""],
+    "isc-notice": ["SPDX-License-Identifier: ISC", "Licensed under the ISC License"],
+    "unlicense-notice": ["SPDX-License-Identifier: Unlicense", "Released under the Unlicense"],
     "isc-grant": ["""Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
         granted, provided that the above copyright notice and this permission notice appear in all copies"""],
     "ccby-notice": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
@@ -80,7 +105,7 @@ SENTENCES = {
     "unlicense-grant": ["This is free and unencumbered software released into the public domain"],
     "reserved": ["All rights reserved"],
 }
-#: Licence, extent, identifiers that follow each other; the first match of a licence counts.
+#: Licence, extent, identifiers in their order; the first match of a licence counts.
 RULES = (
     ("MIT", "text", ("mit-grant", "mit-condition", "mit-warranty")),
     ("MIT", "notice", ("mit-notice",)),
@@ -96,18 +121,31 @@ RULES = (
     ("BSD-3-Clause", "notice", ("bsd3-notice",)),
     ("BSD-2-Clause", "text", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", "notice", ("bsd2-notice",)),
+    ("MPL-2.0", "text", ("mpl-notice", "mpl-copy")),
     ("MPL-2.0", "notice", ("mpl-notice",)),
+    ("LGPL-2.1", "text", ("lgpl21-grant", "lgpl-warranty", "lgpl-details")),
+    ("LGPL-2.1", "notice", ("lgpl21-notice",)),
+    ("LGPL-2.1", "notice", ("lgpl21-grant",)),
+    ("LGPL-3.0", "notice", ("lgpl3-notice",)),
+    ("AGPL-3.0", "text", ("agpl3-grant", "gpl-warranty", "agpl-details")),
+    ("AGPL-3.0", "notice", ("agpl3-notice",)),
+    ("AGPL-3.0", "notice", ("agpl3-grant",)),
+    ("EPL-2.0", "text", ("epl2-grant",)),
+    ("EPL-2.0", "notice", ("epl2-notice",)),
     ("ISC", "text", ("isc-grant",)),
+    ("ISC", "notice", ("isc-notice",)),
     ("CC-BY-4.0", "notice", ("ccby-notice",)),
     ("CC-BY-SA-4.0", "notice", ("ccbysa-notice",)),
     ("CC-BY-NC-4.0", "notice", ("ccbync-notice",)),
     ("CC0-1.0", "notice", ("cc0-notice",)),
     ("Unlicense", "text", ("unlicense-grant",)),
+    ("Unlicense", "notice", ("unlicense-notice",)),
     ("Proprietary", "notice", ("reserved",)),
 )
 #: A rule of the longer BSD text rules out the shorter one.
 SHADOWED = {"BSD-2-Clause": "BSD-3-Clause"}
-TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "derived from", "reserved")
+TRIGGERS = ("licen", "copyright", "permission", "warrant", "redistribut", "public domain", "derived from", "reserved",
+            "of the mpl")
 
 _END = r"(?<=[.!?])\s+"
 
@@ -136,15 +174,20 @@ def identifiers(text: Column) -> Column:
     return F.filter(found, lambda i: i.isNotNull())
 
 
-def _rule_found(sequence: Column, rule: tuple[str, ...]) -> Column:
+def _rule_found(readings: Column, rule: tuple[str, ...]) -> Column:
+    """Whether a reading holds the identifiers of the rule one after the other; those of no rule part do not count."""
+    if len(rule) == 1:
+        return F.exists(readings, lambda ids: F.array_contains(ids, rule[0]))
     # A sequence is written as ">a>b>c>".
-    return F.contains(sequence, F.lit(f">{'>'.join(rule)}>"))
+    return F.exists(readings, lambda ids: F.contains(
+        F.concat(F.lit(">"), F.array_join(F.filter(ids, lambda i: i.isin(*rule)), ">"), F.lit(">")), F.lit(f">{'>'.join(rule)}>")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_sentences, sequence, licenses, extent of every row.
 
     ``licenses`` are comma-joined in rule order; ``extent`` is the fullest: text, notice, partial, none.
+    ``sequence`` is that of the reading with more identifiers.
     """
     text = F.coalesce("text", F.lit(""))
     lower = F.lower(text)
@@ -154,14 +197,13 @@ def license_scan(docs: DataFrame) -> DataFrame:
     by_line = F.regexp_replace(text, r"\s*\n\s*", "\n")
     lines = F.flatten(F.transform(F.split(by_line, "\n"), identifiers))
     wrapped = identifiers(F.regexp_replace(F.regexp_replace(text, r"[ \t]*\n[ \t]*\n\s*", ". "), r"\s+", " "))
-    written = F.when(hit, let(F.struct(lines.alias("l"), wrapped.alias("w")), lambda s: F.when(
-        F.size(s["l"]) >= F.size(s["w"]), s["l"]).otherwise(s["w"]))).otherwise(F.array().cast("array<string>"))
-    read = docs.select("doc_id", written.alias("ids"))
+    none = F.array().cast("array<array<string>>")
+    read = docs.select("doc_id", F.when(hit, F.array(lines, wrapped)).otherwise(none).alias("readings"))
 
-    def decide(sequence: Column) -> Column:
+    def decide(readings: Column) -> Column:
         matched = {}
         for name, extent, rule in RULES:
-            matched[name] = F.coalesce(*[c for c in (matched.get(name), F.when(_rule_found(sequence, rule), F.lit(extent)))
+            matched[name] = F.coalesce(*[c for c in (matched.get(name), F.when(_rule_found(readings, rule), F.lit(extent)))
                                          if c is not None])
         out = []
         for name, extent in matched.items():
@@ -170,10 +212,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
             out.append(F.when(extent.isNotNull(), F.struct(F.lit(name).alias("license"), extent.alias("extent"))))
         return F.filter(F.array(*out), lambda m: m.isNotNull())
 
-    sequence = F.concat(F.lit(">"), F.array_join("ids", ">"), F.lit(">"))
     none = F.array().cast("array<struct<license:string,extent:string>>")
-    found = F.when(F.size("ids") > 0, let(sequence, decide)).otherwise(none)
-    read = read.select("doc_id", "ids", found.alias("found"))
+    found = F.when(F.exists("readings", lambda ids: F.size(ids) > 0), let(F.col("readings"), decide)).otherwise(none)
+    one, two = F.get("readings", 0), F.get("readings", 1)
+    fuller = F.when(F.size(one) >= F.size(two), one).when(F.size(two) > 0, two).otherwise(F.array().cast("array<string>"))
+    read = read.select("doc_id", fuller.alias("ids"), found.alias("found"))
     extent = (
         F.when(F.exists("found", lambda m: m["extent"] == "text"), "text").when(F.size("found") > 0, "notice")
         .when(F.size("ids") > 0, "partial").otherwise("none")
@@ -191,7 +234,10 @@ def _oracle() -> str:
     known = ", ".join(f"('{s}', '{i}')" for s, i in sorted(KNOWN.items()))
     first = {}
     for name, extent, rule in RULES:
-        first.setdefault(name, []).append(f"WHEN contains(q, '>{'>'.join(rule)}>') THEN '{extent}'")
+        only = ", ".join(f"'{i}'" for i in rule)
+        held = " OR ".join(
+            f"contains('>' || array_to_string(list_filter({r}, lambda i: i IN ({only})), '>') || '>', '>{'>'.join(rule)}>')" for r in "lw")
+        first.setdefault(name, []).append(f"WHEN {held} THEN '{extent}'")
     marks = []
     for name, cases in first.items():
         case = f"CASE {' '.join(cases)} END"
@@ -208,9 +254,8 @@ def _oracle() -> str:
 WITH k(s, i) AS (VALUES {known}), m AS (SELECT map(list(s), list(i)) AS t FROM k),
      d AS (SELECT doc_id, coalesce(text, '') AS text, t FROM documents, m),
      e AS (SELECT doc_id, {lines} AS l, {wrapped} AS w FROM d),
-     f AS (SELECT doc_id, CASE WHEN len(l) >= len(w) THEN l ELSE w END AS ids FROM e),
-     g AS (SELECT doc_id, ids, '>' || array_to_string(ids, '>') || '>' AS q FROM f),
-     h AS (SELECT doc_id, ids, list_filter([{", ".join(marks)}], lambda x: x.extent IS NOT NULL) AS found FROM g)
+     f AS (SELECT doc_id, l, w, CASE WHEN len(l) >= len(w) THEN l ELSE w END AS ids FROM e),
+     h AS (SELECT doc_id, ids, list_filter([{", ".join(marks)}], lambda x: x.extent IS NOT NULL) AS found FROM f)
 SELECT doc_id, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sequence,
        array_to_string(list_transform(found, lambda x: x.license), ',') AS licenses,
        CASE WHEN len(list_filter(found, lambda x: x.extent = 'text')) > 0 THEN 'text' WHEN len(found) > 0 THEN 'notice'

@@ -37,6 +37,29 @@ def test_full_texts_and_notices(spark):
                    ("", "partial"), ("CC-BY-4.0,CC-BY-NC-4.0", "notice"), ("", "none"), ("", "none")]
 
 
+def full(name, width=72):
+    return wrapped(name, width) + ("" if licenses.SENTENCES[name][0].strip().endswith(":") else ".")
+
+
+def test_both_readings_count(spark):
+    mit = "\n\n".join(full(n) for n in ("mit-grant", "mit-condition", "mit-warranty"))
+    notices = "SPDX-License-Identifier: CC0-1.0\nAll rights reserved\nLicensed under CC BY 4.0\nMIT License\nAll rights reserved\n"
+    between = full("mit-grant") + "\n\nAll rights reserved.\n\n" + full("mit-condition") + "\n\n" + full("mit-warranty")
+    assert scan(spark, mit, notices + "\n" + mit, between) == [
+        ("MIT", "text"), ("MIT,CC-BY-4.0,CC0-1.0,Proprietary", "text"), ("MIT,Proprietary", "text")]
+
+
+def test_every_licence_has_a_notice_and_its_text(spark):
+    for name in ("ISC", "Unlicense", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "EPL-2.0", "MPL-2.0"):
+        assert any(n == name and extent == "notice" for n, extent, _ in licenses.RULES)
+    spdx = ["ISC", "Unlicense", "LGPL-2.1-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "EPL-2.0", "MPL-2.0"]
+    got = scan(spark, *[f"SPDX-License-Identifier: {i}\ncode" for i in spdx])
+    assert got == [(i.replace("-only", "").replace("-or-later", ""), "notice") for i in spdx]
+    texts = {r[0]: r[2] for r in licenses.RULES if r[1] == "text"}
+    got = scan(spark, *["\n\n".join(full(i, 50) for i in rule) for rule in texts.values()])
+    assert [(n in g[0].split(","), g[1]) for n, g in zip(texts, got)] == [(True, "text")] * len(texts)
+
+
 def test_order_counts(spark):
     grant, warranty, details = (" ".join(licenses.SENTENCES[n][0].split()) + "." for n in ("gpl3-grant", "gpl-warranty", "gpl-details"))
     assert scan(spark, f"{grant} {warranty} {details}", f"{details} {warranty} {grant}") == [("GPL-3.0", "text"), ("GPL-3.0", "notice")]
