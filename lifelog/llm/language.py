@@ -6,10 +6,14 @@ rows, and a linear softmax over it gives the languages.  Table and softmax are t
 stochastic gradient descent in numpy on a bounded sample of labelled rows.  As the model is linear in
 the average, prediction folds both into one table of bucket by language.
 
-Part of the sample is set aside to calibrate: a temperature makes the probabilities honest, and a
-text is rejected below the confidence at which the accepted rest of that part would err more often
-than ``ERROR``; at most ``LOST`` of the rightly labelled may go, and nothing above ``CHANCE`` times
-the confidence of a guess.
+Part of the sample is set aside to calibrate.  A temperature makes the probabilities honest; a text is
+rejected below the confidence at which the accepted rest of that part would err more often than
+``ERROR``.  A softmax is sure of texts it has never seen the like of, so a second score tells strangers:
+how common the text's runs are among the texts of the language it is given to, against what that language's
+own texts show at that length.  Its bound is calibrated against known strangers - each language scored by
+the others alone, and texts with their letters shuffled: it is the one of least loss, where a rightly
+labelled text rejected weighs as much as ``WEIGHT`` strangers accepted (shares of either), moved halfway
+towards the middle of the strangers.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with
 no labelled row to learn from every text is; null keys are held in; repeated rows stay; an empty
@@ -33,7 +37,9 @@ DIMENSIONS = 16
 ORDERS = 4
 #: Labelled rows of a language to learn from, about; twice that for all languages together at most.
 SAMPLE = 300
-ERROR, LOST, SMOOTH, CHANCE = 0.01, 0.0005, 0.02, 1.6
+ERROR, LOST, SMOOTH, WEIGHT = 0.01, 0.001, 0.02, 20
+#: Least variance of a language's texts around its mean: a foreign line or two is usual.
+BY_TEXT = 0.01
 UND = "und"
 
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint32)
@@ -65,11 +71,25 @@ def subword_counts(text: str) -> np.ndarray:
 
 
 class Model:
-    """Logits of a text: ``mean of table rows + bias``, divided by ``temperature``."""
+    """Logits of a text: ``mean of table rows + bias``, divided by ``temperature``.
 
-    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, least: float):
+    ``common`` holds how common each bucket is in each language, as a logarithm; ``usual`` the mean of it
+    over a text of the language, its variance by run and its variance by text.
+    """
+
+    def __init__(self, languages: list[str], table: np.ndarray, bias: np.ndarray, temperature: float, least: float,
+                 common: np.ndarray | None = None, usual: np.ndarray | None = None, strange: float = -np.inf):
         self.languages, self.table, self.bias = languages, table, bias
         self.temperature, self.least = temperature, least
+        self.common, self.usual, self.strange = common, usual, strange
+
+    def familiarity(self, hit: np.ndarray, weight: np.ndarray, language: int) -> float:
+        """How usual the runs are for the language, in standard deviations of a text of as many runs."""
+        if self.common is None:
+            return 0.0
+        mean, by_run, by_text = self.usual[language]
+        runs = 1 / (weight @ weight)  # runs that repeat count less
+        return float((weight @ self.common[language, hit] - mean) / np.sqrt(by_run / runs + by_text))
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, probability, rejected)."""
@@ -80,7 +100,8 @@ class Model:
         weight = counts[hit] / counts[hit].sum()
         p = softmax((weight @ self.table[hit] + self.bias) / self.temperature)
         best = int(p.argmax())
-        return self.languages[best], float(p[best]), bool(p[best] < self.least)
+        strange = self.familiarity(hit, weight, best) < self.strange
+        return self.languages[best], float(p[best]), bool(p[best] < self.least or strange)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -88,8 +109,36 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def commonness(fit: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(common, usual) of a model: from the number of texts of each language that hold a bucket."""
+    common = np.zeros((len(languages), 1 << BUCKETS_BITS))
+    usual = np.zeros((len(languages), 3))
+    for i, name in enumerate(languages):
+        mine = [r for r in fit if r[2] == name]
+        for buckets, _, _ in mine:
+            common[i, buckets] += 1
+        held = common[i].copy()
+        common[i] = np.log((held + 0.5) / (len(mine) + 1))
+        means, spread, runs = [], [], []
+        for buckets, counts, _ in mine:
+            weight = counts / counts.sum()
+            # A text's own vote is left out, as another text has none.
+            value = np.log((np.maximum(held[buckets] - 1, 0) + 0.5) / len(mine))
+            means.append(weight @ value)
+            spread.append(weight @ (value - means[-1]) ** 2)
+            runs.append(1 / (weight @ weight))
+        means, spread, runs = np.array(means), np.array(spread), np.array(runs)
+        middle = np.average(means, weights=np.minimum(runs, 100))
+        by_run = max(np.average(spread, weights=np.minimum(runs, 100)), 1e-6)
+        by_text = max(np.mean((means - middle) ** 2 - by_run / runs), BY_TEXT)
+        usual[i] = middle, by_run, by_text
+    return common, usual
+
+
 def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 20.0, seed: int = 3) -> Model:
-    """Fit on (buckets, counts, language) rows; every fifth pair calibrates."""
+    """Fit on (buckets, counts, language) rows; every fifth pair calibrates.  Rows without a language are strangers."""
+    shuffled = [r for r in rows if r[2] is None]
+    rows = [r for r in rows if r[2] is not None]
     languages = sorted({r[2] for r in rows})
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros(0), 1.0, 0.0)
@@ -114,7 +163,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate:
             bias -= 0.05 * step * slope
             steps += 1
     folded = table @ head
-    model = Model(languages, folded, bias, 1.0, 0.0)
+    model = Model(languages, folded, bias, 1.0, 0.0, *commonness(fit, languages))
     if held:
         logits = np.array([(c / c.sum()) @ folded[b] + bias for b, c, _ in held])
         gold = np.array([label[n] for *_, n in held])
@@ -130,7 +179,24 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate:
         good = np.flatnonzero(wrong <= ERROR)
         # Nothing to reject if even the least sure of the accepted keeps the error low.
         least = 0.0 if wrong[-1] <= ERROR else float(sure[by[good[-1]]]) if len(good) else 1.0
-        model.least = min(least, float(np.quantile(sure[right], LOST)) if right.any() else 1.0, CHANCE / len(languages))
+        model.least = min(least, float(np.quantile(sure[right], LOST)) if right.any() else 1.0)
+
+        def familiar(buckets, counts, scores):
+            weight = counts / counts.sum()
+            return model.familiarity(buckets, weight, int(scores.argmax()))
+
+        known = np.array([familiar(b, c, x) for (b, c, _), x in zip(held, logits)])[right]
+        strangers = [familiar(b, c, (c / c.sum()) @ folded[b] + bias) for b, c, _ in shuffled]
+        if len(languages) > 1:  # each language as if it had not been learnt
+            others = np.where(np.arange(len(languages)) == gold[:, None], -np.inf, logits)
+            strangers += [familiar(b, c, x) for (b, c, _), x in zip(held, others)]
+        if len(known) and strangers:
+            known, strangers = np.sort(known), np.sort(strangers)
+            bounds = np.r_[known[0] - 1, (known[1:] + known[:-1]) / 2, strangers]
+            loss = WEIGHT * np.searchsorted(known, bounds) / len(known) + 1 - np.searchsorted(strangers, bounds) / len(strangers)
+            # The sample holds few of the oddest texts, so the bound goes halfway on to the middle of the strangers.
+            best = float(bounds[loss <= loss.min() + 1e-12].min())
+            model.strange = min(best, (best + float(np.median(strangers))) / 2)
     return model
 
 
@@ -145,10 +211,19 @@ def fragment(text: str, place: float) -> str:
     return " ".join(words[first:first + 1 + int(place * 104729 % 1 * 4)])
 
 
-def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, str]]:
+def shuffled(text: str, place: float) -> str:
+    """The characters of the words of ``text`` in another order, words as long as before."""
+    words = text.split()
+    letters = np.random.default_rng(int(place * 2**53)).permutation(list("".join(words)))
+    ends = np.cumsum([len(w) for w in words])
+    return " ".join("".join(letters[e - len(w):e]) for w, e in zip(words, ends))
+
+
+def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarray, np.ndarray, str | None]]:
     """About ``sample`` labelled rows of each language outside the held-out fold, as bucket counts.
 
-    Each gives its whole text and a few words of it, so that short texts are learnt and calibrated too.
+    Each gives its whole text and a few words of it, so that short texts are learnt and calibrated too, and
+    those words with their characters shuffled, without a language.
     Rows are chosen by a hash, the share from a count of each language; a limit bounds the result
     where copies share a hash.
     """
@@ -163,17 +238,18 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[np.ndarra
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, at, text in zip(batch["lang"], batch["place"], batch["text"]):
-            for part in (text, fragment(text, at)):
+            words = fragment(text, at)
+            for label, part in ((name, text), (name, words), (None, shuffled(words, at))):
                 if has_letter(part):
                     counts = subword_counts(part)
                     hit = np.flatnonzero(counts)
-                    out.append((name, at, hit.astype(np.int32), counts[hit].astype(np.float32)))
+                    out.append((label, at, hit.astype(np.int32), counts[hit].astype(np.float32)))
         return pd.DataFrame(out, columns=["lang", "place", "buckets", "counts"])
 
     found = map_rows(chosen.select("lang", place.alias("place"), "text"), run,
                      "lang string, place double, buckets array<int>, counts array<float>")
-    rows = found.limit(4 * sample * len(sizes)).collect()
-    rows.sort(key=lambda r: (r["place"], r["lang"], sum(r["counts"])))
+    rows = found.limit(6 * sample * len(sizes)).collect()
+    rows.sort(key=lambda r: (r["place"], r["lang"] is None, r["lang"] or "", sum(r["counts"])))
     return [(np.array(r["buckets"]), np.array(r["counts"], np.float64), r["lang"]) for r in rows]
 
 

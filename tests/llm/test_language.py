@@ -54,6 +54,34 @@ def test_rejection_follows_the_sample():
     assert language.train([]).predict("text") == ("und", 0.0, True)
 
 
+def test_strangers_are_rejected_and_clean_texts_stay(spark, sf, docs):
+    model = language.train(language.training_rows(docs))
+    strangers = ["xqzv bnmk plrt", "zzz qqq xxx www", "La volpe marrone veloce salta sopra il cane pigro e poi corre verso le colline.",
+                 "Il gatto mangia il pesce nella cucina della nonna", "Съешь же ещё этих мягких французских булок"]
+    assert all(model.predict(t)[2] for t in strangers)
+    held = [r.text for r in docs.where(language.held_out(docs["doc_id"])).collect() if language.has_letter(r.text)]
+    assert sum(model.predict(t)[2] for t in held) <= 0.02 * len(held)  # fifty texts, one of them may go
+
+
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_an_unlearnt_language_is_rejected(spark, left_out):
+    many = language.documents(spark, "/root/testdata/sf0.01")
+    known = language.training_rows(many.where(f"lang <> '{left_out}'"))
+    model = language.train(known, epochs=3)
+    texts = many.where(language.held_out(many["doc_id"])).collect()
+    away = [model.predict(r.text)[2] for r in texts if r.lang == left_out and len(r.text or "") > 40]
+    stay = [not model.predict(r.text)[2] for r in texts if r.lang != left_out and language.has_letter(r.text)]
+    assert sum(away) >= 0.98 * len(away) and sum(stay) >= 0.99 * len(stay)
+
+
+def test_strange_bound_needs_strangers():
+    rng = np.random.default_rng(1)
+    rows = [(np.sort(rng.choice(np.arange(k * 100, k * 100 + 60), 30, False)), np.ones(30), "ab"[k]) for k in (0, 1) for _ in range(60)]
+    model = language.train([rows[i] for i in rng.permutation(120)])
+    far = np.arange(500, 530)
+    assert model.familiarity(far, np.ones(30) / 30, 0) < model.strange < model.familiarity(rows[0][0], np.ones(30) / 30, 0)
+
+
 def test_odd_rows(spark, odd, empty):
     found = language.identify(odd).collect()
     assert len(found) == odd.count()
