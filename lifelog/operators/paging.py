@@ -23,13 +23,18 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return ranked(df, order, size, (number - 1) * size).withColumn("total", total)
 
 
+def by_label(column: str) -> Column:
+    """Labels in the order of a reader: letters before case and accents, not by code point."""
+    return F.collate(F.col(column), "UNICODE").asc()
+
+
 def survivor_order() -> list[Column]:
     """Longest alive first, then kills, then longest kill (none last), then label."""
     return [
         F.col("time_alive_seconds").desc(),
         F.col("kills_this_life").desc(),
         F.col("longest_kill_meters").desc_nulls_last(),
-        F.col("gamertag").asc(),
+        by_label("gamertag"),
     ]
 
 

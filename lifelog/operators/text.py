@@ -17,31 +17,49 @@ def scan_terms(
 ) -> DataFrame:
     """(key, term) for every listed term found between non-[a-z0-9] characters.
 
-    ``exempt`` names an array column; its entries are blanked out first, ignoring case.  Plain
-    words are matched by one tokenisation and a hash intersection; the few terms with inner
-    blanks or punctuation each cost one pattern test.
+    ``exempt`` names an array column; its entries are blanked out first, ignoring case.  All terms are
+    looked up at once: the text falls into words and the gaps between them, and every run of as many
+    words as some term has, gaps included, is looked up in one hash set of the terms.  The cost depends
+    on the text and on the different lengths of terms in words, not on their number.  A term that begins
+    or ends with another character than [a-z0-9] is no run of words and costs a pattern test of its own.
     """
     terms = sorted({t.lower() for t in terms})
-    words = [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
-    phrases = [t for t in terms if t not in set(words)]
+    runs = [t for t in terms if re.fullmatch("[a-z0-9](.*[a-z0-9])?", t, re.DOTALL)]
+    other = [t for t in terms if t not in set(runs)]
     body = F.lower(text)
     if exempt is not None:
         body = F.aggregate(
             F.filter(exempt, lambda e: F.length(e) > 0), body,
             lambda acc, e: F.replace(acc, F.lower(e), F.lit(" ")),
         )
+    split = docs.select(
+        key, body.alias("__body"), F.regexp_extract_all(body, F.lit("[a-z0-9]+"), F.lit(0)).alias("__words"),
+        F.split(body, "[a-z0-9]+").alias("__gaps"))
+
+    def runs_of(length: int) -> Column:
+        def run_at(i: Column) -> Column:
+            parts = [F.get("__words", i)]
+            for k in range(1, length):
+                parts += [F.get("__gaps", i + k), F.get("__words", i + k)]
+            return F.concat(*parts)
+
+        return F.transform(F.sequence(F.lit(0), F.size("__words") - length), run_at)
+
     found = []
-    if words:
-        tokens = F.split(F.col("__body"), "[^a-z0-9]+")
-        found.append(F.array_intersect(tokens, F.array(*[F.lit(w) for w in words])))
-    if phrases:
-        tests = [
-            F.when(F.col("__body").rlike(f"(?<![a-z0-9]){re.escape(p)}(?![a-z0-9])"), F.lit(p))
-            for p in phrases
-        ]
+    for length in sorted({len(re.findall("[a-z0-9]+", t)) for t in runs}):
+        of_length = F.array(*[F.lit(t) for t in runs if len(re.findall("[a-z0-9]+", t)) == length])
+        if length == 1:
+            found.append(F.array_intersect("__words", of_length))
+            continue
+        grams = F.when(F.size("__words") >= length, runs_of(length))
+        found.append(F.coalesce(F.array_intersect(grams, of_length), F.array().cast("array<string>")))
+    if other:
+        tests = [F.when(F.col("__body").rlike(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"), F.lit(t)) for t in other]
         found.append(F.filter(F.array(*tests), lambda t: t.isNotNull()))
+    if not found:
+        return split.select(key, F.lit(None).cast("string").alias("term")).limit(0)
     hits = reduce(lambda a, b: F.array_distinct(F.concat(a, b)), found)
-    return docs.select(key, body.alias("__body")).select(key, F.explode(hits).alias("term"))
+    return split.select(key, F.explode(hits).alias("term"))
 
 
 def find_mentions(

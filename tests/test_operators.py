@@ -13,6 +13,7 @@ from lifelog.functions import scalars as X
 from lifelog.functions.verdict import classify_death
 from lifelog.operators import ordered, temporal
 from lifelog.operators.filters import search_labels
+from lifelog.operators.paging import survivor_order
 from lifelog.operators.ordered import following, latest_by, max_before, ordered_scan, prev, running_sum, upto
 from lifelog.operators.temporal import asof_join, interval_join, islands, last_open_span
 from lifelog.operators.text import dedupe_quotes, find_mentions, scan_terms
@@ -274,6 +275,28 @@ def test_terms_respect_boundaries_and_exemptions(spark):
     assert collect(got, "doc_id", "term") == [(1, "east"), (1, "tree line"), (2, "treeline")]
 
 
+def test_terms_against_one_pattern_each(spark):
+    own = random.Random(4)
+    words = ["tree", "line", "of", "the", "oak", "c", "x1", "é"]
+    gaps = [" ", "  ", "-", ", ", "\n", "'"]
+    terms = {"of the", "of the oak", "tree line", "tree-line", "the oak", "oak", "c++", "-x1", "of  the", "x1", "the tree of the line", "é tree"}
+    terms |= {own.choice(words[:7]) + "".join(own.choice(gaps) + own.choice(words[:7]) for _ in range(own.randrange(4))) for _ in range(150)}
+    texts = ["".join(own.choice(words) + own.choice([*gaps, "+", "++ "]) for _ in range(own.randrange(60))) for _ in range(80)] + ["", "oak", "of the"]
+    df = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id int, text string")
+    want = [(i, t) for i, text in enumerate(texts) for t in terms
+            if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", text, re.DOTALL)]
+    assert collect(scan_terms(df, list(terms)), "doc_id", "term") == sorted(want, key=repr)
+    assert scan_terms(df, []).count() == 0
+
+
+def test_labels_rank_as_readers_expect(spark):
+    names = ["zoe", "Zoe", "_z", "Ärger", "arger", "B", "a", "b", "A", "ß", "ss", "10", "9"]
+    df = spark.createDataFrame([(n, 1, 0, 0.0) for n in names],
+                               "gamertag string, time_alive_seconds int, kills_this_life int, longest_kill_meters double")
+    got = [r.gamertag for r in df.orderBy(*survivor_order()).collect()]
+    assert got == ["_z", "10", "9", "a", "A", "arger", "Ärger", "b", "B", "ss", "ß", "zoe", "Zoe"]
+
+
 def test_reused_attribution_loses_its_quote(spark):
     new = spark.createDataFrame([(1, "q", " A Man "), (2, "q", "Other"), (3, "q", None)],
                                 "id int, quote_text string, quote_attribution string")
