@@ -316,4 +316,6 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Pipeline stage: one document of each group of near copies stays, the one of the smallest id."""
     rows = numbered(docs)
     kept = near_copies(rows.select("row", F.col("doc")["doc_id"].alias("id"), F.col("doc")["text"].alias("text"))).where("stays")
-    return rows.join(kept.select("row"), "row", "left_semi").select("doc.*")
+    # Fewer rows go than stay, and numbers alone tell which: texts meet the smaller side.
+    gone = stage(rows.select("row").join(kept.select("row"), "row", "left_anti"), "copies-gone")
+    return rows.join(gone, "row", "left_anti").select("doc.*")
