@@ -110,6 +110,8 @@ def _by_slices(df: DataFrame, function, schema: str) -> DataFrame:
         for batch in batches:
             for at, rows in slices(batch.column("text"), SLICE_BYTES):
                 yield function(batch.slice(at, rows))
+            del batch
+            pa.default_memory_pool().release_unused()
 
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)

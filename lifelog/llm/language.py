@@ -12,8 +12,8 @@ rejected below the confidence at which the accepted rest of that part would err
 how common the text's runs are among the texts of the language it is given to, against what that language's
 own texts show at that length.  Its bound is calibrated against known strangers - each language scored by
 the others alone, and texts with their letters shuffled: it is the one of least loss, where a rightly
-labelled text rejected weighs as much as ``WEIGHT`` strangers accepted (shares of either), moved halfway
-towards the middle of the strangers.
+labelled text rejected weighs as much as ``WEIGHT`` strangers accepted (shares of either), moved a third
+of the way towards the middle of the strangers.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and rejected; with
 no labelled row to learn from every text is; null keys are held in; repeated rows stay; an empty
@@ -48,7 +48,7 @@ _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], dtype=np.uint3
 @lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """Each letter's own code point, a space for every other character."""
-    return np.array([i if chr(i).isalpha() else 32 for i in range(0x110000)], dtype=np.uint32)
+    return np.fromiter((i if chr(i).isalpha() else 32 for i in range(0x110000)), np.uint32, 0x110000)
 
 
 def has_letter(text: str | None) -> bool:
@@ -128,9 +128,10 @@ def commonness(fit: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]
             spread.append(weight @ (value - means[-1]) ** 2)
             runs.append(1 / (weight @ weight))
         means, spread, runs = np.array(means), np.array(spread), np.array(runs)
-        middle = np.average(means, weights=np.minimum(runs, 100))
-        by_run = max(np.average(spread, weights=np.minimum(runs, 100)), 1e-6)
-        by_text = max(np.mean((means - middle) ** 2 - by_run / runs), BY_TEXT)
+        # Medians over the longer half: some texts are partly in another language.
+        long_ = runs >= np.median(runs)
+        middle, by_run = np.median(means[long_]), max(np.median(spread[long_]), 1e-6)
+        by_text = max((1.4826 * np.median(np.abs(means[long_] - middle))) ** 2, BY_TEXT)
         usual[i] = middle, by_run, by_text
     return common, usual
 
@@ -194,9 +195,9 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate:
             known, strangers = np.sort(known), np.sort(strangers)
             bounds = np.r_[known[0] - 1, (known[1:] + known[:-1]) / 2, strangers]
             loss = WEIGHT * np.searchsorted(known, bounds) / len(known) + 1 - np.searchsorted(strangers, bounds) / len(strangers)
-            # The sample holds few of the oddest texts, so the bound goes halfway on to the middle of the strangers.
+            # The sample holds few of the oddest texts, so the bound goes a third of the way on to the middle of the strangers.
             best = float(bounds[loss <= loss.min() + 1e-12].min())
-            model.strange = min(best, (best + float(np.median(strangers))) / 2)
+            model.strange = min(best, (2 * best + float(np.median(strangers))) / 3)
     return model
 
 

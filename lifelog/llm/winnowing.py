@@ -60,7 +60,7 @@ def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, ``n`` of each at least."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            table = np.full(max(n, SLICE_BYTES + 4096), np.uint64(base))
+            table = np.full(1 << n.bit_length(), np.uint64(base))
             table[0] = 1
             _POWERS[k] = np.cumprod(table)
     return _POWERS
