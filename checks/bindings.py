@@ -262,6 +262,19 @@ class World:
             lines.write.text(f"{folder}/raw/server_id={server}")
         return self._named(folder)
 
+    @cached_property
+    def damaged_folder(self) -> str:
+        """The log files again, that of server 2 with bytes that are no text at its end."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        folder = f"{stage_root(self.spark)}/lifelog-files-{uuid.uuid4().hex}"
+        source, target = jvm.org.apache.hadoop.fs.Path(self.log_folder), jvm.org.apache.hadoop.fs.Path(folder)
+        fs = source.getFileSystem(conf)
+        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, fs, target, False, conf)
+        extra = fs.create(jvm.org.apache.hadoop.fs.Path(target, "server_id=2/DayZServer_X1_x64_2024-02-01_00-00-00.ADM"))
+        extra.write(bytearray(b"AdminLog started on 2024-02-01 at 00:00:00\n00:00:01 | \xff\xfe\x80 broken\n"))
+        extra.close()
+        return folder
+
     def _named(self, folder: str) -> str:
         """Give the part files the names that the game gives its logs."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()

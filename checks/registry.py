@@ -1159,6 +1159,17 @@ add("read_log_lines",
          TIMESTAMP '2024-01-01' + to_days(CAST(server_id - 1 AS INTEGER)) FROM ln""", extra=LINES)
 
 
+def _swept(w):
+    lines, broken = L.sweep_logs(w.spark, w.damaged_folder)
+    kept = lines.groupBy("server_id").agg(F.count("*").alias("n"))
+    return kept.join(broken.groupBy("server_id").agg(F.max("reason").alias("reason")), "server_id", "left")
+
+
+add("swept_lines", _swept,
+    """SELECT CAST(server_id AS INTEGER) AS server_id, count(*) + 1 AS n, CASE WHEN server_id = 2 THEN 'undecodable' END AS reason
+       FROM ln GROUP BY server_id""", extra=LINES)
+
+
 def _saved(w):
     path = f"{stage_root(w.spark)}/lifelog-saved-{uuid.uuid4().hex}"
     S.save_tables({"links": w.links, "servers": w.servers}, path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordered import ordered_scan, running_sum
+from ..staging import stage
 from .extract import CLOCK_STEP_MS
 
 # Fixed value: log file names carry the local start time.
@@ -41,15 +42,20 @@ def oldest_first(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("started_at").asc_nulls_first(), "file")
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_log_lines(spark: SparkSession, path: str, isolate: bool = False) -> DataFrame:
     """Numbered, non-blank lines of every ``.ADM`` file: server_id, file, line_index, text.
 
+    With ``isolate`` a file that vanishes or breaks while it is read is passed over, see ``sweep_logs``.
+
     Files stay splittable: the index is a running count over (file, block), so one very large
     file is read by many tasks.  Row ids are only compared within one block of one file, which
     one task reads in order.  Blank lines are dropped but keep their index.
     """
+    reader = spark.read.option("pathGlobFilter", "*.ADM").option("recursiveFileLookup", "true")
+    if isolate:
+        reader = reader.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     lines = (
-        spark.read.option("pathGlobFilter", "*.ADM").option("recursiveFileLookup", "true").text(path)
+        reader.text(path)
         .select(
             F.col("value").alias("text"),
             F.col("_metadata.file_path").alias("file"),
@@ -68,6 +74,39 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _same_path(file: Column) -> Column:
+    """Paths as one reader and another write them: any number of slashes behind the scheme."""
+    return F.regexp_replace(file, "^([a-z]+):/+", "$1:/")
+
+
+def broken_files(files: DataFrame, lines: DataFrame) -> DataFrame:
+    """(server_id, file, reason) of the files of a catalogue that ``lines`` do not give, or not as text.
+
+    ``unreadable``: bytes but no line - the file vanished, broke or holds blanks only; ``undecodable``: some
+    bytes are no UTF-8.  Empty files are fine.
+    """
+    told = lines.groupBy(_same_path(F.col("file")).alias("__file")).agg(
+        F.count("*").alias("__lines"), F.count_if(~F.is_valid_utf8("text")).alias("__bad"))
+    reason = F.when(F.col("__lines").isNull() & (F.col("length") > 0), "unreadable").when(F.col("__bad") > 0, "undecodable")
+    return (
+        files.join(told, _same_path(F.col("file")) == F.col("__file"), "left").withColumn("reason", reason)
+        .where(F.col("reason").isNotNull()).select("server_id", "file", "reason")
+    )
+
+
+def sweep_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, quarantine): the lines of all sound files, and one row for each other file.
+
+    The catalogue is written first and the lines after it, so both speak of the same files; a bad file costs
+    its own lines only, whatever server it is of.
+    """
+    files = stage(log_files(spark, path).select("server_id", "file", "length"), "log-catalogue")
+    lines = stage(read_log_lines(spark, path, isolate=True), "log-lines")
+    broken = stage(broken_files(files, lines), "log-quarantine")
+    bad = broken.select(_same_path(F.col("file")).alias("__file"))
+    return lines.join(bad, _same_path(F.col("file")) == F.col("__file"), "left_anti"), broken
+
+
 def files_to_load(files: DataFrame, cursor: DataFrame, budget: int) -> DataFrame:
     """Files the next load may read, per server: closed files oldest first up to ``budget``; the
     newest file only when no closed file is left waiting.

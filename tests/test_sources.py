@@ -11,6 +11,7 @@ from lifelog.schemas import EVENTS
 from lifelog.sources.backfill import backfill_unconscious, rederive_causes, rederive_vitals
 from lifelog.sources.extract import assign_timestamps, events_from_lines, parse_lines
 from lifelog.sources.logs import (
+    broken_files,
     clock_offsets,
     files_to_load,
     incremental_lines,
@@ -19,6 +20,7 @@ from lifelog.sources.logs import (
     oldest_first,
     read_log_lines,
     stream_log_lines,
+    sweep_logs,
 )
 from lifelog.sources.payload import validate_events
 from lifelog.sources.tables import (
@@ -275,3 +277,20 @@ def test_label_repair(spark):
     assert collect(label_collisions(players, links), "source", "label", "copies") == [("links of one user", "sasha", 2)]
     bans = table(spark, "bans", [dict(id=1, gamertag="SASHA"), dict(id=2, gamertag="Bob", dayz_id="old")])
     assert collect(backfill_account_ids(bans, players), "id", "dayz_id") == [(1, "h"), (2, "old")]
+
+
+def test_a_bad_file_costs_its_own_lines_only(spark, tmp_path):
+    good, bad, gone, empty = (tmp_path / f"server_id={n}" / f"DayZServer_X1_x64_2024-01-0{n}_00-00-00.ADM" for n in (1, 2, 3, 4))
+    for file, data in ((good, b"one\n\nthree\n"), (bad, b"fine\n\xff\xfe broken\n"), (gone, b"soon gone\n"), (empty, b"")):
+        file.parent.mkdir()
+        file.write_bytes(data)
+    files = log_files(spark, str(tmp_path)).select("server_id", "file", "length").cache()
+    assert files.count() == 3  # an empty file has nothing to give and is not listed
+    lines = read_log_lines(spark, str(tmp_path), isolate=True)
+    gone.unlink()  # after the listing, before the lines are read
+    assert sorted((r.server_id, r.line_index, r.text) for r in lines.collect() if r.server_id != 2) == [(1, 0, "one"), (1, 2, "three")]
+    assert sorted((r.server_id, r.reason) for r in broken_files(files, lines).collect()) == [(2, "undecodable"), (3, "unreadable")]
+    files.unpersist()
+    swept, broken = sweep_logs(spark, str(tmp_path))
+    assert sorted((r.server_id, r.text) for r in swept.collect()) == [(1, "one"), (1, "three")]
+    assert [(r.server_id, r.reason) for r in broken.collect()] == [(2, "undecodable")]
