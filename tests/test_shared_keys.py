@@ -20,6 +20,23 @@ def _counted(monkeypatch, name):
     return seen
 
 
+def test_links_and_people_of_a_label_do_not_meet_pairwise(spark, monkeypatch):
+    links = [(i, f"u{i}", rng.choice(["A", "a", "b", "c"]), rng.choice(["verified", "verified", "pending"])) for i in range(60)]
+    people = [(p, rng.choice(["a", "A", "B"]), rng.choice([None, at(rng.randrange(9))])) for p in range(50)]
+    seen = _counted(monkeypatch, "latest_by")
+    l_df = spark.createDataFrame(links, "id long, user_id string, gamertag string, status string")
+    p_df = spark.createDataFrame(people, "id long, gamertag string, last_seen_at timestamp")
+    for how in ("inner", "left"):
+        got = joins.resolve_links(l_df, p_df, how)
+        want = []
+        for i, _, tag, status in links:
+            pool = [(s is not None, s or at(0), -p) for p, g, s in people if g.lower() == tag.lower()]
+            if status == "verified" and (pool or how == "left"):
+                want.append((i, -max(pool)[2] if pool else None))
+        assert sorted((r.link_id, r.player_id) for r in got.collect()) == sorted(want)
+    assert max(seen) <= len(links)
+
+
 def test_avatars_of_shared_labels_do_not_meet_pairwise(spark, monkeypatch):
     links = [(i, f"u{i}", rng.choice("ABC"), rng.choice(["verified", "pending"])) for i in range(60)]
     pictures = [(f"u{i}", f"h{i}") for i in range(60) if i % 3]
