@@ -4,6 +4,7 @@ import random
 
 from helpers import at
 from lifelog.operators import joins
+from lifelog.plans import ledger
 
 rng = random.Random(11)
 
@@ -59,3 +60,18 @@ def test_avatars_of_shared_labels_do_not_meet_pairwise(spark, monkeypatch):
         want.append((p, None if mine is None else f"h{mine}"))
     assert sorted((r.player_id, r.avatar_hash) for r in got.collect()) == sorted(want)
     assert max(seen) <= len(held)
+
+
+def test_purchases_become_tokens_after_the_last_shuffle(spark):
+    buys = spark.createDataFrame(
+        [("s", "a", 3), ("s", "a", 3), ("s", "a", 2), ("a:1", "b", 2), ("a", "c", 100), (None, "n", 4), (None, "n", 2), ("z", "d", None)],
+        "session_id string, user_id string, quantity int")
+    paid = spark.createDataFrame(
+        [(k,) for k in ("stripe:s:2", "stripe:s:02", "stripe:a:1:2", "stripe:a:101", "stripe:a", "verify:a:7", "stripe:a:100\n", None)],
+        "idempotency_key string")
+    grants, refused = ledger.expand_purchases(buys, paid)
+    want = [(None, "n"), ("stripe:s:1", "a"), ("stripe:s:3", "a"), ("stripe:a:1:1", "b"), *[(f"stripe:a:{n}", "c") for n in range(1, 101)]]
+    assert sorted(((r.idempotency_key, r.user_id) for r in grants.collect()), key=repr) == sorted(want, key=repr)
+    assert {(r.delta, r.kind) for r in grants.collect()} == {(1, "purchase")} and refused.count() == 1
+    above = grants._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Exchange" not in above and "Join" not in above
