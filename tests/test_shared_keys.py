@@ -3,6 +3,8 @@
 import random
 
 from helpers import at
+from pyspark.sql import functions as F
+
 from lifelog.operators import joins
 from lifelog.plans import ledger
 
@@ -62,6 +64,17 @@ def test_avatars_of_shared_labels_do_not_meet_pairwise(spark, monkeypatch):
     assert max(seen) <= len(held)
 
 
+def test_pairs_of_a_hot_key_spread_over_tasks(spark):
+    left = [(rng.choice([1, 1, 1, 2, 3, None]), i) for i in range(400)] + [(1, 5)] * 2
+    right = [(rng.choice([1, 1, 1, 2, 4, None]), i) for i in range(300)]
+    joined = joins.block_join(
+        spark.createDataFrame(left, "k int, a int"), spark.createDataFrame(right, "k int, b int"), ["k"], block=20)
+    want = sorted((k, a, b) for k, a in left if k is not None for q, b in right if q == k)
+    assert sorted((r.k, r.a, r.b) for r in joined.select("k", "a", "b").collect()) == want
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < len(want) / 8
+
+
 def test_purchases_become_tokens_after_the_last_shuffle(spark):
     buys = spark.createDataFrame(
         [("s", "a", 3), ("s", "a", 3), ("s", "a", 2), ("a:1", "b", 2), ("a", "c", 100), (None, "n", 4), (None, "n", 2), ("z", "d", None)],
