@@ -5,7 +5,8 @@ import random
 from helpers import at
 from pyspark.sql import functions as F
 
-from lifelog.operators import joins
+from checks import registry
+from lifelog.operators import joins, ordered
 from lifelog.plans import ledger
 
 rng = random.Random(11)
@@ -88,3 +89,36 @@ def test_purchases_become_tokens_after_the_last_shuffle(spark):
     assert {(r.delta, r.kind) for r in grants.collect()} == {(1, "purchase")} and refused.count() == 1
     above = grants._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
     assert "Exchange" not in above and "Join" not in above
+
+
+def _scans(spark, rows):
+    df = spark.createDataFrame(rows, "k int, i long, v int, t timestamp")
+    got = ordered.ordered_scan(
+        df, ["k"], ["t", "i"], ordered.time_slice("t", 5), a=ordered.prev(F.struct("v", "i")), b=ordered.upto(F.col("v")),
+        c=ordered.following(F.col("v")), d=ordered.running_sum(F.coalesce("v", F.lit(0))), e=ordered.sum_before(F.col("v")),
+        f=ordered.max_before(F.col("v")))
+    return got.dtypes, sorted((tuple(r) for r in got.collect()), key=repr), got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_keys_are_scanned_without_slices(spark, monkeypatch):
+    rows = [(rng.randrange(3), i, rng.choice([None, rng.randrange(50)]), at(rng.randrange(60))) for i in range(150)]
+    odd = [(None, 200, 1, at(3)), (None, 201, 2, at(50)), (1, 202, 3, None), (1, 203, None, None)]
+    plain = _scans(spark, rows)
+    assert "Join" not in plain[2]
+    with_nulls = _scans(spark, rows + odd)
+    assert "Join" in with_nulls[2]
+    monkeypatch.setattr(ordered, "PLAIN_ROWS", 10)
+    sliced = _scans(spark, rows)
+    assert "Join" in sliced[2] and plain[:2] == sliced[:2]
+    assert with_nulls[:2] == _scans(spark, rows + odd)[:2]
+
+
+def test_stream_queries_read_the_projector_only(spark, monkeypatch):
+    class Streamed:  # has no projections of its own
+        streamed = "folder"
+
+    monkeypatch.setattr(registry, "world", lambda *_: Streamed())
+    for query, (table, columns) in registry.STREAMED.items():
+        stored = spark.createDataFrame([], ", ".join(f"{c} string" for c in ["more", *columns.split()]))
+        monkeypatch.setattr(registry, "read_projection", lambda _, root, name: {("folder", table): stored}[root, name])
+        assert registry.QUERIES[f"stream_{query}"](spark, "any").columns == columns.split()
