@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lifelog.llm.common import ship_package, unit
+from lifelog.llm.common import ship_package, small_batches, unit
 from lifelog.llm.simhash import SHARD_FINGERPRINTS, components, fingerprint, shard_links
 from lifelog.llm.winnowing import Words, slices
 from lifelog.staging import stage, unstage
@@ -35,8 +35,8 @@ RADIUS, BLOCKS = 10, 8
 SHARD_MOST = 200_000
 #: Bytes of text that numpy takes at once.
 SLICE_BYTES = 1 << 18
-#: Sets that tell which shingles are common, and how many such shingles are kept.
-SAMPLED, COMMON = 4000, 100_000
+#: Texts that tell which shingles are common: a share of all, but no fewer than so many; and the most such shingles kept.
+SHARE, SAMPLED, COMMON = 1 / 8, 4000, 1_000_000
 #: Bits for each shingle that tell sets apart before they are compared, and the least number of bits of a set.
 PARITIES, LEAST_BITS = 2, 256
 
@@ -114,23 +114,34 @@ def _by_slices(df: DataFrame, function, schema: str) -> DataFrame:
             pa.default_memory_pool().release_unused()
 
     ship_package(df.sparkSession)
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
 def common_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, counts): the most frequent shingles of about ``SAMPLED`` texts, shingles ascending.
+    """(shingles, counts): the shingles that a sample of the texts repeats, ascending; at most ``COMMON``, the most frequent.
 
-    They only decide the order of a set's shingles, so no pair depends on the sample.
+    They only decide the order of a set's shingles, so no pair depends on the sample.  It is a share of the texts: of a
+    fixed number, a shingle could be in ever more texts unseen, and these all meet in it.
     """
-    share = min(1.0, SAMPLED / max(1, texts.count()))
+    share = min(1.0, max(SHARE, SAMPLED / max(1, texts.count())))
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(sets(part.column("text"), words)[0])], ["shingle"])
 
     some = _by_slices(texts.where(unit(F.lit(17), F.col("row")) < share).select("text"), run, "shingle long")
-    often = some.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    often.sort(key=lambda r: r["shingle"])
-    return np.array([r["shingle"] for r in often], np.int64), np.array([r["count"] for r in often], np.int64)
+    often = stage(some.groupBy("shingle").count().where("count > 1"), "copies-common")
+    least, kept = 1, 0
+    for r in sorted(often.groupBy("count").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["count"]):
+        kept += r["n"]
+        if kept > COMMON:
+            least = r["count"]
+            break
+    found = often.where(F.col("count") > least).select("shingle", F.least("count", F.lit(2**31 - 1)).cast("int").alias("count")).toArrow()
+    unstage(often)
+    shingles, counts = (found.column(c).to_numpy() for c in ("shingle", "count"))
+    by = np.argsort(shingles)
+    return shingles[by], counts[by]
 
 
 def sketched(texts: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -245,7 +256,8 @@ def apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: pairs of nodes that may reach ``similarity`` and are of different roots.
 
     Every such pair shares a shingle of both prefixes and is met there; ``roots`` holds linked nodes only.
-    Shingles of one root leave before the join, so groups that are linked already cost nothing.
+    Shingles of one root leave before the join, so groups that are linked already cost nothing.  Before the first shingle that
+    two sets share, each holds only what the other lacks, so that shingle comes early in both if they are alike.
     """
     named = roots.withColumnRenamed("node", "__of")
     rooted = nodes.select("node", "size", "prefix").join(named, F.col("node") == F.col("__of"), "left").withColumn("root", F.coalesce("root", "node"))
@@ -255,7 +267,9 @@ def apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     # A set meets those of its own and of the next range of lengths.
     kept = stage(few.join(rooted.select("node", "root", "size"), "node").select(
         "shingle", "node", "root", "size", "place", _span(F.col("size"), similarity).alias("span")), "copies-mixed")
-    left = kept.select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "place")])
+    # The smaller set of a pair lacks the least of the other.
+    early = F.col("place") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-9
+    left = kept.where(early).select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "place")])
     right = kept.select("shingle", F.explode(F.array("span", F.col("span") - 1)).alias("span"),
                         *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "place")])
     least = similarity / (1 + similarity) * (F.col("size1") + F.col("size2")) - 1e-9
@@ -263,7 +277,7 @@ def apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
         (F.col("root1") != F.col("root2"))
         & ((F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2"))))
         & (F.col("size1") >= F.col("size2") * similarity - 1e-9)
-        & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) + F.least("place1", "place2") >= least))
+        & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= least))
     pairs = stage(met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "copies-met")
     unstage(kept)
     return pairs

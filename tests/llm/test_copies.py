@@ -184,3 +184,25 @@ def test_repeated_rows_stay_once(spark):
     docs = spark.createDataFrame([(1, "same words here"), (1, "same words here"), (None, "no id"), (None, "no id")], "doc_id long, text string")
     assert sorted((str(r.doc_id), r.text) for r in copies.distinct_documents(spark, docs, "").collect()) == [
         ("1", "same words here"), ("None", "no id")]
+
+
+def test_a_passage_of_many_texts_brings_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(copies, "SAMPLED", 4)  # so few texts never show which passages repeat
+    rng = random.Random(31)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passages = [[word() for _ in range(10)] for _ in range(4)]
+    texts = [" ".join([word() for _ in range(60)] + passages[i % 4]) for i in range(400)]
+    for size in (5, 9, 24, 64, 150):  # alike in every measure, with words more, fewer and others
+        words = [word() for _ in range(size + 4)]
+        for less in range(size // 5 + 1):
+            texts += [" ".join(words), " ".join(words[less:]), " ".join(words[:-1] + [word()])]
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    like = {(j, i) for i in range(len(sets)) for j in range(i)
+            if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-12}
+    assert len(like) > 100
+    rows = stage(spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "row long, id long, text string"), "test-texts")
+    nodes = stage(copies.sketched(rows, 0.8, 5).withColumnRenamed("row", "node"), "test-nodes")
+    none = spark.createDataFrame([], "node long, root long")
+    met = {tuple(r) for r in copies.apart(nodes, none, 0.8).collect()}
+    assert like <= met
+    assert len({(a, b) for a, b in met if b < 400}) < 1000  # of the 19,800 that share a passage
