@@ -257,27 +257,34 @@ def apart(nodes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
 
     Every such pair shares a shingle of both prefixes and is met there; ``roots`` holds linked nodes only.
     Shingles of one root leave before the join, so groups that are linked already cost nothing.  Before the first shingle that
-    two sets share, each holds only what the other lacks, so that shingle comes early in both if they are alike.
+    two sets share, each holds only what the other lacks, so that shingle comes early in both if they are alike.  Parity bits,
+    folded to the least number, tell most others of a large group apart within the join.
     """
     named = roots.withColumnRenamed("node", "__of")
-    rooted = nodes.select("node", "size", "prefix").join(named, F.col("node") == F.col("__of"), "left").withColumn("root", F.coalesce("root", "node"))
+    folds = LEAST_BITS // 64
+    folded = [F.aggregate(F.filter("parities", lambda x, k: k % folds == i), F.lit(0).cast("long"), lambda n, x: n.bitwiseXOR(x)).alias(f"p{i}")
+              for i in range(folds)]
+    rooted = nodes.select("node", "size", "prefix", *folded).join(named, F.col("node") == F.col("__of"), "left").withColumn("root", F.coalesce("root", "node"))
     met = rooted.select("root", F.explode("prefix").alias("met")).groupBy("met").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     read = nodes.select("node", F.posexplode("prefix").alias("place", "shingle"))
     few = read.join(met.where("low <> high").select("met"), F.col("shingle") == F.col("met"), "left_semi")
+    own = ["node", "root", "size", *[f"p{i}" for i in range(folds)]]
     # A set meets those of its own and of the next range of lengths.
-    kept = stage(few.join(rooted.select("node", "root", "size"), "node").select(
-        "shingle", "node", "root", "size", "place", _span(F.col("size"), similarity).alias("span")), "copies-mixed")
+    kept = stage(few.join(rooted.drop("prefix", "__of"), "node").select(
+        "shingle", *own, "place", _span(F.col("size"), similarity).alias("span")), "copies-mixed")
     # The smaller set of a pair lacks the least of the other.
     early = F.col("place") <= F.col("size") * ((1 - similarity) / (1 + similarity)) + 1e-9
-    left = kept.where(early).select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in ("node", "root", "size", "place")])
+    left = kept.where(early).select("shingle", "span", *[F.col(c).alias(f"{c}1") for c in (*own, "place")])
     right = kept.select("shingle", F.explode(F.array("span", F.col("span") - 1)).alias("span"),
-                        *[F.col(c).alias(f"{c}2") for c in ("node", "root", "size", "place")])
+                        *[F.col(c).alias(f"{c}2") for c in (*own, "place")])
     least = similarity / (1 + similarity) * (F.col("size1") + F.col("size2")) - 1e-9
+    differ = sum((F.bit_count(F.col(f"p{i}1").bitwiseXOR(F.col(f"p{i}2"))) for i in range(folds)), F.lit(0))
     met = left.join(right, ["shingle", "span"]).where(
         (F.col("root1") != F.col("root2"))
         & ((F.col("size1") < F.col("size2")) | ((F.col("size1") == F.col("size2")) & (F.col("node1") < F.col("node2"))))
         & (F.col("size1") >= F.col("size2") * similarity - 1e-9)
-        & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= least))
+        & (F.least(F.col("size1") - F.col("place1"), F.col("size2") - F.col("place2")) >= least)
+        & (differ <= (1 - similarity) / (1 + similarity) * (F.col("size1") + F.col("size2")) + 1e-6))
     pairs = stage(met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct(), "copies-met")
     unstage(kept)
     return pairs
